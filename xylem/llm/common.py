@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,30 +73,125 @@ def semi_or_anti(df: DataFrame, keys: DataFrame, on: Column, how: str, n_keys: i
 
 
 _NOT_WORD = re.compile(r"[\W_]+").sub
-
-
-class WordHash(dict):
-    """From a lower-cased white-space piece to the 64-bit hash of its word; 0: no word."""
-
-    def __missing__(self, piece: str) -> int:
-        word = _NOT_WORD("", piece)
-        value = (xxhash.xxh64_intdigest(word) or 1) if word else 0
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[piece] = value
-        return value
-
-
-_HASHES = WordHash()
+#: Bytes of text that are worked on at once, but for a longer text.
+_CHUNK_BYTES = 400_000
+#: Of each byte, 0: ignored, 1: part of a word, 2: white space. Bytes of letters beyond ASCII are parts of words.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[i for i in range(128) if chr(i).isalnum()]] = 1
+_KIND[128:] = 1
+_KIND[[i for i in range(128) if chr(i).isspace()]] = 2
+#: First bytes of UTF-8 characters that needn't be letters; texts with one take the slower way.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[0xC0:0xC3] = _DOUBT[0xC9:] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?;:,")] = True
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, at least, of the multiplier and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(max(n, 2 * len(_POWERS[k])), base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS[0], _POWERS[1]
+
+
+def run_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of values[lo:hi] for each pair of ends: the same for the same run of values, wherever it lies."""
+    p, q = powers(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * p[: len(values)], out=prefix[1:])
+    return mix((prefix[hi] - prefix[lo]) * q[lo] + (hi - lo).astype(np.uint64))
+
+
+def _doubtful(text: str) -> str:
+    """A text whose words are the same and that holds nothing but letters, digits, white space and sentence ends."""
+    out = []
+    for line in text.split("\n"):
+        pieces = []
+        for piece in line.split():
+            word = _NOT_WORD("", piece)
+            pieces.append(word + piece[-1] if piece[-1] in ".!?;:," else word)
+        out.append(" ".join(pieces))
+    return "\n".join(out)
+
+
+def _hash_chunk(data: np.ndarray, edges: np.ndarray, ends: bool):
+    """Word hashes of all texts in ``data``, each text's first word, and whether a sentence ends with each word."""
+    kind = _KIND[data]
+    keep = kind == 1
+    gap = (kind == 2).astype(np.int32)
+    starts = edges[:-1][edges[:-1] < len(data)]
+    gap[starts] += 1
+    at = np.flatnonzero(keep)
+    group = np.cumsum(gap)[at]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    bounds = np.append(first, len(at))
+    values = data[at].astype(np.uint64) + np.uint64(1)
+    h = run_hashes(values, bounds[:-1], bounds[1:])
+    h[h == 0] = 1
+    begins = at[first]
+    of = np.searchsorted(begins, edges)
+    if not ends:
+        return h, of, None
+    mark = data == 10
+    stop = np.flatnonzero(_STOP[data])
+    after = np.append(kind, 2)[stop + 1] == 2
+    after |= np.isin(stop + 1, edges)
+    mark[stop[after]] = True
+    marks = np.concatenate([[0], np.cumsum(mark)])
+    end = marks[np.append(begins[1:], len(data))[: len(begins)]] > marks[begins]
+    last = of[1:][of[1:] > of[:-1]] - 1
+    end[last] = True
+    return h, of, end
+
+
+def word_arrays(column: pa.Array, ends: bool = False) -> list:
+    """For each text of an Arrow column the hashes of its words, in order; with ``ends`` also whether a sentence ends there.
+
+    A sentence ends with a white-space separated piece whose last character is one of ``. ! ? ; : ,``, with a line, and with the text.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lower = pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), "")
+    edges = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
+    data = np.frombuffer(lower.buffers()[2], np.uint8) if lower.buffers()[2] is not None else np.empty(0, np.uint8)
+    out, lo, n = [], 0, len(lower)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _CHUNK_BYTES, "right")) - 1)
+        part, local = data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo]
+        odd = np.flatnonzero(_DOUBT[part]) if len(part) else part
+        odd = np.union1d(odd, _signs(part)) if len(part) else odd
+        if len(odd):
+            texts = lower[lo:hi].to_pylist()
+            for k in np.unique(np.searchsorted(local, odd, "right") - 1):
+                texts[k] = _doubtful(texts[k])
+            raw = [t.encode() for t in texts]
+            part = np.frombuffer(b"".join(raw), np.uint8)
+            local = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        h, of, end = _hash_chunk(part, local, ends)
+        of = of.tolist()
+        if ends:
+            out += [(h[a:b], end[a:b]) for a, b in zip(of, of[1:])]
+        else:
+            out += [h[a:b] for a, b in zip(of, of[1:])]
+        lo = hi
+    return out
+
+
+def _signs(data: np.ndarray) -> np.ndarray:
+    """Places of the two signs among the letters that begin with byte C3."""
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    return at[(data[at + 1] == 0x97) | (data[at + 1] == 0xB7)]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """The hashes of the words of a text, in order."""
-    if not text:
-        return np.empty(0, np.uint64)
-    pieces = text.lower().split()
-    a = np.fromiter(map(_HASHES.__getitem__, pieces), np.uint64, len(pieces))
-    return a if a.all() else a[a != 0]
+    """The hashes of the words of one text, in order."""
+    return word_arrays(pa.array([text], pa.string()))[0]
 
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -125,11 +221,3 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def set_hash(grams: np.ndarray) -> int:
     """One signed 64-bit value for a sorted array of distinct hashes."""
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
-
-
-def signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
-
-
-def strings(column: pa.Array) -> list:
-    return column.to_pylist()

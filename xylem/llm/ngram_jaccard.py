@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, gram_hashes, pick, semi_or_anti, set_hash, word_hashes
+from .common import BROADCAST_ROWS, cut, gram_hashes, pick, semi_or_anti, set_hash, word_arrays, word_hashes
 
 N = 5
 THRESHOLD = 0.4
@@ -42,6 +42,11 @@ def gram_set(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(text), n))
 
 
+def gram_sets(column: pa.Array, n: int):
+    """The gram set of each text of a column."""
+    return (np.unique(gram_hashes(w, n)) for w in word_arrays(column))
+
+
 def _flush(sets: list[np.ndarray]) -> pa.RecordBatch | None:
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
     often = counts >= 4
@@ -59,8 +64,7 @@ def _sets(n: int):
         waiting, size = [], 0
         for batch in batches:
             sids, sizes, keep = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                g = gram_set(text, n)
+            for k, g in enumerate(gram_sets(batch.column(1), n)):
                 if len(g):
                     keep.append(k), sids.append(set_hash(g)), sizes.append(len(g))
                     waiting.append(g)
@@ -118,8 +122,7 @@ def _postings(n: int, threshold: float, shards: int, frequent: np.ndarray, rank:
     def of(batches):
         sids, sizes, lists, seen, size = [], [], [], set(), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                g = gram_set(text, n)
+            for g in gram_sets(batch.column(0), n):
                 if not len(g) or (sid := set_hash(g)) in seen:
                     continue
                 seen.add(sid)
@@ -154,7 +157,7 @@ def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
     order = np.argsort(size, kind="stable")
     new = np.empty(len(sid), np.int64)
     new[order] = np.arange(len(sid))
-    doc = np.repeat(new, count)
+    doc = np.repeat(new.astype(np.int32), count)
     grams = grams[np.repeat(once, count)]
     doc = doc[np.repeat(once, count)]
     sid, size = sid[order], size[order].astype(np.int64)
@@ -178,16 +181,16 @@ def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
     lo = 0
     found: list[tuple[np.ndarray, np.ndarray]] = []
     while lo < len(at):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 3_000_000, "right")))
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 1_000_000, "right")))
         p = partners[lo:hi]
         left = np.repeat(at[lo:hi], p)
         right = left + 1 + _within(p)
-        codes.append(doc[left] * n_docs + doc[right])
-        counts.append(np.ones(len(left), np.int64))
+        codes.append(doc[left].astype(np.int64) * n_docs + doc[right])
+        counts.append(np.ones(len(left), np.int32))
         held += len(left)
-        if held > 6_000_000 or hi >= len(at):
+        if held > 2_000_000 or hi >= len(at):
             code, back = np.unique(np.concatenate(codes), return_inverse=True)
-            c = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
+            c = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int32)
             codes, counts, held = [code], [c], len(code) // 2
         lo = hi
     code, c = codes[0], counts[0]
@@ -229,8 +232,7 @@ def _fetch(n: int):
     def of(batches):
         for batch in batches:
             sids, sets = [], []
-            for text in batch.column(0).to_pylist():
-                g = gram_set(text, n)
+            for g in gram_sets(batch.column(0), n):
                 if len(g):
                     sids.append(set_hash(g)), sets.append(g.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "grams"])
@@ -356,7 +358,7 @@ def dropped_ids(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
 def _sid(n: int):
     def of(batches):
         for batch in batches:
-            sids = [set_hash(g) if len(g := gram_set(t, n)) else None for t in batch.column(0).to_pylist()]
+            sids = [set_hash(g) if len(g) else None for g in gram_sets(batch.column(0), n)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids, pa.int64())], names=[*batch.schema.names, "sid"])
 
     return of

@@ -17,72 +17,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, CACHE_ENTRIES, mix, pick, positional
+from .common import _NOT_WORD, pick, positional, run_hashes, word_arrays
 
 SPAN = 3
 MIN_WORDS = 20
 
-_M = 0x9E3779B97F4A7C15
-_INVERSE = pow(_M, -1, 1 << 64)
-_ONE, _TWO = np.uint64(1), np.uint64(2)
 _FIND = re.compile(r"\S+").finditer
 
 
-class _Pieces(dict):
-    """From a lower-cased piece to its word's hash, with bit 0: a sentence ends here, bit 1: there is a word."""
-
-    def __missing__(self, piece: str) -> int:
-        word = _NOT_WORD("", piece)
-        value = (xxhash.xxh64_intdigest(word) & ~3) | 2 * bool(word) | (piece[-1] in ".!?;:,")
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[piece] = value
-        return value
-
-
-_PIECES = _Pieces()
-
-
-def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of all words; the index of each sentence's first word, and of the piece after each sentence (one more in front)."""
-    pieces, lines = [], []
-    for line in (text or "").lower().split("\n"):
-        pieces += line.split()
-        lines.append(len(pieces))
-    zero = np.zeros(1, np.int64)
-    if not pieces:
-        return np.empty(0, np.uint64), zero, zero
-    v = np.fromiter(map(_PIECES.__getitem__, pieces), np.uint64, len(pieces))
-    ends = (v & _ONE).astype(bool)
-    lines = np.array(lines)
-    ends[lines[lines > 0] - 1] = True
-    word = (v & _TWO).astype(bool)
-    at = np.flatnonzero(ends)
-    count, first = np.unique(np.cumsum(word)[at], return_index=True)
-    after = at[first] + 1
-    if not count[0]:
-        count, after = count[1:], after[1:]
-    if not len(count):
-        return np.empty(0, np.uint64), zero, zero
-    after[-1] = len(pieces)
-    return v[word], np.concatenate([zero, count]), np.concatenate([zero, after])
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, at least, of the multiplier and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_M, _INVERSE)):
-            p = np.full(max(n, 2 * len(_POWERS[k])), base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
-
-
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _starts(ends: np.ndarray) -> np.ndarray:
+    """The index of each sentence's first word, and the number of words."""
+    return np.concatenate([np.zeros(1, np.int64), np.flatnonzero(ends) + 1])
 
 
 def runs(starts: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,29 +45,17 @@ def runs(starts: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.
     return code // n, code % n
 
 
-def run_hashes(words: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A polynomial hash of the words of sentences a..b, from prefix sums (modulo 2**64)."""
-    if not len(a):
-        return np.empty(0, np.uint64)
-    n = len(words)
-    p, q = _powers(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(words) * p[:n], out=prefix[1:])
-    lo, hi = starts[a], starts[b + 1]
-    return mix((prefix[hi] - prefix[lo]) * q[lo] + (hi - lo).astype(np.uint64))
-
-
 def _hash_runs(span: int, min_words: int):
     def of(batches):
         for batch in batches:
-            ids, keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             null = np.asarray(batch.column(0).is_null())
             out = []
-            for k, text in enumerate(texts):
-                words, starts, _ = units(text)
+            for k, (words, ends) in enumerate(word_arrays(batch.column(2), ends=True)):
+                starts = _starts(ends)
                 a, b = runs(starts, span, min_words)
                 if len(a):
-                    out.append((k, a, b, run_hashes(words, starts, a, b)))
+                    out.append((k, a, b, run_hashes(words, starts[a], starts[b + 1])))
             if not out:
                 continue
             at = np.concatenate([np.full(len(a), k) for k, a, _, _ in out])
@@ -137,12 +73,12 @@ def _hash_runs(span: int, min_words: int):
     return of
 
 
-def remove(text: str, after: np.ndarray, drop: np.ndarray) -> str:
-    """The text without the sentences whose numbers are in ``drop`` and the white space that follows each."""
-    gone = np.zeros(len(after) - 1, bool)
+def remove(text: str, starts: np.ndarray, drop: np.ndarray) -> str:
+    """The text without the sentences whose numbers are in ``drop``, each from its first word's piece up to the next one's."""
+    gone = np.zeros(len(starts) - 1, bool)
     gone[drop] = True
-    begins = [m.start() for m in _FIND(text)] + [len(text)]
-    edges = [0, *(begins[i] for i in after[1:])]
+    begins = [m.start() for m in _FIND(text) if _NOT_WORD("", m.group().lower())]
+    edges = [0, *(begins[i] for i in starts[1:-1]), len(text)]
     kept = "".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone))
     return kept.rstrip() if gone[-1] else kept
 
@@ -150,15 +86,12 @@ def remove(text: str, after: np.ndarray, drop: np.ndarray) -> str:
 def _rewrite():
     def of(batches):
         for batch in batches:
-            texts, drops = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out, cut = [], []
-            for text, ranges in zip(texts, drops):
-                if not ranges:
-                    out.append(text), cut.append(0)
-                    continue
-                _, _, after = units(text)
-                drop = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in ranges]))
-                out.append(remove(text, after, drop)), cut.append(len(drop))
+            out, drops = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            changed = [k for k, ranges in enumerate(drops) if ranges]
+            cut = [0] * len(out)
+            for k, (_, ends) in zip(changed, word_arrays(batch.column(0).take(pa.array(changed, pa.int64())), ends=True)):
+                drop = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in drops[k]]))
+                out[k], cut[k] = remove(out[k], _starts(ends), drop), len(drop)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()), pa.array(cut, pa.int32()), *batch.columns[2:]], names=["text", "n_removed", *batch.schema.names[2:]]
             )

@@ -90,7 +90,10 @@ class Chunks:
 
     def length(self, text: str) -> int:
         """The number of tokens of a text."""
-        return int(self.count[self.numbers(text)[0]].sum()) if text else 0
+        if not text:
+            return 0
+        a, _ = self.numbers(text)
+        return int(self.count[a].sum())
 
 
 @cache
