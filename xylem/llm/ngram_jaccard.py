@@ -30,7 +30,7 @@ from .common import BROADCAST_ROWS, cut, gram_hashes, pick, semi_or_anti, set_ha
 N = 5
 THRESHOLD = 0.4
 #: Postings that one shard's merge holds in memory, and the least number of shards.
-SHARD_POSTINGS, LEAST_SHARDS = 8_000_000, 16
+SHARD_POSTINGS, LEAST_SHARDS = 3_000_000, 16
 #: How many frequent n-grams the order knows of; an aid to speed, not to the result.
 FREQUENT, FREQUENT_LEAST = 100_000, 16
 CELL_BYTES = 128_000_000
@@ -181,14 +181,14 @@ def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
     lo = 0
     found: list[tuple[np.ndarray, np.ndarray]] = []
     while lo < len(at):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 1_000_000, "right")))
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, "right")))
         p = partners[lo:hi]
         left = np.repeat(at[lo:hi], p)
         right = left + 1 + _within(p)
         codes.append(doc[left].astype(np.int64) * n_docs + doc[right])
         counts.append(np.ones(len(left), np.int32))
         held += len(left)
-        if held > 2_000_000 or hi >= len(at):
+        if held > 1_000_000 or hi >= len(at):
             code, back = np.unique(np.concatenate(codes), return_inverse=True)
             c = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int32)
             codes, counts, held = [code], [c], len(code) // 2
