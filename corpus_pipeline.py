@@ -1,24 +1,49 @@
-"""The corpus pipeline: STAGES, applied to documents one after the other."""
+"""The corpus pipeline: STAGES, applied to documents one after the other.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import ngram_jaccard, substring_dedup
+from xylem.llm import decontamination, ngram_jaccard, packing, substring_dedup, toxicity
 from xylem.llm.common import cut
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays."""
     return ngram_jaccard.keep_one_of_each_group(docs)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of repeated runs go; n_chars follows the text."""
     return substring_dedup.clean(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_copies), ("substring dedup", repeated_passages)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences that the documents' tokens fill."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("n-gram Jaccard join", without_near_copies),
+    ("substring dedup", without_repeated_passages),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
+#: Alignment, the classifier and packing have no SQL form.
 ORACLE_SQL = None
 
 
