@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some of them can be held against."""
 
-from . import decontamination, licenses, ngram_jaccard, packing, substring_dedup, token_codes, token_counts, topk, toxicity
+from . import decontamination, html_extract, licenses, ngram_jaccard, packing, substring_dedup, token_codes, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_token_codes": token_codes.op8_token_codes,
     "op9_token_counts": token_counts.op9_token_counts,
