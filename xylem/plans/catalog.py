@@ -1,9 +1,318 @@
-"""The registered queries over XML documents and their SQL oracles."""
+"""The registered queries over XML documents and their SQL oracles.
 
+Documents are made from the whole tables of the given folder (``sources.relational``), parsed once a session into a stored node
+table in the shared folder, and queried from there. The oracles compute the same answers from the relational tables, without any XML.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from xylem.functions import sql as sql_functions
+from xylem.operators.frame import XmlFrame, strings_per_document
+from xylem.sources import relational, store, workspace
+
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def frame(spark: SparkSession, sf_dir: str, kind: str) -> XmlFrame:
+    """The stored node table of one kind of documents; made when first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORES:
+        path = workspace.new_path(spark, f"nodes-{kind}")
+        store.write(relational.documents(spark, sf_dir, kind), path)
+        _STORES[key] = path
+    return store.load(spark, _STORES[key])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, title, links): heading and number of links of every page."""
+    return _titles(spark, sf_dir)
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = frame(spark, sf_dir, "page")
+    heads = pages.xpath_text("//h1/text()", "root").groupBy("doc_id").agg(F.min_by("text", "pre").alias("title"))
+    links = pages.count_batch("//a/@href")
+    return links.join(heads, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.col("n").alias("links"))
+
+
+_OL = (
+    "WITH ol AS (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS qty, CAST(l_partkey AS VARCHAR) AS part, "
+    "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag, l_linestatus) AS k, "
+    "count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) "
+)
+
+
+def _lines(value: str, where: str = "TRUE") -> str:
+    return f"{_OL}SELECT l_orderkey AS doc_id, {value} AS value FROM ol WHERE {where}"
+
+
+def _orders(value: str, where: str = "TRUE") -> str:
+    return f"SELECT o_orderkey AS doc_id, {value} AS value FROM orders WHERE {where}"
+
+
+_OID = "CAST(o_orderkey AS VARCHAR)"
+_HAS = "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE {})"
+
+
+def _per_order(value: str, default: str) -> str:
+    """An aggregate over each order's lines, also for orders without lines."""
+    return f"SELECT o_orderkey AS doc_id, coalesce(v, {default}) AS value FROM orders LEFT JOIN (SELECT l_orderkey, {value} AS v FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"
+
+
+def _parts(value: str, where: str = "TRUE") -> str:
+    return f"SELECT p_partkey AS doc_id, {value} AS value FROM part WHERE {where}"
+
+
+def _customers(value: str, where: str = "TRUE") -> str:
+    return f"SELECT c_custkey AS doc_id, {value} AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE {where}"
+
+
+#: name: (documents, XPath, SQL for doc_id and value). A node-set gives one row for each node.
+XPATHS: dict[str, tuple[str, str, str]] = {
+    # axes
+    "axis_child": ("order", "/order/lines/line/part", _lines("part")),
+    "axis_descendant": ("order", "//qty", _lines("qty")),
+    "axis_descendant_or_self": ("order", "/order/lines/descendant-or-self::line/@flag", _lines("l_returnflag")),
+    "axis_parent": ("order", "//qty[. > 40]/../@flag", _lines("l_returnflag", "l_quantity > 40")),
+    "axis_ancestor": ("order", "//line[qty = 50]/ancestor::order/@id", _orders(_OID, _HAS.format("l_quantity = 50"))),
+    "axis_ancestor_or_self": ("order", "//line[qty = 50]/ancestor-or-self::*[@flag]/qty", _lines("qty", "l_quantity = 50")),
+    "axis_following_sibling": ("order", "/order/lines/line[1]/following-sibling::line/@n", _lines("CAST(l_linenumber AS VARCHAR)", "k > 1")),
+    "axis_preceding_sibling": ("order", "/order/lines/line[last()]/preceding-sibling::line/qty", _lines("qty", "k < n")),
+    "axis_following": ("order", "/order/lines/line[2]/following::qty", _lines("qty", "k > 2")),
+    "axis_preceding": ("order", "/order/lines/line[last()]/preceding::part", _lines("part", "k < n")),
+    "axis_self": ("order", "//line/self::line/@status", _lines("l_linestatus")),
+    "axis_attribute": ("order", "/order/@*", " UNION ALL ".join(_orders(x) for x in (_OID, "o_orderstatus", "o_orderpriority"))),
+    "axis_namespace": ("prefixed", "//y:size/namespace::*", _parts("'urn:p'") + " UNION ALL " + _parts("'urn:s'")),
+    # node tests
+    "test_wildcard": ("order", "/order/lines/*/part", _lines("part")),
+    "test_text": ("order", "//qty/text()", _lines("qty")),
+    "test_node": ("part", "/part/node()", " UNION ALL ".join(_parts(x) for x in ("'  '", "p_name", "' tail '", "CAST(p_partkey AS VARCHAR)", "p_brand", "p_type"))),
+    "test_comment": ("part", "//comment()", _parts("CAST(p_partkey AS VARCHAR)")),
+    "test_pi": ("part", "/processing-instruction('size')", _parts("CAST(p_size AS VARCHAR)")),
+    "test_prefixed": ("prefixed", "/x:part/x:brand", _parts("p_brand")),
+    "test_prefix_wildcard": ("prefixed", "//y:*", _parts("CAST(p_size AS VARCHAR)")),
+    # predicates
+    "pred_attr_eq": ("order", "//line[@flag = 'R']/qty", _lines("qty", "l_returnflag = 'R'")),
+    "pred_position": ("order", "/order/lines/line[2]/part", _lines("part", "k = 2")),
+    "pred_last": ("order", "//line[last()]/part", _lines("part", "k = n")),
+    "pred_range": ("order", "/order/lines/line[position() > 1 and position() < 4]/qty", _lines("qty", "k > 1 AND k < 4")),
+    "pred_arithmetic": ("order", "/order/lines/line[last() - 1]/part", _lines("part", "k = n - 1")),
+    "pred_reverse_position": ("order", "/order/lines/line[last()]/preceding-sibling::line[1]/part", _lines("part", "k = n - 1")),
+    "pred_exists": ("order", "/order[lines/line]/@id", _orders(_OID, _HAS.format("TRUE"))),
+    "pred_not_exists": ("order", "/order[not(lines/line)]/@id", _orders(_OID, "NOT " + _HAS.format("TRUE"))),
+    "pred_nodeset_cmp": ("order", "/order[lines/line/qty > 45]/@id", _orders(_OID, _HAS.format("l_quantity > 45"))),
+    "pred_nodeset_pair": ("order", "/order[lines/line/part = lines/line/qty]/@id", _orders(_OID, "o_orderkey IN (SELECT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_quantity)")),
+    "pred_nodeset_less": ("order", "/order[lines/line[@flag = 'R']/qty < lines/line[@flag = 'A']/qty]/@id", _orders(_OID, "o_orderkey IN (SELECT r.l_orderkey FROM lineitem r JOIN lineitem a ON r.l_orderkey = a.l_orderkey AND r.l_returnflag = 'R' AND a.l_returnflag = 'A' AND r.l_quantity < a.l_quantity)")),
+    "pred_and_or": ("order", "//line[@flag = 'R' and qty > 10 or @status = 'F' and qty < 5]/part", _lines("part", "l_returnflag = 'R' AND l_quantity > 10 OR l_linestatus = 'F' AND l_quantity < 5")),
+    "pred_multi": ("order", "//line[@flag = 'R'][2]/part", f"{_OL}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS j FROM ol WHERE l_returnflag = 'R') SELECT l_orderkey AS doc_id, part AS value FROM r WHERE j = 2"),
+    "pred_multi_order": ("order", "//line[2][@flag = 'R']/part", _lines("part", "k = 2 AND l_returnflag = 'R'")),
+    "pred_nested": ("order", "//line[qty[. > 48]]/part", _lines("part", "l_quantity > 48")),
+    "pred_count": ("order", "/order[count(lines/line) = 3]/@id", _orders(_OID, "o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 3)")),
+    # paths
+    "global_filter": ("order", "(//line)[3]/part", _lines("part", "k = 3")),
+    "filter_path": ("order", "(//line[@flag = 'A'])/qty", _lines("qty", "l_returnflag = 'A'")),
+    "union": ("order", "//part | //qty", f"{_lines('part')} UNION ALL SELECT l_orderkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) FROM lineitem"),
+    "union_overlap": ("order", "//line[@flag = 'R']/qty | //line[qty > 30]/qty", _lines("qty", "l_returnflag = 'R' OR l_quantity > 30")),
+    "id_fn": ("region", "id('n1 n3 n5 n7')/name", "SELECT n_regionkey AS doc_id, n_name AS value FROM nation WHERE n_nationkey IN (1, 3, 5, 7)"),
+    # functions and operators
+    "fn_count": ("order", "count(//line)", _per_order("CAST(count(*) AS DOUBLE)", "0")),
+    "fn_sum": ("order", "sum(//qty)", _per_order("CAST(sum(l_quantity) AS DOUBLE)", "0")),
+    "fn_string": ("order", "string(//line[1]/part)", "SELECT o_orderkey AS doc_id, coalesce(part, '') AS value FROM orders LEFT JOIN (" + _OL + "SELECT l_orderkey, part FROM ol WHERE k = 1) ON l_orderkey = o_orderkey"),
+    "fn_concat": ("customer", "concat(/customer/name, '/', /customer/@nation, '/', 7)", _customers("c_name || '/' || n_name || '/7'")),
+    "fn_contains": ("part", "/part[contains(name, 'ring')]/brand", _parts("p_brand", "contains(p_name, 'ring')")),
+    "fn_starts_with": ("part", "/part[starts-with(name, 'small')]/brand", _parts("p_brand", "starts_with(p_name, 'small')")),
+    "fn_substring": ("part", "substring(/part/name, 3, 4)", _parts("substring(p_name, 3, 4)")),
+    "fn_substring_rounding": ("part", "substring(/part/name, 1.5, 2.6)", _parts("substring(p_name, 2, 3)")),
+    "fn_substring_before": ("part", "substring-before(/part/name, ' ')", _parts("CASE WHEN strpos(p_name, ' ') > 0 THEN substring(p_name, 1, strpos(p_name, ' ') - 1) ELSE '' END")),
+    "fn_substring_after": ("part", "substring-after(/part/brand, '#')", _parts("CASE WHEN strpos(p_brand, '#') > 0 THEN substring(p_brand, strpos(p_brand, '#') + 1) ELSE '' END")),
+    "fn_string_length": ("text", "string-length(/doc/body)", "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS value FROM documents"),
+    "fn_normalize_space": ("part", "normalize-space(/part)", _parts("p_name || ' tail ' || p_brand || p_type")),
+    "fn_translate": ("part", "translate(/part/name, 'aeiou', 'AEI')", _parts("replace(replace(translate(p_name, 'aei', 'AEI'), 'o', ''), 'u', '')")),
+    "fn_number": ("part", "number(/part/@size) * 2", _parts("CAST(p_size * 2 AS DOUBLE)")),
+    "fn_floor": ("part", "floor(/part/@size div 4)", _parts("floor(p_size / 4.0)::DOUBLE")),
+    "fn_ceiling": ("part", "ceiling(/part/@size div 4)", _parts("ceil(p_size / 4.0)::DOUBLE")),
+    "fn_round": ("part", "round(/part/@size div 4)", _parts("floor(p_size / 4.0 + 0.5)::DOUBLE")),
+    "fn_boolean": ("order", "boolean(//line[qty = 50])", _orders(_HAS.format("l_quantity = 50"))),
+    "fn_not": ("order", "not(//line)", _orders("NOT " + _HAS.format("TRUE"))),
+    "fn_name": ("prefixed", "name(/*/*[2])", _parts("'y:size'")),
+    "fn_local_name": ("prefixed", "//*[local-name() = 'brand']", _parts("p_brand")),
+    "fn_namespace_uri": ("prefixed", "namespace-uri(//*[2])", _parts("'urn:s'")),
+    "fn_lang": ("text", "/doc/source[lang('de')]", "SELECT doc_id, source AS value FROM documents WHERE lang = 'de'"),
+    "fn_true_false": ("region", "true() and not(false())", "SELECT r_regionkey AS doc_id, TRUE AS value FROM region"),
+    "op_arithmetic": ("part", "(/part/@size + 3) * 2 - 1", _parts("CAST((p_size + 3) * 2 - 1 AS DOUBLE)")),
+    "op_div_mod": ("part", "/part/@size mod 7", _parts("CAST(p_size % 7 AS DOUBLE)")),
+    "op_negate": ("part", "-/part/@size", _parts("CAST(-p_size AS DOUBLE)")),
+    "op_compare": ("part", "/part/@size >= 25", _parts("p_size >= 25")),
+    "op_not_equal": ("order", "/order[lines/line/@flag != 'R']/@id", _orders(_OID, _HAS.format("l_returnflag <> 'R'"))),
+    "number_text": ("part", "string(/part/@size div 8)", _parts("CASE WHEN p_size % 8 = 0 THEN CAST(p_size // 8 AS VARCHAR) ELSE CAST(p_size / 8.0 AS VARCHAR) END")),
+    "entities": ("text", "string(/doc/body)", "SELECT doc_id, coalesce(text, '') AS value FROM documents"),
+}
+
+
+def _xpath(kind: str, xpath: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, kind).eval(xpath, "root").select("doc_id", "value")
+
+
+def _text_output(spark, sf_dir):
+    return frame(spark, sf_dir, "page").xpath_text("//h1", "root").select("doc_id", "text")
+
+
+def _string_output(spark, sf_dir):
+    return frame(spark, sf_dir, "order").xpath_string("/order/lines", "root").select("doc_id", "value")
+
+
+def _raw_output(spark, sf_dir):
+    return frame(spark, sf_dir, "order").xpath_raw("//line[@flag = 'R']/qty", "root").select("doc_id", "raw")
+
+
+def _json_output(spark, sf_dir):
+    return frame(spark, sf_dir, "order").json("//line/part")
+
+
+def _display_output(spark, sf_dir):
+    return frame(spark, sf_dir, "order").display("//qty", "root")
+
+
+def _batch_text(spark, sf_dir):
+    return frame(spark, sf_dir, "order").batch_text("//qty").select("doc_id", F.array_join("texts", ",").alias("texts"))
+
+
+def _batch_count(spark, sf_dir):
+    return frame(spark, sf_dir, "order").count_batch("//line[@flag = 'R']")
+
+
+def _batch_prefilter(spark, sf_dir):
+    """Parsing only the documents and elements that the query needs, with nothing stored."""
+    docs = relational.documents(spark, sf_dir, "page")
+    return XmlFrame(docs).xpath_text("//h1", "root").select("doc_id", "text")
+
+
+def _matching(spark, sf_dir):
+    return frame(spark, sf_dir, "order").matching("//line[qty = 50]")
+
+
+def _relative_context(spark, sf_dir):
+    return frame(spark, sf_dir, "order").xpath_string("lines/line/qty", "element").select("doc_id", "value")
+
+
+def _whole_documents(spark, sf_dir):
+    """Evaluation inside one map over the documents, without node table or shuffle."""
+    return strings_per_document(relational.documents(spark, sf_dir, "page"), "//a/@href").select("doc_id", "ord", "value")
+
+
+def _top_tags(spark, sf_dir):
+    return frame(spark, sf_dir, "order").info()
+
+
+def _summary(spark, sf_dir):
+    found = frame(spark, sf_dir, "order").summary()
+    return found.select("doc_id", "n_tags", "n_text", "max_depth", F.array_join("tag_names", ",").alias("tag_names"))
+
+
+def _nav_children(spark, sf_dir):
+    return frame(spark, sf_dir, "part").children("/part").select("doc_id", "name", F.col("ordinal").cast("int").alias("ordinal"))
+
+
+def _nav_texts(spark, sf_dir):
+    found = frame(spark, sf_dir, "part").texts_of("/part/name")
+    return found.select("doc_id", "name", "text", "tail", "all_text")
+
+
+def _nav_attributes(spark, sf_dir):
+    return frame(spark, sf_dir, "order").attributes("//line").select("doc_id", "name", "value")
+
+
+def _canonical(spark, sf_dir):
+    return frame(spark, sf_dir, "order").canonical("/order").select("doc_id", F.col("xml").alias("canonical"))
+
+
+def _udtf(spark, sf_dir):
+    sql_functions.register(spark)
+    relational.documents(spark, sf_dir, "part").createOrReplaceTempView("xylem_part_docs")
+    return spark.sql("SELECT doc_id, result FROM xylem_part_docs, LATERAL xpath_text(xml, '/part/name')")
+
+
+def _expression_column(spark, sf_dir):
+    """The expression comes from a column."""
+    sql_functions.register(spark)
+    docs = relational.documents(spark, sf_dir, "part")
+    docs = docs.withColumn("expr", F.when(F.col("doc_id") % 2 == 0, "/part/name").otherwise("/part/brand"))
+    return docs.select("doc_id", F.expr("element_at(xml_strings(xml, expr), 1)").alias("value"))
+
+
+def _events_per_type(spark, sf_dir):
+    found = frame(spark, sf_dir, "event").attributes("/user/event").where("name = 'type'")
+    return found.groupBy("doc_id", F.col("value").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chat_turns(spark, sf_dir):
+    found = frame(spark, sf_dir, "chat").xpath_string("/conv/turn", "root")
+    w = Window.partitionBy("doc_id").orderBy("pre")
+    return found.select("doc_id", F.row_number().over(w).cast("long").alias("k"), "value")
+
+
+def _decode_column(spark, sf_dir):
+    """Entities replaced in a column, by expressions of the JVM alone."""
+    from xylem.functions.values import decoded
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", decoded(relational.escape(F.col("text"))).alias("text"))
+
+
+#: name: (query, SQL).
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "page_titles_links": (
+        _titles,
+        "SELECT page_id AS doc_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS BIGINT) AS links FROM pages",
+    ),
+    "text_output": (_text_output, "SELECT page_id AS doc_id, t AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS t FROM pages) WHERE t <> ''"),
+    "string_output": (_string_output, f"{_OL}SELECT o_orderkey AS doc_id, coalesce(v, '') AS value FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(part || qty, '' ORDER BY k) AS v FROM ol GROUP BY l_orderkey) ON l_orderkey = o_orderkey"),
+    "raw_output": (_raw_output, f"{_OL}SELECT l_orderkey AS doc_id, '<qty>' || qty || '</qty>' AS raw FROM ol WHERE l_returnflag = 'R'"),
+    "json_output": (_json_output, f"""{_OL}SELECT l_orderkey AS doc_id, '{{"matches":["' || string_agg(part, '","' ORDER BY k) || '"]}}' AS json FROM ol GROUP BY l_orderkey"""),
+    "display_output": (_display_output, f"{_OL}SELECT o_orderkey AS doc_id, coalesce(v, '') AS value FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(qty, chr(10) ORDER BY k) AS v FROM ol GROUP BY l_orderkey) ON l_orderkey = o_orderkey"),
+    "batch_text": (_batch_text, f"{_OL}SELECT o_orderkey AS doc_id, coalesce(v, '') AS texts FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(qty, ',' ORDER BY k) AS v FROM ol GROUP BY l_orderkey) ON l_orderkey = o_orderkey"),
+    "batch_count": (_batch_count, "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey"),
+    "batch_prefilter": (_batch_prefilter, "SELECT page_id AS doc_id, t AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS t FROM pages) WHERE t <> ''"),
+    "matching_documents": (_matching, "SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_quantity = 50"),
+    "relative_context": (_relative_context, _lines("qty")),
+    "whole_documents": (_whole_documents, "SELECT page_id AS doc_id, CAST(i - 1 AS INTEGER) AS ord, h[i] AS value FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages))"),
+    "doc_info_top_tags": (
+        _top_tags,
+        "SELECT * FROM (SELECT 'order' AS name, count(*) AS n FROM orders UNION ALL SELECT 'cust', count(*) FROM orders UNION ALL SELECT 'lines', count(*) FROM orders "
+        "UNION ALL SELECT 'line', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) FROM lineitem UNION ALL SELECT 'qty', count(*) FROM lineitem)",
+    ),
+    "doc_summary": (
+        _summary,
+        "SELECT o_orderkey AS doc_id, 3 + 3 * count(l_orderkey) AS n_tags, 1 + 2 * count(l_orderkey) AS n_text, CAST(CASE WHEN count(l_orderkey) > 0 THEN 3 ELSE 1 END AS INTEGER) AS max_depth, "
+        "CASE WHEN count(l_orderkey) > 0 THEN 'cust,line,lines,order,part,qty' ELSE 'cust,lines,order' END AS tag_names FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
+    ),
+    "nav_children": (_nav_children, " UNION ALL ".join(f"SELECT p_partkey AS doc_id, '{n}' AS name, CAST({i} AS INTEGER) AS ordinal FROM part" for i, n in enumerate(("name", "brand", "type")))),
+    "nav_texts": (_nav_texts, "SELECT p_partkey AS doc_id, 'name' AS name, p_name AS text, ' tail ' AS tail, p_name AS all_text FROM part"),
+    "nav_attributes": (
+        _nav_attributes,
+        "SELECT l_orderkey AS doc_id, 'n' AS name, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem UNION ALL SELECT l_orderkey, 'flag', l_returnflag FROM lineitem UNION ALL SELECT l_orderkey, 'status', l_linestatus FROM lineitem",
+    ),
+    "canonicalize": (
+        _canonical,
+        f"""{_OL}SELECT o_orderkey AS doc_id, '<order id="' || o_orderkey || '" priority="' || o_orderpriority || '" status="' || o_orderstatus || '"><cust>' || o_custkey || '</cust><lines>' || coalesce(v, '') || '</lines></order>' AS canonical """
+        """FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('<line flag="' || l_returnflag || '" n="' || l_linenumber || '" status="' || l_linestatus || '"><part>' || part || '</part><qty>' || qty || '</qty></line>', '' ORDER BY k) AS v FROM ol GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+    ),
+    "udtf_xpath_text": (_udtf, "SELECT p_partkey AS doc_id, p_name AS result FROM part"),
+    "expression_column": (_expression_column, "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS value FROM part"),
+    "events_per_type": (_events_per_type, "SELECT user_id AS doc_id, event_type AS type, count(*) AS n FROM events GROUP BY user_id, event_type"),
+    "chat_turns": (_chat_turns, "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, coalesce(text, '') AS value FROM conversations"),
+    "decode_entities": (_decode_column, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: partial(_xpath, kind, xpath) for k, (kind, xpath, _) in XPATHS.items()} | {k: f for k, (f, _) in OTHERS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, _, sql) in XPATHS.items()} | {k: sql for k, (_, sql) in OTHERS.items()}
