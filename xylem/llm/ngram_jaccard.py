@@ -8,7 +8,7 @@ set aside, and short ones, which are merged; a document that reaches T lies in a
   order gives the same result.
 * In the second pass each document sends its short lists' postings: its n-grams but the last ceil(threshold * size) - 1
   of the common order (other n-grams by hash, frequent ones last).  N-grams are spread over shards.
-* In a shard the lists are merged and occurrences counted.  By the pigeonhole principle a pair that reaches T - L over
+* In a shard the lists are merged, a part of them at a time, and occurrences counted.  By the pigeonhole principle a pair that reaches T - L over
   all shards reaches its share in one of them; those pairs are the candidates.
 * Only candidates' full sets are fetched, to cells of a grid (block of the one x block of the other, so that a
   document with many partners isn't copied for each); the remaining lists are probed by binary search and the exact overlap decides.
@@ -29,8 +29,8 @@ from .common import BROADCAST_ROWS, cut, gram_hashes, pick, semi_or_anti, set_ha
 
 N = 5
 THRESHOLD = 0.4
-#: Postings that one shard's merge holds in memory, and the least number of shards.
-SHARD_POSTINGS, LEAST_SHARDS = 3_000_000, 16
+#: N-grams whose postings a shard gets, the least number of shards, and postings that are sorted and merged at once.
+SHARD_GRAMS, LEAST_SHARDS, MERGE_POSTINGS = 12_000_000, 16, 1_500_000
 #: How many frequent n-grams the order knows of; an aid to speed, not to the result.
 FREQUENT, FREQUENT_LEAST = 100_000, 16
 CELL_BYTES = 128_000_000
@@ -149,58 +149,68 @@ def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
     for k, raw in blobs:
         sid.append(np.frombuffer(raw, np.int64, k)), size.append(np.frombuffer(raw, np.uint32, k, 8 * k)), count.append(np.frombuffer(raw, np.uint32, k, 12 * k)), grams.append(np.frombuffer(raw, np.uint32, -1, 16 * k))
     sid, size, count, grams = map(np.concatenate, (sid, size, count, grams))
-    del blobs
+    blobs.clear()
     _, first = np.unique(sid, return_index=True)
     once = np.zeros(len(sid), bool)
     once[first] = True
     # documents by size: within a list the partners of similar size then are neighbours
     order = np.argsort(size, kind="stable")
-    new = np.empty(len(sid), np.int64)
+    new = np.empty(len(sid), np.int32)
     new[order] = np.arange(len(sid))
-    doc = np.repeat(new.astype(np.int32), count)
-    grams = grams[np.repeat(once, count)]
-    doc = doc[np.repeat(once, count)]
+    doc = np.repeat(new, count)
+    once = np.repeat(once, count)
+    grams, doc = grams[once], doc[once]
+    del once
     sid, size = sid[order], size[order].astype(np.int64)
+    # a part of the lists at a time; a pair's counts of all parts are added up
+    parts = max(1, math.ceil(len(grams) / MERGE_POSTINGS))
+    code, c = np.empty(0, np.int64), np.empty(0, np.int32)
+    for part in range(parts):
+        own = grams % np.uint32(parts) == part
+        for found in _merge_lists(grams[own], doc[own], size, threshold):
+            code, back = np.unique(np.concatenate([code, found[0]]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([c, found[1]]), len(code)).astype(np.int32)
+    a, b = code // len(sid), code % len(sid)
+    suffix = size - np.array([prefix_length(int(x), threshold) for x in size])
+    need = np.maximum(1, np.ceil((required(size[a], size[b], threshold) - np.minimum(suffix[a], suffix[b])) / shards))
+    good = c >= need
+    a, b = a[good], b[good]
+    swap = sid[a] > sid[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])], names=["a", "b"])
+
+
+def _merge_lists(grams: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: float):
+    """(pair codes, counts), distinct in themselves, of some lists; again and again, so that few are held at once."""
     order = np.lexsort((doc, grams))
     grams, doc = grams[order], doc[order]
-    edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]]))
-    length, begin = np.diff(edge), edge[:-1]
+    edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]])) if len(grams) else np.zeros(1, np.int64)
+    length = np.diff(edge)
     # each posting meets the later ones of its list up to the largest size allowed
     stop = np.repeat(edge[1:], length)
-    many = np.repeat(length > 1, length)
-    at = np.flatnonzero(many)
+    at = np.flatnonzero(np.repeat(length > 1, length))
     if not len(at):
         return
-    n_docs = len(sid)
+    n_docs = len(size)
     limit = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")  # by document: the first that is too large
     reach = np.minimum(stop[at], _upper(grams, doc, at, limit[doc[at]], n_docs))
     partners = np.maximum(reach - at - 1, 0)
-    suffix = size - np.array([prefix_length(int(x), threshold) for x in size])
     codes, counts, held = [], [], 0
     total = np.cumsum(partners)
     lo = 0
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, "right")))
         p = partners[lo:hi]
         left = np.repeat(at[lo:hi], p)
         right = left + 1 + _within(p)
-        codes.append(doc[left].astype(np.int64) * n_docs + doc[right])
-        counts.append(np.ones(len(left), np.int32))
-        held += len(left)
-        if held > 1_000_000 or hi >= len(at):
-            code, back = np.unique(np.concatenate(codes), return_inverse=True)
-            c = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int32)
-            codes, counts, held = [code], [c], len(code) // 2
+        code, n = np.unique(doc[left].astype(np.int64) * n_docs + doc[right], return_counts=True)
+        codes.append(code), counts.append(n)
+        held += len(code)
         lo = hi
-    code, c = codes[0], counts[0]
-    a, b = code // n_docs, code % n_docs
-    need = np.maximum(1, np.ceil((required(size[a], size[b], threshold) - np.minimum(suffix[a], suffix[b])) / shards))
-    good = c >= need
-    a, b = a[good], b[good]
-    swap = sid[a] > sid[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])], names=["a", "b"])
+        if held > 1_000_000 or lo >= len(at):
+            code, back = np.unique(np.concatenate(codes), return_inverse=True)
+            yield code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int32)
+            codes, counts, held = [], [], 0
 
 
 def _upper(grams, doc, at, limit, n_docs):
@@ -280,7 +290,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     by = np.argsort(hot)
     frequent, rank = hot[by], -by  # rarest of them first
     total = seen.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(LEAST_SHARDS, math.ceil(total / SHARD_POSTINGS))
+    shards = max(LEAST_SHARDS, math.ceil(total / SHARD_GRAMS))
     blobs = base.select("text").mapInArrow(_postings(n, threshold, shards, frequent, rank), "shard int, n int, blob binary")
     candidates = cut(blobs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(threshold, shards), "a long, b long").distinct())
     ids = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
