@@ -8,7 +8,7 @@ An element that is never closed reaches to the end of the text. Text outside of
 is dropped. CDATA is a text node of its own. ``<!...>`` other than comments and CDATA is skipped up to the first ``>``. A
 comment, CDATA section or instruction that isn't closed goes to the end. A tag that isn't closed is an error: the document
 has only its root, and ``parse_errors`` says where. Attributes are ``name="value"`` after white space; others are ignored.
-A null text is a document without nodes, not even a root; an empty text has the root alone.
+A null text, or one with a null doc_id, is a document without nodes, not even a root; an empty text has the root alone.
 """
 
 from __future__ import annotations
@@ -264,7 +264,7 @@ def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[st
         if rows.n:
             yield rows.batch()
 
-    return docs_of(docs).mapInArrow(of, ", ".join(["doc_id long", *[f"{c} {SCHEMA[c]}" for c in columns]]))
+    return docs_of(docs).where("doc_id IS NOT NULL").mapInArrow(of, ", ".join(["doc_id long", *[f"{c} {SCHEMA[c]}" for c in columns]]))
 
 
 def parse_errors(docs: DataFrame) -> DataFrame:
