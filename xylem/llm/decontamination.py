@@ -265,7 +265,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     key = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("bad_id"))
     left = semi_or_anti(plain, key, F.col(at["doc_id"]).cast("long") == F.col("bad_id"), "left_anti", n)
     if found.where("doc_id IS NULL").limit(1).count():
-        nameless = docs.where(F.col("doc_id").isNull()).withColumn("doc_id", F.xxhash64("text"))
+        nameless = pick(docs, "doc_id", "text").where("doc_id IS NULL").select(F.xxhash64("text").alias("doc_id"), "text")
         bad = decontaminate(nameless, benchmark, threshold).select(F.col("doc_id").alias("bad_text")).distinct()
         left = left.join(bad, F.col(at["doc_id"]).isNull() & (F.xxhash64(at["text"]) == F.col("bad_text")), "left_anti")
     return left.toDF(*docs.columns)

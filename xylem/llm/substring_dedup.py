@@ -116,6 +116,18 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS)
     )
 
 
+def _cleaned(docs: DataFrame, span: int, min_words: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns _0, _1, ... but for the cleaned ``text`` and ``n_removed``, and the new names in the order of the old."""
+    drop = repeated_runs(docs, span, min_words).select(F.col("doc_id").alias("r_id"), F.col("dk").alias("r_dk"), "drop")
+    plain, at = positional(docs, "doc_id", "text")
+    joined = plain.join(drop, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(at["doc_id"], at["text"]) == F.col("r_dk")), "left")
+    cols = [c for c in plain.columns if c != at["text"]]
+    types = dict(plain.dtypes)
+    schema = ", ".join(["text string", "n_removed int", *[f"`{c}` {types[c]}" for c in cols]])
+    done = joined.select(at["text"], "drop", *cols).mapInArrow(_rewrite(), schema)
+    return done, ["text" if c == at["text"] else c for c in plain.columns]
+
+
 def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and ``n_removed`` (sentences taken out of the row's text).
 
@@ -125,15 +137,8 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     of the text. A text may become empty; its row stays. An empty table gives an empty result. Any further columns pass
     through unchanged (one called ``n_removed`` gives way).
     """
-    drop = repeated_runs(docs, span, min_words).select(F.col("doc_id").alias("r_id"), F.col("dk").alias("r_dk"), "drop")
-    plain, at = positional(docs, "doc_id", "text")
-    joined = plain.join(drop, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(at["doc_id"], at["text"]) == F.col("r_dk")), "left")
-    cols = [c for c in plain.columns if c != at["text"]]
-    types = dict(plain.dtypes)
-    schema = ", ".join(["text string", "n_removed int", *[f"`{c}` {types[c]}" for c in cols]])
-    done = joined.select(at["text"], "drop", *cols).mapInArrow(_rewrite(), schema)
-    names = docs.columns
-    result = [F.col("text" if c == at["text"] else c).alias(names[int(c[1:])]) for c in plain.columns if names[int(c[1:])] != "n_removed"]
+    done, columns = _cleaned(docs, span, min_words)
+    result = [F.col(c).alias(name) for c, name in zip(columns, docs.columns) if name != "n_removed"]
     return done.select(*result, "n_removed")
 
 
@@ -144,8 +149,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated sentences removed and exactly its columns; ``n_chars``, if there, counts the new text."""
-    done = substring_dedup(docs, span, min_words)
+    done, columns = _cleaned(docs, span, min_words)
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+        own = columns[docs.columns.index("n_chars")]
+        done = done.withColumn(own, F.when(F.col("n_removed") > 0, F.length("text").cast(dict(done.dtypes)[own])).otherwise(F.col(own)))
+    return done.select(columns).toDF(*docs.columns)

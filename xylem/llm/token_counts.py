@@ -180,7 +180,7 @@ def token_counts_after(docs: DataFrame, edits: DataFrame, tokenizer: str = TOKEN
     """
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     given = pick(edits, "doc_id", "start", "stop", "text").where("doc_id IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL")
-    lists = given.groupBy(F.col("doc_id").cast("long").alias("e_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int"), F.col("stop").cast("int"), "text"))).alias("edits"))
+    lists = given.groupBy(F.col("doc_id").cast("long").alias("e_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "text"))).alias("edits"))
     joined = base.join(lists, F.col("doc_id") == F.col("e_id"), "left").select("doc_id", "text", "edits")
     return joined.mapInArrow(_count(tokenizer, True), SCHEMA)
 
