@@ -10,7 +10,7 @@ set aside, and short ones, which are merged; a document that reaches T lies in a
   of the common order (other n-grams by hash, frequent ones last).  N-grams are spread over shards.
 * In a shard the lists are merged, a part of them at a time, and occurrences counted.  By the pigeonhole principle a pair that reaches T - L over
   all shards reaches its share in one of them; those pairs are the candidates.
-* Only candidates' full sets are fetched, to cells of a grid (block of the one x block of the other, so that a
+* Only candidates' full sets are fetched, to one cell for each group of candidates (a large group has a grid of cells, so that a
   document with many partners isn't copied for each); the remaining lists are probed by binary search and the exact overlap decides.
 
 Copies with one n-gram set are one entry throughout, so groups of copies cost nothing extra.
@@ -33,7 +33,7 @@ THRESHOLD = 0.4
 SHARD_GRAMS, LEAST_SHARDS, MERGE_POSTINGS = 12_000_000, 16, 1_500_000
 #: How many frequent n-grams the order knows of; an aid to speed, not to the result.
 FREQUENT, FREQUENT_LEAST = 100_000, 16
-CELL_BYTES = 128_000_000
+CELL_BYTES, CELL_PAIRS = 64_000_000, 60_000
 _EMPTY = np.empty(0, np.uint64)
 
 
@@ -72,7 +72,7 @@ def _sets(n: int):
             if keep:
                 ids = batch.column(0).take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keep), np.int8))], names=["doc_id", "sid", "n", "kind"])
-            if size > 3_000_000:
+            if size > 2_000_000:
                 if (out := _flush(waiting)) is not None:
                     yield out
                 waiting, size = [], 0
@@ -129,7 +129,7 @@ def _postings(n: int, threshold: float, shards: int, frequent: np.ndarray, rank:
                 s = short_lists(g, frequent, rank, threshold)
                 sids.append(sid), sizes.append(len(g)), lists.append(s)
                 size += len(s)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield blobs(sids, sizes, lists)
                 sids, sizes, lists, seen, size = [], [], [], set(), 0
         if lists:
@@ -293,17 +293,19 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_GRAMS))
     blobs = base.select("text").mapInArrow(_postings(n, threshold, shards, frequent, rank), "shard int, n int, blob binary")
     candidates = cut(blobs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(threshold, shards), "a long, b long").distinct())
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    one = cut(ids.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "sid"))
-    n_one, grams = one.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ends = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    # a document's leader is the least set hash among itself and its candidates: near copies of one text have the same
+    leaders = ends.groupBy("sid").agg(F.min("other").alias("other")).select("sid", F.least("sid", "other").alias("leader"))
+    one = cut(leaders.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "sid"))
+    n_one = one.count()
     wanted = one.select(F.col("doc_id").alias("w")).distinct()
     texts = semi_or_anti(base, wanted, F.col("doc_id") == F.col("w"), "left_semi", n_one)
     sets = texts.select("text").mapInArrow(_fetch(n), "sid long, grams binary")
-    blocks = max(8, math.ceil(2 * 8 * grams / CELL_BYTES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    cell = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
-    pairs = candidates.select(cell.alias("cell"), "a", "b")
+    end = lambda c: one.select(F.col("sid").alias(c), F.col("leader").alias(f"l{c}"), F.col("n").alias(f"n{c}"))
+    led = candidates.join(end("a"), "a").join(end("b"), "b").select(F.least("la", "lb").alias("leader"), "a", "b", "na", "nb")
+    pairs = cut(_cells(led))
     places = pairs.select("cell", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    ids = one.select("sid")
     first = sets.join(F.broadcast(ids) if n_one <= BROADCAST_ROWS else ids, "sid", "left_semi").dropDuplicates(["sid"])
     placed = places.join(first, "sid").select("cell", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     rows = placed.unionByName(pairs.withColumn("grams", F.lit(None).cast("binary")))
@@ -311,6 +313,22 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     return members, rows.mapInArrow(_probe(threshold), "a long, b long, na int, nb int, overlap int")
 
 
+def _cells(led: DataFrame) -> DataFrame:
+    """(cell, a, b): the cell in which each pair is probed, from (leader, a, b, na, nb).
+
+    The pairs of one leader share a cell; those of one with many are spread over a grid of blocks of its documents, so that
+    no cell has more than about CELL_PAIRS pairs or CELL_BYTES of sets.
+    """
+    docs = F.approx_count_distinct("a") + F.approx_count_distinct("b")
+    load = led.groupBy(F.col("leader").alias("k")).agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("na") + F.col("nb")).alias("grams"), docs.alias("docs"))
+    by_pairs = F.sqrt(2 * F.col("pairs") / F.lit(float(CELL_PAIRS)))
+    by_bytes = 8 * F.col("docs") * F.col("grams") / F.lit(float(CELL_BYTES))  # a cell has two blocks
+    load = load.select("k", F.greatest(F.lit(1), F.ceil(by_pairs), F.ceil(by_bytes)).cast("int").alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    cell = F.xxhash64("leader", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    return led.join(load, F.col("leader") == F.col("k")).select(cell.alias("cell"), "a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(left_ids, right_ids, n_left, n_right, overlap, jaccard): every pair of documents with Jaccard >= threshold, by sets.
 
