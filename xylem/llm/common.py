@@ -11,6 +11,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ def semi_or_anti(df: DataFrame, keys: DataFrame, on: Column, how: str, n_keys: i
 _NOT_WORD = re.compile(r"[\W_]+").sub
 #: Bytes of text that are worked on at once, but for a longer text.
 _CHUNK_BYTES = 400_000
+#: Bytes of a column that are lower-cased at once, about.
+_SLICE_BYTES = 4_000_000
 #: Of each byte, 0: ignored, 1: part of a word, 2: white space. Bytes of letters beyond ASCII are parts of words.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[i for i in range(128) if chr(i).isalnum()]] = 1
@@ -151,16 +154,27 @@ def _hash_chunk(data: np.ndarray, edges: np.ndarray, ends: bool):
 
 
 def word_arrays(column: pa.Array, ends: bool = False) -> list:
+    """All of ``each_word_array`` at once."""
+    return list(each_word_array(column, ends))
+
+
+def each_word_array(column: pa.Array, ends: bool = False) -> Iterator:
     """For each text of an Arrow column the hashes of its words, in order; with ``ends`` also whether a sentence ends there.
 
     A sentence ends with a white-space separated piece whose last character is one of ``. ! ? ; : ,``, with a line, and with the text.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    parts = min(len(column), 1 + column.nbytes // _SLICE_BYTES)
+    if parts > 1:
+        edges = [len(column) * k // parts for k in range(parts + 1)]
+        for a, b in zip(edges, edges[1:]):
+            yield from each_word_array(column[a:b], ends)
+        return
     lower = pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), "")
     edges = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
     data = np.frombuffer(lower.buffers()[2], np.uint8) if lower.buffers()[2] is not None else np.empty(0, np.uint8)
-    out, lo, n = [], 0, len(lower)
+    lo, n = 0, len(lower)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _CHUNK_BYTES, "right")) - 1)
         part, local = data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo]
@@ -175,12 +189,9 @@ def word_arrays(column: pa.Array, ends: bool = False) -> list:
             local = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         h, of, end = _hash_chunk(part, local, ends)
         of = of.tolist()
-        if ends:
-            out += [(h[a:b], end[a:b]) for a, b in zip(of, of[1:])]
-        else:
-            out += [h[a:b] for a, b in zip(of, of[1:])]
+        for a, b in zip(of, of[1:]):
+            yield (h[a:b], end[a:b]) if ends else h[a:b]
         lo = hi
-    return out
 
 
 def _signs(data: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, gram_hashes, pick, semi_or_anti, set_hash, word_arrays, word_hashes
+from .common import BROADCAST_ROWS, cut, each_word_array, gram_hashes, pick, semi_or_anti, set_hash, word_hashes
 
 N = 5
 THRESHOLD = 0.4
@@ -44,7 +44,7 @@ def gram_set(text: str | None, n: int = N) -> np.ndarray:
 
 def gram_sets(column: pa.Array, n: int):
     """The gram set of each text of a column."""
-    return (np.unique(gram_hashes(w, n)) for w in word_arrays(column))
+    return (np.unique(gram_hashes(w, n)) for w in each_word_array(column))
 
 
 def _flush(sets: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -72,7 +72,7 @@ def _sets(n: int):
             if keep:
                 ids = batch.column(0).take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keep), np.int8))], names=["doc_id", "sid", "n", "kind"])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 if (out := _flush(waiting)) is not None:
                     yield out
                 waiting, size = [], 0
@@ -239,13 +239,20 @@ def _merge(threshold: float, shards: int):
 
 
 def _fetch(n: int):
+    def rows(sids, sets):
+        return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "grams"])
+
     def of(batches):
         for batch in batches:
-            sids, sets = [], []
+            sids, sets, size = [], [], 0
             for g in gram_sets(batch.column(0), n):
                 if len(g):
                     sids.append(set_hash(g)), sets.append(g.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "grams"])
+                    size += g.nbytes
+                if size > 8_000_000:
+                    yield rows(sids, sets)
+                    sids, sets, size = [], [], 0
+            yield rows(sids, sets)
 
     return of
 
