@@ -1,9 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from xylem.llm import toxicity as t
-from xylem.llm.common import word_hashes
 
 from .conftest import NO_DOCS, hostile, word
 
@@ -39,10 +39,29 @@ def test_held_out_accuracy(spark):
 
 def test_long_texts_are_scored_to_their_end():
     docs, labels = labelled()
-    model = t.train([word_hashes(x[1]) for x in docs], np.array([y for _, y in labels]))
-    toxic, clean = (next(word_hashes(d[1]) for d, (_, y) in zip(docs, labels) if y == k) for k in (1, 0))
-    alone, filler = model.scores([toxic])[0], np.concatenate([clean] * 3000)
-    assert model.scores([np.concatenate([filler, toxic])])[0] >= alone - 0.2 > model.scores([filler])[0]
+    found = t.features(pa.array([x[1] for x in docs]))
+    model = t.train(found, np.array([y for _, y in labels]))
+    toxic, clean = (next(f for f, (_, y) in zip(found, labels) if y == k) for k in (1, 0))
+    alone, filler = model.scores([toxic])[0], np.concatenate([clean] * 3000, axis=1)
+    assert model.scores([np.concatenate([filler, toxic], axis=1)])[0] >= alone - 0.2 > model.scores([filler])[0]
+
+
+def test_scores_by_hand():
+    """The convolution and pooling of a text, and of several at once, written out."""
+    docs, labels = labelled(200)
+    found = t.features(pa.array([x[1] for x in docs] + ["", "one"]))
+    model = t.train(found[:-2], np.array([y for _, y in labels]))
+    want = []
+    for f in found:
+        ids = np.pad(model.places(f), ((0, 0), (2, 2)))
+        e, x = model.rows[ids].sum(0), []
+        for w, bank, bias in zip(t.WIDTHS, model.filters, model.biases):
+            values = np.array([[(e[i : i + w] * bank[:, :, k]).sum() for k in range(t.FILTERS)] for i in range(len(e) - w + 1)])
+            for n in range(t.TOP):
+                x += [max(0.0, (sorted({round(float(u), 5) for u in values[:, k]}, reverse=True) + [-9e9] * t.TOP)[n] + bias[n, k]) for k in range(t.FILTERS)]
+        want.append(1 / (1 + np.exp(-(np.array(x) @ model.weights + model.offset))))
+    assert np.allclose(model.scores(found), want, atol=1e-2)
+    assert np.allclose(model.scores(found), [model.scores([f])[0] for f in found], atol=1e-5)
 
 
 def test_one_kind_of_labels_rejects_nothing(spark):

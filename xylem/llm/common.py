@@ -123,8 +123,8 @@ def _doubtful(text: str) -> str:
     return "\n".join(out)
 
 
-def _hash_chunk(data: np.ndarray, edges: np.ndarray, ends: bool):
-    """Word hashes of all texts in ``data``, each text's first word, and whether a sentence ends with each word."""
+def _hash_chunk(data: np.ndarray, edges: np.ndarray, ends: bool, stems: tuple[int, ...] = ()):
+    """Word hashes of all texts in ``data``, each text's first word, and whether a sentence ends with each word; with ``stems`` a row of hashes each."""
     kind = _KIND[data]
     keep = kind == 1
     gap = (kind == 2).astype(np.int32)
@@ -137,6 +137,8 @@ def _hash_chunk(data: np.ndarray, edges: np.ndarray, ends: bool):
     values = data[at].astype(np.uint64) + np.uint64(1)
     h = run_hashes(values, bounds[:-1], bounds[1:])
     h[h == 0] = 1
+    if stems:
+        h = np.stack([h, *(mix(run_hashes(values, bounds[:-1], np.minimum(bounds[:-1] + n, bounds[1:])) + np.uint64(n)) for n in stems)])
     begins = at[first]
     of = np.searchsorted(begins, edges)
     if not ends:
@@ -158,9 +160,11 @@ def word_arrays(column: pa.Array, ends: bool = False) -> list:
     return list(each_word_array(column, ends))
 
 
-def each_word_array(column: pa.Array, ends: bool = False) -> Iterator:
+def each_word_array(column: pa.Array, ends: bool = False, stems: tuple[int, ...] = ()) -> Iterator:
     """For each text of an Arrow column the hashes of its words, in order; with ``ends`` also whether a sentence ends there.
 
+    With ``stems`` a matrix: the words in the first row, then for each number the words' beginnings of so many bytes.
+
     A sentence ends with a white-space separated piece whose last character is one of ``. ! ? ; : ,``, with a line, and with the text.
     """
     if isinstance(column, pa.ChunkedArray):
@@ -169,7 +173,7 @@ def each_word_array(column: pa.Array, ends: bool = False) -> Iterator:
     if parts > 1:
         edges = [len(column) * k // parts for k in range(parts + 1)]
         for a, b in zip(edges, edges[1:]):
-            yield from each_word_array(column[a:b], ends)
+            yield from each_word_array(column[a:b], ends, stems)
         return
     lower = pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), "")
     edges = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
@@ -187,10 +191,10 @@ def each_word_array(column: pa.Array, ends: bool = False) -> Iterator:
             raw = [t.encode() for t in texts]
             part = np.frombuffer(b"".join(raw), np.uint8)
             local = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        h, of, end = _hash_chunk(part, local, ends)
+        h, of, end = _hash_chunk(part, local, ends, stems)
         of = of.tolist()
         for a, b in zip(of, of[1:]):
-            yield (h[a:b], end[a:b]) if ends else h[a:b]
+            yield (h[a:b], end[a:b]) if ends else h[..., a:b]
         lo = hi
 
 

@@ -1,7 +1,8 @@
 """Operator 5: toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed; words of the training texts have an embedding row, all others are zero. Filters of several widths run over the
-text, their maxima (over the whole text, however long) feed a logistic unit. The first component of a row starts as the word's smoothed
+Words are hashed, and so are their beginnings (``STEMS`` bytes, for inflected and compound forms); hashes of the training texts have an
+embedding row, all others are zero, and a word's embedding is the sum of its rows. Filters of several widths run over the
+text; the greatest values of each (the maximum and the next ``TOP`` - 1 different ones, over the whole text, however long) feed a logistic unit. The first component of a row starts as the word's smoothed
 log-odds of occurring in toxic texts, the others as small values drawn from the hash; then rows, filters and the unit are
 trained by AdaGrad. A part of the labelled sample is held out, on which the threshold of each language is set.
 
@@ -16,18 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, pick, word_arrays
+from .common import each_word_array, mix, pick
 
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
+#: Lengths of the beginnings, and how many of a filter's greatest values (different ones) go on.
+STEMS, TOP = (5, 7), 3
 #: A word has a row if it is in so many training texts.
 LEAST_TEXTS = 3
 EPOCHS, RATE, DECAY = 5, 0.05, 1e-4
+#: Divisors of the log-odds that rows start with: of all, and more for rare words.
+ODDS, SHRINK = 6, 5
 #: A language has a threshold of its own from so many toxic and other held-out texts on.
 LEAST_HELD_OUT = 5
 _PAD = max(WIDTHS) - 1
 
 
+def features(column: pa.Array) -> list[np.ndarray]:
+    """For each text the hashes of its words and of their beginnings, a row each."""
+    return list(each_word_array(column, stems=STEMS))
+
+
 class Model:
     """Sorted word hashes, their rows (row 0: all other words), filters, biases, the unit's weights, thresholds by language."""
 
@@ -37,16 +47,16 @@ class Model:
 
     def places(self, words: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(words), np.int64)
+            return np.zeros(words.shape, np.int64)
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         return np.where(self.keys[at] == words, at + 1, 0)
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """The probability of each text, given its word hashes."""
+        """The probability of each text, given its ``features``."""
         if not texts:
             return np.empty(0)
         out, lo = [], 0
-        sizes = np.cumsum([len(t) for t in texts])
+        sizes = np.cumsum([t.shape[1] for t in texts])
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + 100_000, "right")))
             out.append(self._scores(texts[lo:hi]))
@@ -54,19 +64,27 @@ class Model:
         return np.concatenate(out)
 
     def _scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        lengths = np.array([len(t) for t in texts])
+        lengths = np.array([t.shape[1] for t in texts])
         begins = np.concatenate([[0], np.cumsum(lengths[:-1] + _PAD)])  # of each text's padding
-        ids = np.zeros(int(lengths.sum()) + _PAD * (len(texts) + 1), np.int64)
+        ids = np.zeros((1 + len(STEMS), int(lengths.sum()) + _PAD * (len(texts) + 1)), np.int64)
         where = np.arange(int(lengths.sum())) + np.repeat(_PAD * (np.arange(len(texts)) + 1), lengths)
-        ids[where] = self.places(np.concatenate(texts))
-        features = []
+        ids[:, where] = self.places(np.concatenate(texts, axis=1))
+        edges = np.append(begins, ids.shape[1])
+        sizes = {w: np.diff(np.minimum(edges, ids.shape[1] - w + 1)) for w in WIDTHS}
+        maxima = []
         for w, bank, bias in zip(WIDTHS, self.filters, self.biases):
-            n = len(ids) - w + 1
-            total = (self.rows @ bank[0])[ids[:n]]
-            for k in range(1, w):
-                total += (self.rows @ bank[k])[ids[k : n + k]]
-            features.append(np.maximum(np.maximum.reduceat(total, begins) + bias, 0))
-        z = np.concatenate(features, axis=1) @ self.weights + self.offset
+            n = ids.shape[1] - w + 1
+            total = np.zeros((n, FILTERS), np.float32)
+            for k in range(w):
+                by_row = self.rows @ bank[k]
+                for own in ids:
+                    total += by_row[own[k : n + k]]
+            for k in range(TOP):
+                best = np.maximum.reduceat(total, begins)
+                maxima.append(np.maximum(best + bias[k], 0))
+                if k + 1 < TOP:
+                    total[total == np.repeat(best, sizes[w], 0)] = -np.inf
+        z = np.concatenate(maxima, axis=1) @ self.weights + self.offset
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
 
     def threshold(self, lang) -> float:
@@ -74,7 +92,7 @@ class Model:
 
 
 def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
-    """A model of word-hash arrays and their labels (0 or 1)."""
+    """A model of texts' ``features`` and their labels (0 or 1)."""
     distinct = [np.unique(t) for t in texts]
     pos = np.concatenate([d for d, y in zip(distinct, toxic) if y] or [np.empty(0, np.uint64)])
     every = np.concatenate(distinct or [np.empty(0, np.uint64)])
@@ -90,15 +108,15 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     rows = np.zeros((len(keys) + 1, DIM), np.float32)
     for d in range(1, DIM):
         rows[1:, d] = (mix(keys + np.uint64(d)) >> np.uint64(40)).astype(np.float32) / (1 << 24) * 0.1 - 0.05
-    rows[1:, 0] = odds / 4
+    rows[1:, 0] = odds / ODDS * count / (count + SHRINK)
     rng = np.random.default_rng(seed)
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for bank in filters:
         bank[:, 0, :] += 1 / bank.shape[0]
-    biases = [np.full(FILTERS, -0.1, np.float32) for _ in WIDTHS]
-    weights = np.full(FILTERS * len(WIDTHS), 0.1, np.float32)
+    biases = [np.full((TOP, FILTERS), -0.1, np.float32) for _ in WIDTHS]
+    weights = np.full(FILTERS * TOP * len(WIDTHS), 0.1, np.float32)
     model = Model(keys, rows, filters, biases, weights, -1.0)
-    ids = [np.concatenate([np.zeros(_PAD, np.int64), model.places(t), np.zeros(_PAD, np.int64)]) for t in texts]
+    ids = [np.pad(model.places(t), ((0, 0), (_PAD, _PAD))) for t in texts]
     squares = [np.full_like(x, 1e-4) for x in (rows, *filters, *biases, weights)]
     offset_square = 1e-4
 
@@ -109,16 +127,20 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     importance = np.where(toxic == 1, 0.5 * len(toxic) / n1, 0.5 * len(toxic) / n0)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(ids)):
-            e = model.rows[ids[i]]
+            e = model.rows[ids[i]].sum(0)
             places, values = [], []
             for w, bank, bias in zip(WIDTHS, model.filters, model.biases):
                 n = len(e) - w + 1
                 total = e[:n] @ bank[0]
                 for k in range(1, w):
                     total += e[k : n + k] @ bank[k]
-                at = total.argmax(0)
+                at = []
+                for k in range(TOP):
+                    at.append(total.argmax(0))
+                    best = total[at[-1], np.arange(FILTERS)]
+                    values.append(best + bias[k])
+                    total[total == best] = -np.inf
                 places.append(at)
-                values.append(total[at, np.arange(FILTERS)] + bias)
             x = np.concatenate(values)
             live = x > 0
             z = float(np.maximum(x, 0) @ model.weights + model.offset)
@@ -127,15 +149,17 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
             step(model.weights, squares[-1], (d * np.maximum(x, 0) + DECAY * model.weights).astype(np.float32))
             offset_square += d * d
             model.offset -= RATE * d / np.sqrt(offset_square)
-            for j, (w, at) in enumerate(zip(WIDTHS, places)):
-                g = back[j * FILTERS : (j + 1) * FILTERS]
+            for place, at in enumerate(at for ats in places for at in ats):
+                g = back[place * FILTERS : (place + 1) * FILTERS]
                 if not g.any():
                     continue
+                j, nth = divmod(place, TOP)
+                w = WIDTHS[j]
                 bank = model.filters[j]
                 grads = np.stack([e[at + k].T * g for k in range(w)])
                 for k in range(w):
-                    words = ids[i][at + k]
-                    change = bank[k].T * g[:, None]
+                    words = ids[i][:, at + k].ravel()
+                    change = np.tile(bank[k].T * g[:, None], (len(ids[i]), 1))
                     real = words > 0
                     if real.any():
                         u, back_to = np.unique(words[real], return_inverse=True)
@@ -143,7 +167,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
                         np.add.at(total, back_to, change[real])
                         step(model.rows, squares[0], total, u)
                 step(bank, squares[1 + j], grads)
-                step(model.biases[j], squares[1 + len(WIDTHS) + j], g)
+                step(model.biases[j], squares[1 + len(WIDTHS) + j], g, nth)
     return model
 
 
@@ -169,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_
     rows = rows.sort_values(["l_id", "text"]).drop_duplicates(["l_id", "text"])
     y = rows["toxic"].to_numpy(np.int64)
     if not len(y) or y.min() == y.max():
-        return Model(np.empty(0, np.uint64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), -1.0)
-    texts = word_arrays(pa.array(rows["text"], pa.string()))
+        return Model(np.empty(0, np.uint64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros((TOP, FILTERS), np.float32) for _ in WIDTHS], np.zeros(FILTERS * TOP * len(WIDTHS), np.float32), -1.0)
+    texts = features(pa.array(rows["text"], pa.string()))
     held = (mix(rows["l_id"].to_numpy(np.int64).view(np.uint64) + np.uint64(11)) >> np.uint64(33)) % np.uint64(4) == 0
     if y[held].min(initial=1) == y[held].max(initial=0) or y[~held].min(initial=1) == y[~held].max(initial=0) or held.sum() < 2 * LEAST_HELD_OUT:
         held = np.zeros(len(y), bool)
@@ -189,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_
 def _score(model: Model):
     def of(batches):
         for batch in batches:
-            scores = model.scores(word_arrays(batch.column(0)))
+            scores = model.scores(features(batch.column(0)))
             cut = np.array([model.threshold(x) for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(scores), pa.array(cut, pa.float64()), pa.array(scores >= cut if len(cut) else [], pa.bool_()), *batch.columns], names=["score", "threshold", "toxic", *batch.schema.names])
 
