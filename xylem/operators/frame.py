@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from xylem.functions import interp
 from xylem.plans import grammar as g
-from xylem.plans.compile import NODE, Plan, Unsupported, compiled
+from xylem.plans.compile import NODE, Plan, compiled
 from xylem.sources import markup
 
 _VALUE_FREE = frozenset(("count", "position", "last", "true", "false", "boolean", "not", "name", "local-name", "namespace-uri", "lang"))
@@ -157,23 +157,7 @@ class XmlFrame:
         e = compiled(xpath)
         if g.kind(e) == g.NODESET:
             return self.xpath_string(xpath, context)
-        try:
-            return self.plan(e, ("value",), context).value(e)
-        except Unsupported:
-            return self._whole(xpath, context, g.kind(e))
-
-    def _whole(self, xpath: str, context: str, kind: str) -> DataFrame:
-        import pyarrow as pa
-
-        def of(batches):
-            for batch in batches:
-                pairs = [(i, interp.evaluate(x, xpath, context)[1]) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if x is not None]
-                arrow = {g.STRING: pa.string(), g.NUMBER: pa.float64(), g.BOOLEAN: pa.bool_()}[kind]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], arrow)], names=["doc_id", "value"])
-
-        if self.docs is None:
-            raise Unsupported(f"{xpath!r} needs the documents")
-        return self.docs.mapInArrow(of, "doc_id long, value " + {g.STRING: "string", g.NUMBER: "double", g.BOOLEAN: "boolean"}[kind])
+        return self.plan(e, ("value",), context).value(e)
 
     def display(self, xpath: str, context: str = "element") -> DataFrame:
         """(doc_id, value): node string-values joined by line ends, or the scalar as a string."""

@@ -57,6 +57,15 @@ def _self(e) -> bool:
     return isinstance(e, g.Path) and e.start is None and not e.absolute and e.steps == (g.Step("self", g.Test("node")),)
 
 
+def _document_wide(e) -> bool:
+    """Whether a node-set is the same for every context node of a document."""
+    if isinstance(e, g.Union):
+        return _document_wide(e.left) and _document_wide(e.right)
+    if isinstance(e, g.Filter):
+        return _document_wide(e.base)
+    return isinstance(e, g.Path) and (e.absolute if e.start is None else _document_wide(e.start))
+
+
 def _own_attributes(test: g.Test) -> Column:
     def good(a: Column) -> Column:
         if test.kind == "name":
@@ -247,8 +256,8 @@ class Plan:
         negated = isinstance(p, g.Call) and p.name == "not"
         inner = p.args[0] if negated else p
         if g.kind(inner) == g.NODESET and not _plain_attribute(inner) and not _self(inner):
-            keys = self.per_context(inner, s).select(*[_c(k).alias(f"j_{k}") for k in KEY]).distinct()
-            on = (_c("doc_id") == _c("j_doc_id")) & (_c("pre") == _c("j_cp")) & (_c("aord") == _c("j_ca"))
+            columns, on = self.link(inner)
+            keys = self.per_context(inner, s).select(*[_c(k).alias(f"j_{k}") for k in columns])
             return s.join(keys, on, "left_anti" if negated else "left_semi")
         s, flag = self.scalar(s, p, g.BOOLEAN)
         return s.where(flag)
@@ -261,15 +270,24 @@ class Plan:
             if first.predicates:
                 kids = self.filtered(kids.withColumns({"sp": _c("cp"), "sa": _c("ca")}), first.predicates, False).drop(*STEP)
             return self.walk(kids, e.steps[1:], single=False)
+        if _document_wide(e):
+            return self.nodeset(e, None)
         ctx = s.select("doc_id", _c("pre").alias("cp"), _c("aord").alias("ca"), *NODE).dropDuplicates(KEY)
         return self.nodeset(e, ctx)
 
-    def attach(self, s: DataFrame, facts: DataFrame, column: Column, default) -> tuple[DataFrame, Column]:
-        """``s`` with one more column, from an aggregate of ``facts`` by context."""
-        name = f"x{next(_NUMBERS)}"
-        per = facts.groupBy(*[_c(k).alias(f"j_{k}") for k in KEY]).agg(column.alias(name))
-        on = (_c("doc_id") == _c("j_doc_id")) & (_c("pre") == _c("j_cp")) & (_c("aord") == _c("j_ca"))
-        joined = s.join(per, on, "left").drop(*[f"j_{k}" for k in KEY])
+    @staticmethod
+    def link(e) -> tuple[list[str], Column]:
+        """The columns of ``per_context``'s key, and the condition that joins them, named j_..., to their context nodes."""
+        same_doc = _c("doc_id") == _c("j_doc_id")
+        if _document_wide(e):
+            return ["doc_id"], same_doc
+        return KEY, same_doc & (_c("pre") == _c("j_cp")) & (_c("aord") == _c("j_ca"))
+
+    def attach(self, s: DataFrame, e, facts: DataFrame, column: Column, default) -> tuple[DataFrame, Column]:
+        """``s`` with one more column, from an aggregate of ``facts`` (rows of ``per_context`` of e) by context."""
+        name, (columns, on) = f"x{next(_NUMBERS)}", self.link(e)
+        per = facts.groupBy(*[_c(k).alias(f"j_{k}") for k in columns]).agg(column.alias(name))
+        joined = s.join(per, on, "left").drop(*[f"j_{k}" for k in columns])
         return joined, F.coalesce(_c(name), F.lit(default))
 
     # scalars: s gets the columns that the expression needs
@@ -296,9 +314,9 @@ class Plan:
             own = _own_attributes(test)
             c = F.coalesce(F.size(own) > 0, F.lit(False)) if want == g.BOOLEAN else v.text(F.get(own, F.lit(0))["value"])
         elif want == g.BOOLEAN:
-            return self.attach(s, self.per_context(e, s), F.max(F.lit(True)), False)
+            return self.attach(s, e, self.per_context(e, s), F.max(F.lit(True)), False)
         else:
-            s, c = self.attach(s, self.per_context(e, s), F.min_by("value", F.struct("pre", "aord")), "")
+            s, c = self.attach(s, e, self.per_context(e, s), F.min_by("value", F.struct("pre", "aord")), "")
         return s, (v.number(c) if want == g.NUMBER else c)
 
     def typed(self, s: DataFrame, e) -> tuple[DataFrame, Column]:
@@ -356,25 +374,43 @@ class Plan:
         if test := _plain_attribute(left):
             return s, F.coalesce(F.exists(_own_attributes(test), lambda a: self.pair(as_wanted(a["value"]), op, b, want)), F.lit(False))
         facts = self.per_context(left, s)
+        if g.uses_position(right):  # one value for each row, not for each node
+            row = [*KEY, *STEP, "pre", "aord"]
+            own = s.select(*[_c(c).alias(f"b_{c}") for c in row], b.alias("b"))
+            on = _c("doc_id") == _c("b_doc_id")
+            if not _document_wide(left):
+                on = on & (_c("cp") == _c("b_pre")) & (_c("ca") == _c("b_aord"))
+            name = f"x{next(_NUMBERS)}"
+            per = facts.join(own, on).groupBy(*[f"b_{c}" for c in row]).agg(F.max(self.pair(as_wanted(_c("value")), op, _c("b"), want)).alias(name))
+            same = functools.reduce(lambda x, y: x & y, [_c(c) == _c(f"b_{c}") for c in row])
+            return s.join(per, same, "left").drop(*[f"b_{c}" for c in row]), F.coalesce(_c(name), F.lit(False))
         if not isinstance(right, g.Literal | g.Number):
             own = s.select(_c("doc_id").alias("b_doc"), _c("pre").alias("b_pre"), _c("aord").alias("b_aord"), b.alias("b")).distinct()
-            facts = facts.join(own, (_c("doc_id") == _c("b_doc")) & (_c("cp") == _c("b_pre")) & (_c("ca") == _c("b_aord")))
-            # a right side that counts positions has one value for each row, not for each node
-            if g.uses_position(right):
-                raise Unsupported("a node-set compared with a position")
+            if _document_wide(left):  # the right side may differ from node to node
+                facts = facts.drop("cp", "ca").join(own, _c("doc_id") == _c("b_doc")).withColumns({"cp": _c("b_pre"), "ca": _c("b_aord")})
+                left = g.Path((g.Step("self", g.Test("node")),))
+            else:
+                facts = facts.join(own, (_c("doc_id") == _c("b_doc")) & (_c("cp") == _c("b_pre")) & (_c("ca") == _c("b_aord")))
             b = _c("b")
-        return self.attach(s, facts, F.max(self.pair(as_wanted(_c("value")), op, b, want)), False)
+        return self.attach(s, left, facts, F.max(self.pair(as_wanted(_c("value")), op, b, want)), False)
 
     def any_pair(self, s: DataFrame, left, op: str, right) -> tuple[DataFrame, Column]:
+        if op == "=" and _document_wide(left) != _document_wide(right):
+            # one side by document, the other by context node
+            wide, own = (left, right) if _document_wide(left) else (right, left)
+            a, b = self.per_context(wide, s), self.per_context(own, s)
+            a = a.select(_c("doc_id").alias("a_doc"), v.text(_c("value")).alias("a_w")).distinct()
+            met = b.select(*KEY, v.text(_c("value")).alias("w")).join(a, (_c("doc_id") == _c("a_doc")) & (_c("w") == _c("a_w")), "left_semi")
+            return self.attach(s, own, met, F.max(F.lit(True)), False)
         a, b = (self.per_context(x, s) for x in (left, right))
         if op == "=":
             a, b = (x.select(*KEY, v.text(_c("value")).alias("w")).distinct() for x in (a, b))
-            return self.attach(s, a.join(b, [*KEY, "w"]), F.max(F.lit(True)), False)
+            return self.attach(s, left, a.join(b, [*KEY, "w"]), F.max(F.lit(True)), False)
         n = v.number(_c("value"))
         w = v.text(_c("value")) if op == "!=" else F.when(~F.isnan(n), n)
-        s, _ = self.attach(s, a, F.struct(F.min(w).alias("lo"), F.max(w).alias("hi")), None)
+        s, _ = self.attach(s, left, a, F.struct(F.min(w).alias("lo"), F.max(w).alias("hi")), None)
         x = _c(s.columns[-1])
-        s, _ = self.attach(s, b, F.struct(F.min(w).alias("lo"), F.max(w).alias("hi")), None)
+        s, _ = self.attach(s, right, b, F.struct(F.min(w).alias("lo"), F.max(w).alias("hi")), None)
         y = _c(s.columns[-1])
         if op == "!=":  # all the same only if both sets hold one and the same value
             c = (x["lo"] != y["hi"]) | (x["hi"] != y["lo"])
@@ -396,7 +432,7 @@ class Plan:
                 return s, F.coalesce(F.size(_own_attributes(test)).cast("double"), F.lit(0.0))
             facts = self.per_context(args[0], s)
             column = F.count(F.lit(1)).cast("double") if name == "count" else F.sum(v.number(_c("value")))
-            return self.attach(s, facts, column, 0.0)
+            return self.attach(s, args[0], facts, column, 0.0)
         if name in ("boolean", "not"):
             s, c = self.scalar(s, args[0], g.BOOLEAN)
             return s, (c if name == "boolean" else ~c)
@@ -407,7 +443,7 @@ class Plan:
         if name in ("name", "local-name", "namespace-uri"):
             column = "uri" if name == "namespace-uri" else "name"
             if args and not _self(args[0]):
-                s, c = self.attach(s, self.per_context(args[0], s), F.min_by(v.text(_c(column)), F.struct("pre", "aord")), "")
+                s, c = self.attach(s, args[0], self.per_context(args[0], s), F.min_by(v.text(_c(column)), F.struct("pre", "aord")), "")
             else:
                 c = v.text(_c(column))
             return s, (v.local_name(c) if name == "local-name" else c)
@@ -450,10 +486,6 @@ class Plan:
         return s.select("doc_id", c.alias("value"))
 
 
-class Unsupported(NotImplementedError):
-    """Rare forms that only whole-document evaluation has."""
-
-
 def _uses(e, name: str) -> bool:
     """Whether the function occurs anywhere in the expression."""
     if isinstance(e, g.Call):
