@@ -2,7 +2,7 @@ import re
 
 from xylem.llm import substring_dedup as s
 
-from .conftest import NO_DOCS, hostile
+from .conftest import NO_DOCS, hostile, word
 
 
 def brute(docs, span, min_words):
@@ -69,6 +69,17 @@ def test_planted_passages(spark, rng, sentence):
     assert all(passage[:60].lower() not in got[i].lower() and passage[-60:].lower() not in got[i].lower() for i in range(1, 6))
 
 
+def test_passages_without_signs(spark, rng):
+    """Text that has no sentence ends at all is cut by its words."""
+    words = lambda n: " ".join(word(rng) for _ in range(n))
+    passage = words(90)
+    docs = [(i, f"{words(50)} {passage} {words(50)}") for i in range(5)]
+    for r in s.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        left = [w for w in passage.split() if w in r.text.split()]
+        assert r.doc_id == 0 and r.n_removed == 0 or r.doc_id and len(left) < 45
+        assert all(w in r.text.split() for w in docs[r.doc_id][1].split()[:30] + docs[r.doc_id][1].split()[-30:])
+
+
 def test_repeats_within_a_text(spark, sentence):
     block = " ".join(sentence(9) for _ in range(4))
     r = s.substring_dedup(spark.createDataFrame([(1, f"{block}\n{block}\n{block}")], "doc_id long, text string")).collect()[0]

@@ -6,7 +6,8 @@ text, and the sentences that such a run covers are removed.
 
 A sentence ends after a white-space separated piece that ends with one of ``. ! ? ; : ,`` and at a line end (so
 that a long sentence gives several, and a passage has enough of them); a stretch without words goes with what follows,
-at the end of the text with what precedes.  What is hashed are the words (see ``common``): case, punctuation and spacing don't matter.
+at the end of the text with what precedes.  A sentence of more than ``LONG`` words (text without signs) is cut after each word whose
+hash ``CUT`` divides: where the cuts lie depends on the words alone, so copies are cut alike.  What is hashed are the words (see ``common``): case, punctuation and spacing don't matter.
 Every run of ``span`` sentences is extended over the following ones until it has ``min_words`` words, and likewise
 backwards; runs that reach a text's edge before that are not hashed.
 """
@@ -24,13 +25,19 @@ from .common import _NOT_WORD, pick, positional, run_hashes, word_arrays
 
 SPAN = 3
 MIN_WORDS = 20
+LONG, CUT = 24, 8
 
 _FIND = re.compile(r"\S+").finditer
 
 
-def _starts(ends: np.ndarray) -> np.ndarray:
+def _starts(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The index of each sentence's first word, and the number of words."""
-    return np.concatenate([np.zeros(1, np.int64), np.flatnonzero(ends) + 1])
+    starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(ends) + 1])
+    long = np.diff(starts) > LONG
+    if long.any():
+        cuts = np.repeat(long, np.diff(starts)) & (words % np.uint64(CUT) == 0)
+        starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(ends | cuts) + 1])
+    return starts
 
 
 def runs(starts: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +59,7 @@ def _hash_runs(span: int, min_words: int):
             null = np.asarray(batch.column(0).is_null())
             out = []
             for k, (words, ends) in enumerate(word_arrays(batch.column(2), ends=True)):
-                starts = _starts(ends)
+                starts = _starts(words, ends)
                 a, b = runs(starts, span, min_words)
                 if len(a):
                     out.append((k, a, b, run_hashes(words, starts[a], starts[b + 1])))
@@ -89,9 +96,9 @@ def _rewrite():
             out, drops = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             changed = [k for k, ranges in enumerate(drops) if ranges]
             cut = [0] * len(out)
-            for k, (_, ends) in zip(changed, word_arrays(batch.column(0).take(pa.array(changed, pa.int64())), ends=True)):
+            for k, (words, ends) in zip(changed, word_arrays(batch.column(0).take(pa.array(changed, pa.int64())), ends=True)):
                 drop = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in drops[k]]))
-                out[k], cut[k] = remove(out[k], _starts(ends), drop), len(drop)
+                out[k], cut[k] = remove(out[k], _starts(words, ends), drop), len(drop)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()), pa.array(cut, pa.int32()), *batch.columns[2:]], names=["text", "n_removed", *batch.schema.names[2:]]
             )
