@@ -31,6 +31,8 @@ ODDS, SHRINK = 6, 5
 #: A language has a threshold of its own from so many toxic and other held-out texts on.
 LEAST_HELD_OUT = 5
 _PAD = max(WIDTHS) - 1
+#: All bits of a hash but the first 20.
+_SHIFT = np.uint64(44)
 
 
 def features(column: pa.Array) -> list[np.ndarray]:
@@ -44,12 +46,29 @@ class Model:
     def __init__(self, keys, rows, filters, biases, weights, offset):
         self.keys, self.rows, self.filters, self.biases, self.weights, self.offset = keys, rows, filters, biases, weights, offset
         self.thresholds: dict = {None: 2.0}
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        """The table of first bits is made anew in each process."""
+        return self.__dict__ | {"table": None}
 
     def places(self, words: np.ndarray) -> np.ndarray:
+        """The row of each hash. Most are found, or found to be missing, by their first bits alone; the rest by binary search."""
         if not len(self.keys):
             return np.zeros(words.shape, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, at + 1, 0)
+        if self.table is None:
+            bucket = (self.keys >> _SHIFT).astype(np.int64)
+            self.table = np.full(1 << (64 - int(_SHIFT)), -1, np.int32)
+            self.table[bucket[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]  # the bucket's first key
+            self.table[bucket[1:][bucket[1:] == bucket[:-1]]] = -2
+        at = self.table[(words >> _SHIFT).astype(np.int64)]
+        found = np.where((at >= 0) & (self.keys[at] == words), at + 1, 0).astype(np.int64)
+        several = at == -2
+        if several.any():
+            w = words[several]
+            at = np.minimum(np.searchsorted(self.keys, w), len(self.keys) - 1)
+            found[several] = np.where(self.keys[at] == w, at + 1, 0)
+        return found
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """The probability of each text, given its ``features``."""
@@ -71,19 +90,20 @@ class Model:
         ids[:, where] = self.places(np.concatenate(texts, axis=1))
         edges = np.append(begins, ids.shape[1])
         sizes = {w: np.diff(np.minimum(edges, ids.shape[1] - w + 1)) for w in WIDTHS}
+        e = self.rows[ids[0]]
+        for own in ids[1:]:
+            e += self.rows[own]
         maxima = []
         for w, bank, bias in zip(WIDTHS, self.filters, self.biases):
             n = ids.shape[1] - w + 1
-            total = np.zeros((n, FILTERS), np.float32)
-            for k in range(w):
-                by_row = self.rows @ bank[k]
-                for own in ids:
-                    total += by_row[own[k : n + k]]
+            total = e[:n] @ bank[0]
+            for k in range(1, w):
+                total += e[k : n + k] @ bank[k]
             for k in range(TOP):
                 best = np.maximum.reduceat(total, begins)
                 maxima.append(np.maximum(best + bias[k], 0))
                 if k + 1 < TOP:
-                    total[total == np.repeat(best, sizes[w], 0)] = -np.inf
+                    np.putmask(total, total == np.repeat(best, sizes[w], 0), -np.inf)
         z = np.concatenate(maxima, axis=1) @ self.weights + self.offset
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
 
