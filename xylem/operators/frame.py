@@ -7,7 +7,7 @@ nodes, empty ones the root alone, repeated rows of one doc_id are one document o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import interp
@@ -159,6 +159,34 @@ class XmlFrame:
             return self.xpath_string(xpath, context)
         return self.plan(e, ("value",), context).value(e)
 
+    def xpath_from(self, contexts: DataFrame, xpath: str) -> DataFrame:
+        """(doc_id, context, pre, aord, kind, name, value): the result for each node in ``contexts`` (doc_id, pre), which paths start from."""
+        e = compiled(xpath)
+        if g.kind(e) != g.NODESET:
+            raise g.XPathError(f"{xpath!r} gives no nodes")
+        plan = Plan(self.nodes())
+        starts = contexts.select(F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre")).distinct()
+        own = plan.n.join(starts, (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_pre")))
+        ctx = own.select("doc_id", F.col("pre").alias("cp"), F.lit(0).alias("ca"), *NODE)
+        return plan.nodeset(e, ctx).select("doc_id", F.col("cp").alias("context"), "pre", "aord", "kind", "name", F.coalesce("value", F.lit("")).alias("value"))
+
+    def shred(self, rows: str, columns: dict[str, tuple[str, str]], context: str = "root") -> DataFrame:
+        """One row for each node of ``rows``: doc_id, pre, and a column for each name: (XPath from that node, type).
+
+        Values are cast from the result's string, or its number for numeric types; what can't be cast is null, a missing node is null too.
+        """
+        plan = Plan(self.nodes(), context)
+        s = plan.nodeset(compiled(rows), None).withColumns({"sp": F.col("cp"), "sa": F.col("ca")})
+        out = []
+        for name, (xpath, kind) in columns.items():
+            e = compiled(xpath)
+            s, value = plan.scalar(s, e, g.STRING)
+            if g.kind(e) == g.NODESET:
+                s, there = plan.scalar(s, e, g.BOOLEAN)
+                value = F.when(there, value)
+            out.append(value.try_cast(kind).alias(name))
+        return s.select("doc_id", "pre", *out)
+
     def display(self, xpath: str, context: str = "element") -> DataFrame:
         """(doc_id, value): node string-values joined by line ends, or the scalar as a string."""
         e = compiled(xpath)
@@ -250,6 +278,16 @@ class XmlFrame:
         return _lists_of(self.docs, lambda x: interp.canonical(x, xpath), "xml")
 
 
+def standalone(spark: SparkSession, *xpaths: str) -> DataFrame:
+    """(expr, type, value): expressions that need no document, with their static type and the value as a string."""
+    frame = XmlFrame(spark.createDataFrame([(0, "<r/>")], "doc_id long, xml string"))
+    out = None
+    for x in xpaths:
+        one = frame.display(x).select(F.lit(x).alias("expr"), F.lit(g.kind(compiled(x))).alias("type"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _ordered(column: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pre", "aord", column))), lambda x: x[column])
 
@@ -270,4 +308,4 @@ def strings_per_document(docs: DataFrame, xpath: str, context: str = "element")
     return _lists_of(markup.docs_of(docs), lambda x: interp.strings(x, xpath, context), "value")
 
 
-__all__ = ["NODE", "XmlFrame", "distinct_docs", "may_match", "needed_columns", "needed_names", "strings_per_document"]
+__all__ = ["NODE", "XmlFrame", "distinct_docs", "may_match", "needed_columns", "needed_names", "standalone", "strings_per_document"]

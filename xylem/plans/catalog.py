@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import sql as sql_functions
-from xylem.operators.frame import XmlFrame, strings_per_document
+from xylem.operators.frame import XmlFrame, standalone, strings_per_document
 from xylem.sources import relational, store, workspace
 
 _STORES: dict[tuple[str, str, str], str] = {}
@@ -257,6 +257,31 @@ def _chat_turns(spark, sf_dir):
     return found.select("doc_id", F.row_number().over(w).cast("long").alias("k"), "value")
 
 
+def _xpath_from(spark, sf_dir):
+    orders = frame(spark, sf_dir, "order")
+    return orders.xpath_from(orders.xpath("//line[@flag = 'R']", "root"), "qty | ../../cust").select("doc_id", "name", "value")
+
+
+def _shred(spark, sf_dir):
+    columns = {"part": ("part", "bigint"), "qty": ("qty", "double"), "flag": ("@flag", "string"), "customer": ("../../cust", "bigint"), "gift": ("gift", "string"), "siblings": ("count(../line)", "int")}
+    return frame(spark, sf_dir, "order").shred("//line", columns).drop("pre")
+
+
+_STANDALONE = [
+    ("1 div 0", "number", "Infinity"), ("-1 div 0", "number", "-Infinity"), ("0 div 0", "number", "NaN"), ("-5 mod 2", "number", "-1"), ("1 div 3", "number", "0.333333333333333"), ("1e20", "number", "1e+20"),
+    ("round(-2.5)", "number", "-2"), ("floor(-1.5)", "number", "-2"), ("ceiling(1.2) * 3", "number", "6"), ("concat('a', 1, true())", "string", "a1true"), ("substring('12345', 1.5, 2.6)", "string", "234"),
+    ("'a' = 'b' or 2 > 1", "boolean", "true"), ("not('x')", "boolean", "false"), ("string-length('héé')", "number", "3"), ("translate('bar', 'abc', 'AB')", "string", "BAr"), ("number('x') = number('x')", "boolean", "false"),
+]
+
+
+def _standalone(spark, sf_dir):
+    return standalone(spark, *[x for x, _, _ in _STANDALONE])
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _decode_column(spark, sf_dir):
     """Entities replaced in a column, by expressions of the JVM alone."""
     from xylem.functions.values import decoded
@@ -306,6 +331,9 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "expression_column": (_expression_column, "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS value FROM part"),
     "events_per_type": (_events_per_type, "SELECT user_id AS doc_id, event_type AS type, count(*) AS n FROM events GROUP BY user_id, event_type"),
     "chat_turns": (_chat_turns, "SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, coalesce(text, '') AS value FROM conversations"),
+    "xpath_from": (_xpath_from, "SELECT l_orderkey AS doc_id, 'qty' AS name, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT o_orderkey, 'cust', CAST(o_custkey AS VARCHAR) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"),
+    "shred_rows": (_shred, f"{_OL}SELECT l_orderkey AS doc_id, l_partkey AS part, l_quantity AS qty, l_returnflag AS flag, o_custkey AS customer, CAST(NULL AS VARCHAR) AS gift, CAST(n AS INTEGER) AS siblings FROM ol JOIN orders ON l_orderkey = o_orderkey"),
+    "standalone": (_standalone, "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(x)}, '{t}', '{v}')" for x, t, v in _STANDALONE) + ") AS t(expr, type, value)"),
     "decode_entities": (_decode_column, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
 }
 
