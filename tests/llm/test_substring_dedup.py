@@ -1,10 +1,24 @@
 import re
 
 from xylem.llm import substring_dedup as s
+from xylem.llm.common import word_hashes
 
 from .conftest import NO_DOCS, hostile, word
 
 
+def cut(sentence):
+    """A sentence of too many words, cut by the rule for those."""
+    if len(sentence) <= s.LONG:
+        return [sentence]
+    out, current = [], []
+    for w, h in zip(sentence, word_hashes(" ".join(sentence)).tolist()):
+        current.append(w)
+        if h % s.CUT == 0:
+            out.append(current)
+            current = []
+    return out + [current] if current else out
+
+
 def brute(docs, span, min_words):
     """{(doc_id, text): numbers of the sentences that go}, straight from the definition."""
     runs = []
@@ -21,6 +35,7 @@ def brute(docs, span, min_words):
             if current:
                 sentences.append(current)
                 current = []
+        sentences = [part for x in sentences for part in cut(x)]
         n = len(sentences)
         spans = set()
         for i in range(n):
