@@ -7,7 +7,7 @@ are dropped.  ``None`` and blank texts have no words.
 
 from __future__ import annotations
 
-import os
+import ctypes
 import re
 import tempfile
 import uuid
@@ -23,7 +23,27 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast as 64-bit keys (about 100 MB in the JVM); beyond it the side is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Entries of a worker's word cache before it is emptied; bounds memory, never changes a result.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
+#: Rows that go to a Python worker at once, at most: texts can be long. A session that has fewer keeps them.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Have the session send texts to Python in batches of at most BATCH_ROWS."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system; idle workers would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -38,6 +58,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in at]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+    small_batches(df)
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"_{at[n]}").alias(n) for n in names])
 
@@ -47,6 +68,7 @@ def positional(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     at = {}
     for i, c in enumerate(df.columns):
         at.setdefault(c, i)
+    small_batches(df)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), {n: f"_{at[n]}" for n in names}
 
 
@@ -179,6 +201,8 @@ def each_word_array(column: pa.Array, ends: bool = False, stems: tuple[int, ...]
     edges = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, 8 * lower.offset)
     data = np.frombuffer(lower.buffers()[2], np.uint8) if lower.buffers()[2] is not None else np.empty(0, np.uint8)
     lo, n = 0, len(lower)
+    if n > 1:
+        give_back()
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _CHUNK_BYTES, "right")) - 1)
         part, local = data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hashes, pick, positional, semi_or_anti, word_arrays, word_hashes
+from .common import cut, each_word_array, gram_hashes, pick, positional, semi_or_anti, word_hashes
 
 N = 3
 #: Most that the product of a seed's word frequencies may be. A share, not a count: it means the same for any corpus.
@@ -87,7 +87,7 @@ def _count_words(vocabulary: np.ndarray):
     def of(batches):
         counts, total = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            for w in word_arrays(batch.column(0)):
+            for w in each_word_array(batch.column(0)):
                 total += len(w)
                 if len(w) and len(vocabulary):
                     at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
@@ -139,7 +139,7 @@ def _search(items: Items, seeds: dict[int, list[tuple[int, int]]], threshold: fl
     def of(batches):
         for batch in batches:
             out = []
-            for doc_id, words in zip(batch.column(0).to_pylist(), word_arrays(batch.column(1))):
+            for doc_id, words in zip(batch.column(0).to_pylist(), each_word_array(batch.column(1))):
                 hits = defaultdict(list)
                 for n in lengths:
                     if len(words) < n or not len(keys):
@@ -162,7 +162,7 @@ def _all_grams(lengths: list[int]):
     def of(batches):
         for batch in batches:
             ties, grams, places = [], [], []
-            for tie, words in zip(batch.column(0).to_pylist(), word_arrays(batch.column(1))):
+            for tie, words in zip(batch.column(0).to_pylist(), each_word_array(batch.column(1))):
                 for n in lengths:
                     if len(words) >= n:
                         g = gram_hashes(words, n)
@@ -229,7 +229,7 @@ def _item_grams(batches):
 def _corpus_words(batches):
     """(word, count) of each batch."""
     for batch in batches:
-        all_words = [w for w in word_arrays(batch.column(0)) if len(w)]
+        all_words = [w for w in each_word_array(batch.column(0)) if len(w)]
         v, c = np.unique(np.concatenate(all_words), return_counts=True) if all_words else (np.empty(0, np.uint64), np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "n"])
 

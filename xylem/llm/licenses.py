@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, word_arrays, word_hashes
+from .common import each_word_array, pick, word_hashes
 
 ANCHORS, COVERAGE, SLACK = 3, 0.75, 3
 
@@ -123,7 +123,7 @@ def _count(index: Index):
     def of(batches):
         df, n = np.zeros(len(index.vocabulary), np.int64), 0
         for batch in batches:
-            for words in word_arrays(batch.column(0)):
+            for words in each_word_array(batch.column(0)):
                 n += 1
                 df[np.unique(index.places(words)[1])] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.concatenate([[n], df]))], names=["word", "n"])
@@ -138,7 +138,7 @@ def _scan(index: Index):
     def of(batches):
         for batch in batches:
             out = []
-            for doc_id, words in zip(batch.column(0).to_pylist(), word_arrays(batch.column(1))):
+            for doc_id, words in zip(batch.column(0).to_pylist(), each_word_array(batch.column(1))):
                 at, number = index.places(words)
                 if len(at):
                     out += [(doc_id, index.names[t], t, start, n, share) for t, start, n, share in search(index, at, number)]

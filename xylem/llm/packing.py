@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, word_arrays
+from .common import cut, each_word_array, pick
 from .tokens import TOKENIZER, chunks
 
 CAPACITY = 8192
@@ -112,7 +112,7 @@ def _measure(path: str):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lengths = [tokenizer.length(t) if t else 0 for t in texts]
-            clusters = [xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63) for w in word_arrays(batch.column(1))]
+            clusters = [xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63) for w in each_word_array(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), batch.column(2), pa.array(clusters, pa.int64()), batch.column(3)], names=["doc_id", "n_tokens", "source", "cluster", "tie"])
 
     return of

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, pick, positional, run_hashes, word_arrays
+from .common import _NOT_WORD, each_word_array, pick, positional, run_hashes
 
 SPAN = 3
 MIN_WORDS = 20
@@ -58,24 +58,31 @@ def _hash_runs(span: int, min_words: int):
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             null = np.asarray(batch.column(0).is_null())
             out = []
-            for k, (words, ends) in enumerate(word_arrays(batch.column(2), ends=True)):
+            size = 0
+            for k, (words, ends) in enumerate(each_word_array(batch.column(2), ends=True)):
                 starts = _starts(words, ends)
                 a, b = runs(starts, span, min_words)
                 if len(a):
                     out.append((k, a, b, run_hashes(words, starts[a], starts[b + 1])))
-            if not out:
-                continue
-            at = np.concatenate([np.full(len(a), k) for k, a, _, _ in out])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([h for *_, h in out]).view(np.int64)),
-                    pa.array(ids[at].astype(np.int64, copy=False) if not null.any() else np.where(null[at], 0, ids[at]).astype(np.int64), mask=null[at]),
-                    pa.array(keys[at]),
-                    pa.array(np.concatenate([a for _, a, _, _ in out]).astype(np.int32)),
-                    pa.array(np.concatenate([b for _, _, b, _ in out]).astype(np.int32)),
-                ],
-                names=["h", "doc_id", "dk", "a", "b"],
-            )
+                    size += len(a)
+                if size > 100_000:
+                    yield rows(ids, keys, null, out)
+                    out, size = [], 0
+            if out:
+                yield rows(ids, keys, null, out)
+
+    def rows(ids, keys, null, out):
+        at = np.concatenate([np.full(len(a), k) for k, a, _, _ in out])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([h for *_, h in out]).view(np.int64)),
+                pa.array(ids[at].astype(np.int64, copy=False) if not null.any() else np.where(null[at], 0, ids[at]).astype(np.int64), mask=null[at]),
+                pa.array(keys[at]),
+                pa.array(np.concatenate([a for _, a, _, _ in out]).astype(np.int32)),
+                pa.array(np.concatenate([b for _, _, b, _ in out]).astype(np.int32)),
+            ],
+            names=["h", "doc_id", "dk", "a", "b"],
+        )
 
     return of
 
@@ -96,7 +103,7 @@ def _rewrite():
             out, drops = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             changed = [k for k, ranges in enumerate(drops) if ranges]
             cut = [0] * len(out)
-            for k, (words, ends) in zip(changed, word_arrays(batch.column(0).take(pa.array(changed, pa.int64())), ends=True)):
+            for k, (words, ends) in zip(changed, each_word_array(batch.column(0).take(pa.array(changed, pa.int64())), ends=True)):
                 drop = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in drops[k]]))
                 out[k], cut[k] = remove(out[k], _starts(words, ends), drop), len(drop)
             yield pa.RecordBatch.from_arrays(

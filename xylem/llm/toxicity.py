@@ -12,6 +12,8 @@ model's training alone. Every document is scored in full.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,16 +72,17 @@ class Model:
             found[several] = np.where(self.keys[at] == w, at + 1, 0)
         return found
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """The probability of each text, given its ``features``."""
-        if not texts:
-            return np.empty(0)
-        out, lo = [], 0
-        sizes = np.cumsum([t.shape[1] for t in texts])
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + 100_000, "right")))
-            out.append(self._scores(texts[lo:hi]))
-            lo = hi
+    def scores(self, texts: Iterable[np.ndarray]) -> np.ndarray:
+        """The probability of each text, given its ``features``, a few texts at a time."""
+        out, waiting, size = [np.empty(0)], [], 0
+        for t in texts:
+            waiting.append(t)
+            size += t.shape[1]
+            if size > 50_000:
+                out.append(self._scores(waiting))
+                waiting, size = [], 0
+        if waiting:
+            out.append(self._scores(waiting))
         return np.concatenate(out)
 
     def _scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -116,8 +119,12 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     distinct = [np.unique(t) for t in texts]
     pos = np.concatenate([d for d, y in zip(distinct, toxic) if y] or [np.empty(0, np.uint64)])
     every = np.concatenate(distinct or [np.empty(0, np.uint64)])
-    keys, count = np.unique(every, return_counts=True)
-    keys, count = keys[count >= LEAST_TEXTS], count[count >= LEAST_TEXTS]
+    del distinct
+    every.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+    count = np.diff(np.append(first, len(every)))
+    keys, count = every[first[count >= LEAST_TEXTS]], count[count >= LEAST_TEXTS]
+    del every, first
     p, c = np.unique(pos, return_counts=True)
     in_toxic = np.zeros(len(keys))
     if len(p) and len(keys):
@@ -136,7 +143,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     biases = [np.full((TOP, FILTERS), -0.1, np.float32) for _ in WIDTHS]
     weights = np.full(FILTERS * TOP * len(WIDTHS), 0.1, np.float32)
     model = Model(keys, rows, filters, biases, weights, -1.0)
-    ids = [np.pad(model.places(t), ((0, 0), (_PAD, _PAD))) for t in texts]
+    ids = [np.pad(model.places(t).astype(np.int32), ((0, 0), (_PAD, _PAD))) for t in texts]
     squares = [np.full_like(x, 1e-4) for x in (rows, *filters, *biases, weights)]
     offset_square = 1e-4
 
@@ -233,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_
 def _score(model: Model):
     def of(batches):
         for batch in batches:
-            scores = model.scores(features(batch.column(0)))
+            scores = model.scores(each_word_array(batch.column(0), stems=STEMS))
             cut = np.array([model.threshold(x) for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(scores), pa.array(cut, pa.float64()), pa.array(scores >= cut if len(cut) else [], pa.bool_()), *batch.columns], names=["score", "threshold", "toxic", *batch.schema.names])
 
