@@ -61,6 +61,19 @@ def test_large_groups(spark, rng, monkeypatch):
     assert [r.doc_id for r in j.keep_one_of_each_group(df).collect()] == [0]
 
 
+def test_copies_extended_to_twice_the_length(spark, rng, monkeypatch):
+    """Common n-grams are frequent, so the longer text's short lists end with its own n-grams and a few common ones."""
+    monkeypatch.setattr(j, "LEAST_SHARDS", 1)
+    docs = []
+    for g in range(3):
+        words = [word(rng) for _ in range(300)]
+        docs += [(len(docs) + c, " ".join(words[:-1] + [word(rng)])) for c in range(j.FREQUENT_LEAST + 2)]
+        docs += [(len(docs) + c, " ".join(words + [word(rng) for _ in range(300)])) for c in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(tuple(r.left_ids), tuple(r.right_ids), r.n_left, r.n_right, r.overlap) for r in j.ngram_jaccard_join(df).collect()}
+    assert got == brute_pairs(docs) and sum(a != b for _, _, a, b, _ in got) == 3 * 2 * (j.FREQUENT_LEAST + 2)
+
+
 def test_one_of_each_group_stays(spark, rng):
     docs = near_copies(rng)
     parent = {i: i for i, _ in docs}

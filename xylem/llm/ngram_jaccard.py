@@ -8,8 +8,10 @@ set aside, and short ones, which are merged; a document that reaches T lies in a
   order gives the same result.
 * In the second pass each document sends its short lists' postings: its n-grams but the last ceil(threshold * size) - 1
   of the common order (other n-grams by hash, frequent ones last).  N-grams are spread over shards.
-* In a shard the lists are merged, a part of them at a time, and occurrences counted.  By the pigeonhole principle a pair that reaches T - L over
-  all shards reaches its share in one of them; those pairs are the candidates.
+* In a shard the lists are merged, a part of them at a time, and occurrences counted.  Common n-grams that aren't in both short lists lie behind the
+  cut that comes first in the common order, so L is what that document sets aside.  By the pigeonhole principle a pair that reaches T - L over
+  all shards reaches its share in one of them. Shards that it doesn't reach it in have less than a share each, so the counts of the others,
+  added up, show which pairs can't reach T - L; the rest are the candidates.
 * Only candidates' full sets are fetched, to one cell for each group of candidates (a large group has a grid of cells, so that a
   document with many partners isn't copied for each); the remaining lists are probed by binary search and the exact overlap decides.
 
@@ -98,8 +100,17 @@ def short_lists(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray, thres
     return grams[:p]
 
 
+def cut_places(last: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where in the common order the short lists end, given each one's last n-gram: 32 bits that rise with the order, so only different ones tell which is first."""
+    places = (last >> np.uint64(33)).astype(np.uint32)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, last), len(frequent) - 1)
+        places = np.where(frequent[at] == last, (1 << 31) + len(frequent) + rank[at], places).astype(np.uint32)
+    return places
+
+
 def _postings(n: int, threshold: float, shards: int, frequent: np.ndarray, rank: np.ndarray):
-    """Blobs of postings for each shard: set hashes, sizes, numbers of n-grams, and the n-grams (32 bits of them)."""
+    """Blobs of postings for each shard: set hashes, sizes, cuts, numbers of n-grams, and the n-grams (32 bits of them)."""
 
     def blobs(sids, sizes, lists):
         grams = np.concatenate(lists)
@@ -110,13 +121,13 @@ def _postings(n: int, threshold: float, shards: int, frequent: np.ndarray, rank:
         short = (grams >> np.uint64(24)).astype(np.uint32)
         edges = np.searchsorted(shard, np.arange(shards + 1))
         out_s, out_n, out_b = [], [], []
-        sids, sizes = np.array(sids, np.int64), np.array(sizes, np.uint32)
+        sids, sizes, cuts = np.array(sids, np.int64), np.array(sizes, np.uint32), cut_places(np.array([x[-1] for x in lists]), frequent, rank)
         for s in range(shards):
             lo, hi = edges[s], edges[s + 1]
             if lo < hi:
                 d, c = np.unique(doc[lo:hi], return_counts=True)
                 out_s.append(s), out_n.append(len(d))
-                out_b.append(sids[d].tobytes() + sizes[d].tobytes() + c.astype(np.uint32).tobytes() + short[lo:hi].tobytes())
+                out_b.append(sids[d].tobytes() + sizes[d].tobytes() + cuts[d].tobytes() + c.astype(np.uint32).tobytes() + short[lo:hi].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_n, pa.int32()), pa.array(out_b, pa.binary())], names=["shard", "n", "blob"])
 
     def of(batches):
@@ -144,11 +155,11 @@ def required(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
-    """Pairs of set hashes whose count in this shard's lists reaches their share of T - L."""
-    sid, size, count, grams = [], [], [], []
+    """Pairs of set hashes whose count in this shard's lists reaches their share of T - L; by how much, and how much all shards must have."""
+    sid, size, place, count, grams = [], [], [], [], []
     for k, raw in blobs:
-        sid.append(np.frombuffer(raw, np.int64, k)), size.append(np.frombuffer(raw, np.uint32, k, 8 * k)), count.append(np.frombuffer(raw, np.uint32, k, 12 * k)), grams.append(np.frombuffer(raw, np.uint32, -1, 16 * k))
-    sid, size, count, grams = map(np.concatenate, (sid, size, count, grams))
+        sid.append(np.frombuffer(raw, np.int64, k)), size.append(np.frombuffer(raw, np.uint32, k, 8 * k)), place.append(np.frombuffer(raw, np.uint32, k, 12 * k)), count.append(np.frombuffer(raw, np.uint32, k, 16 * k)), grams.append(np.frombuffer(raw, np.uint32, -1, 20 * k))
+    sid, size, place, count, grams = map(np.concatenate, (sid, size, place, count, grams))
     blobs.clear()
     _, first = np.unique(sid, return_index=True)
     once = np.zeros(len(sid), bool)
@@ -161,7 +172,7 @@ def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
     once = np.repeat(once, count)
     grams, doc = grams[once], doc[once]
     del once
-    sid, size = sid[order], size[order].astype(np.int64)
+    sid, size, place = sid[order], size[order].astype(np.int64), place[order]
     # a part of the lists at a time; a pair's counts of all parts are added up
     parts = max(1, math.ceil(len(grams) / MERGE_POSTINGS))
     code, c = np.empty(0, np.int64), np.empty(0, np.int32)
@@ -172,12 +183,16 @@ def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
             c = np.bincount(back, np.concatenate([c, found[1]]), len(code)).astype(np.int32)
     a, b = code // len(sid), code % len(sid)
     suffix = size - np.array([prefix_length(int(x), threshold) for x in size])
-    need = np.maximum(1, np.ceil((required(size[a], size[b], threshold) - np.minimum(suffix[a], suffix[b])) / shards))
-    good = c >= need
+    # common n-grams outside the merged lists lie behind the first of both cuts; where that isn't known, behind either
+    aside = np.where(place[a] < place[b], suffix[a], np.where(place[a] > place[b], suffix[b], np.maximum(suffix[a], suffix[b])))
+    total = np.maximum(1, required(size[a], size[b], threshold) - aside)
+    below = np.ceil(total / shards) - 1  # the most that a shard without the pair has of it
+    good = c > below
     a, b = a[good], b[good]
+    excess, missing = np.minimum(c - below, shards)[good], (total - shards * below)[good]
     swap = sid[a] > sid[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b])], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b]), pa.array(excess.astype(np.int32)), pa.array(missing.astype(np.int32))], names=["a", "b", "excess", "missing"])
 
 
 def _merge_lists(grams: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: float):
@@ -299,7 +314,8 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     total = seen.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_GRAMS))
     blobs = base.select("text").mapInArrow(_postings(n, threshold, shards, frequent, rank), "shard int, n int, blob binary")
-    candidates = cut(blobs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(threshold, shards), "a long, b long").distinct())
+    reached = blobs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(threshold, shards), "a long, b long, excess int, missing int")
+    candidates = cut(reached.groupBy("a", "b").agg(F.sum("excess").alias("excess"), F.max("missing").alias("missing")).where("excess >= missing").select("a", "b"))
     ends = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e")).select("e.*")
     # a document's leader is the least set hash among itself and its candidates: near copies of one text have the same
     leaders = ends.groupBy("sid").agg(F.min("other").alias("other")).select("sid", F.least("sid", "other").alias("leader"))
