@@ -37,6 +37,29 @@ def test_held_out_accuracy(spark):
     assert kept == {i for i in got if not got[i].toxic}
 
 
+def test_thresholds_come_from_all_documents_outside_training(spark, monkeypatch):
+    docs, labels = labelled(900)
+    flip = random.Random(5)
+    labels = [(i, y ^ (flip.random() < 0.1)) for i, y in labels]
+    trained, train = [], t.train
+    monkeypatch.setattr(t, "train", lambda texts, toxic: trained.extend(x.tobytes() for x in texts) or train(texts, toxic))
+    model = t.fit(spark.createDataFrame([*docs, docs[0]], "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int"), 120, 80)
+    found = t.features(pa.array([x[1] for x in docs]))
+    outside = np.array([x.tobytes() not in set(trained) for x in found])
+    scores, y, langs = model.scores(found), np.array([y for _, y in labels]), np.array([x[2] for x in docs])
+    assert len(trained) <= 200 < outside.sum()
+    for lang in (None, "de", "en"):
+        own = langs == lang if lang else np.ones(len(y), bool)
+        weight = [(own & (y == k)).sum() / (own & outside & (y == k)).sum() for k in (0, 1)]
+        s, toxic = scores[own & outside], y[own & outside]
+        f1 = {}
+        for at in s:
+            hit, wrong = ((s >= at) & (toxic == 1)).sum() * weight[1], ((s >= at) & (toxic == 0)).sum() * weight[0]
+            f1[at] = 2 * hit / (hit + wrong + (own & (y == 1)).sum())
+        best = max(f1, key=f1.get)
+        assert np.isclose(model.thresholds[lang], (best + max(s[s < best - 1e-9], default=0)) / 2, atol=1e-4)
+
+
 def test_long_texts_are_scored_to_their_end():
     docs, labels = labelled()
     found = t.features(pa.array([x[1] for x in docs]))

@@ -4,7 +4,8 @@ Words are hashed, and so are their beginnings (``STEMS`` bytes, for inflected an
 embedding row, all others are zero, and a word's embedding is the sum of its rows. Filters of several widths run over the
 text; the greatest values of each (the maximum and the next ``TOP`` - 1 different ones, over the whole text, however long) feed a logistic unit. The first component of a row starts as the word's smoothed
 log-odds of occurring in toxic texts, the others as small values drawn from the hash; then rows, filters and the unit are
-trained by AdaGrad. A part of the labelled sample is held out, on which the threshold of each language is set.
+trained by AdaGrad. The threshold of each language is set on all labelled documents outside training, scored where they lie. As training takes
+toxic and other documents at a share of its own, the rest of each kind is weighted up to the number of all labelled documents of that kind.
 
 Training uses at most ``TOXIC_ROWS`` toxic and ``OTHER_ROWS`` other labelled documents, those with the least hash of doc_id: a bound on the
 model's training alone. Every document is scored in full.
@@ -16,10 +17,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import each_word_array, mix, pick
+from .common import BROADCAST_ROWS, cut, each_word_array, mix, pick
 
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
@@ -30,7 +31,8 @@ LEAST_TEXTS = 3
 EPOCHS, RATE, DECAY = 5, 0.05, 1e-4
 #: Divisors of the log-odds that rows start with: of all, and more for rare words.
 ODDS, SHRINK = 6, 5
-#: A language has a threshold of its own from so many toxic and other held-out texts on.
+#: A part of the sample is kept from training, one document in so many. A language has a threshold of its own from so many toxic and other texts outside training on.
+HELD_OUT = 4
 LEAST_HELD_OUT = 5
 _PAD = max(WIDTHS) - 1
 #: All bits of a hash but the first 20.
@@ -198,20 +200,57 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the best F1, midway between the scores around it."""
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], toxic[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.append(s[1:] < s[:-1], True)
-    f1 = np.where(last, f1, -1)
-    k = int(f1.argmax())
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+def _mark(model: Model, trained: np.ndarray):
+    def of(batches):
+        for batch in batches:
+            scores = model.scores(each_word_array(batch.column(0), stems=STEMS))
+            outside = ~np.isin(batch.column(1).to_numpy(zero_copy_only=False), trained)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores), pa.array(outside, pa.bool_())], names=[*batch.schema.names[1:], "score", "outside"])
+
+    return of
+
+
+def calibrate(model: Model, base: DataFrame, marks: DataFrame, trained: np.ndarray) -> dict:
+    """The threshold with the best F1, midway between the scores around it, of each language and (None) of all.
+
+    All rows of ``base`` with a mark count, but those with the doc_ids ``trained``; repeated rows count once. Each kind has the weight of
+    all its marked rows. Scores are added up by ranges of log-odds, whose sums alone come to the driver, then within each range.
+    """
+    m = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    rows = base.join(m, F.col("doc_id").cast("long") == F.col("l_id")).select("text", "l_id", F.xxhash64("text").alias("key"), F.col("lang").cast("string").alias("lang"), "toxic")
+    marked = rows.mapInArrow(_mark(model, trained), "l_id long, key long, lang string, toxic int, score double, outside boolean")
+    marked = cut(marked.groupBy("l_id", "key").agg(F.min("lang").alias("lang"), F.max("toxic").alias("toxic"), F.max("score").alias("score"), F.max("outside").alias("outside")))
+    # by group ("a": all, "l" and a language): of other and toxic rows how many there are, and how many outside training
+    total: dict[str, np.ndarray] = {}
+    for r in marked.groupBy("lang", "toxic", "outside").count().collect():
+        for g in ["a"] + ["l" + r["lang"]] * (r["lang"] is not None):
+            total.setdefault(g, np.zeros((2, 2), np.int64))[:, r["toxic"]] += [r["count"], r["count"] * r["outside"]]
+    own = {g: t for g, t in total.items() if t[1].min() >= (1 if g == "a" else LEAST_HELD_OUT)}
+    spark = base.sparkSession
+    weights = spark.createDataFrame([(g, *(t[0] / t[1]).tolist(), int(t[0, 1])) for g, t in own.items()], "g string, other double, toxic double, all_toxic long")
+    group = F.explode(F.array_compact(F.array(F.lit("a"), F.concat(F.lit("l"), "lang")))).alias("g")
+    by_score = marked.where("outside").select(group, "score", "toxic").groupBy("g", "score").agg(F.sum("toxic").alias("hit"), F.count(F.lit(1)).alias("n"))
+    odds = F.coalesce(F.log(F.try_divide("score", 1 - F.col("score"))), F.lit(50.0))
+    by_score = cut(by_score.join(F.broadcast(weights.select("g")), "g").withColumn("range", F.floor(10 * odds)))
+    before, sums = [], {}
+    for r in by_score.groupBy("g", "range").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).orderBy("g", F.desc("range")).collect():
+        hit, n = sums.get(r["g"], (0, 0))
+        before.append((r["g"], r["range"], hit, n))
+        sums[r["g"]] = (hit + r["hit"], n + r["n"])
+    before = spark.createDataFrame(before, "g string, range long, hit_before long, n_before long")
+    w = Window.partitionBy("g", "range").orderBy(F.desc("score"))
+    hits = F.col("hit_before") + F.sum("hit").over(w)
+    summed = by_score.join(F.broadcast(before), ["g", "range"]).select("g", "score", hits.alias("hits"), (F.col("n_before") + F.sum("n").over(w) - hits).alias("others")).join(F.broadcast(weights), "g")
+    found = F.col("hits") * F.col("toxic")
+    f1 = 2 * found / (found + F.col("others") * F.col("other") + F.col("all_toxic"))
+    best = summed.groupBy("g").agg(F.max(F.struct(f1.alias("f1"), "score"))["score"].alias("best")).collect()
+    best = spark.createDataFrame([(r["g"], r["best"]) for r in best], "g string, best double")
+    ends = by_score.join(F.broadcast(best), "g").groupBy("g", "best").agg(F.coalesce(F.max(F.when(F.col("score") < F.col("best"), F.col("score"))), F.lit(0.0)).alias("next"))
+    return {None if r["g"] == "a" else r["g"][1:]: (r["best"] + r["next"]) / 2 for r in ends.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
-    """A model with thresholds, from the bounded sample of labelled documents; without toxic or other labels it rejects nothing."""
+    """A model from the bounded sample of labelled documents, thresholds from all others; without toxic or other labels it rejects nothing."""
     marks = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     by_hash = F.xxhash64(F.col("l_id"))
     sample = marks.where("toxic = 1").orderBy(by_hash, "l_id").limit(toxic_rows).unionByName(marks.where("toxic = 0").orderBy(by_hash, "l_id").limit(other_rows))
@@ -222,18 +261,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros((TOP, FILTERS), np.float32) for _ in WIDTHS], np.zeros(FILTERS * TOP * len(WIDTHS), np.float32), -1.0)
     texts = features(pa.array(rows["text"], pa.string()))
-    held = (mix(rows["l_id"].to_numpy(np.int64).view(np.uint64) + np.uint64(11)) >> np.uint64(33)) % np.uint64(4) == 0
+    held = (mix(rows["l_id"].to_numpy(np.int64).view(np.uint64) + np.uint64(11)) >> np.uint64(33)) % np.uint64(HELD_OUT) == 0
     if y[held].min(initial=1) == y[held].max(initial=0) or y[~held].min(initial=1) == y[~held].max(initial=0) or held.sum() < 2 * LEAST_HELD_OUT:
         held = np.zeros(len(y), bool)
     model = train([t for t, h in zip(texts, held) if not h], y[~held])
-    if not held.any():
-        held = ~held
-    scores, labels_held, langs = model.scores([t for t, h in zip(texts, held) if h]), y[held], rows["lang"].to_numpy(object)[held]
-    model.thresholds[None] = best_threshold(scores, labels_held)
-    for lang in {x for x in langs if isinstance(x, str)}:
-        own = langs == lang
-        if min(labels_held[own].sum(), (1 - labels_held[own]).sum()) >= LEAST_HELD_OUT:
-            model.thresholds[lang] = best_threshold(scores[own], labels_held[own])
+    trained = rows["l_id"].to_numpy(np.int64)[~held] if held.any() else np.empty(0, np.int64)
+    model.thresholds |= calibrate(model, base, marks, trained)
     return model
 
 
