@@ -41,6 +41,25 @@ def test_edited_notices_and_missing_phrases(spark):
     assert sorted(got) == [(1, "MIT", 0.95), (5, "MIT", 1.0), (5, "MIT", 1.0)]
 
 
+def test_notices_as_published(spark):
+    later = "(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the"
+    docs = [
+        (1, f"{free} GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or {later}", "GPL-3.0"),
+        (2, f"{free} GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or {later}", "GPL-2.0"),
+        (3, f"{free} GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or {later}", "LGPL-2.1"),
+        (4, f"{free} GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or {later}", "AGPL-3.0"),
+        (5, "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.", "GPL-2.0"),
+        (6, "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.", "LGPL-3.0"),
+        (7, f"{free} GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0"),
+        (8, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"),
+        (9, "BSD 3-Clause License\n\nCopyright (c) 2020, the authors", "BSD"),
+        (10, "Creative Commons Attribution-ShareAlike 4.0 International Public License", "CC-BY-SA-4.0"),
+    ]
+    got = l.license_scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, name) for i, _, name in docs]
+
+
 def test_hostile_tables(spark):
     docs = hostile(spark, [(9, "Licensed under CC BY 4.0", None, None, None, None, None), (None, "Licensed under CC BY 4.0", None, None, None, None, None)])
     assert sorted((r.doc_id or 0, r.license) for r in l.license_scan(docs).collect()) == [(0, "CC-BY-4.0"), (9, "CC-BY-4.0")]

@@ -39,6 +39,40 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0", ("CC BY-ND 4.0",)),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal", ("CC0 1.0",)),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software", "public domain")),
+    # notices as published
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License', ("Apache License", "2.0")),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", ("GNU General Public License", "version 2")),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", ("GNU General Public License", "version 2")),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License", ("GNU General Public License", "version 2")),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU General Public License", "version 3")),
+    ("GPL-3.0", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", ("GNU General Public License", "version 3")),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; version 3 of the License", ("GNU General Public License", "version 3")),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License", ("GNU Lesser General Public License", "version 2.1")),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation", ("GNU Lesser General Public License", "version 2.1")),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License", ("GNU Lesser General Public License", "version 2.1")),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU Lesser General Public License", "version 3")),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation", ("GNU Lesser General Public License", "version 3")),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 3 of the License", ("GNU Lesser General Public License", "version 3")),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU Affero General Public License", "version 3")),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation", ("GNU Affero General Public License", "version 3")),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation; version 3 of the License", ("GNU Affero General Public License", "version 3")),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ("all copyright and related and neighboring rights", "public domain worldwide")),
+    # headings of the full texts
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", ("Apache License Version 2.0",)),
+    ("MIT", "MIT License Copyright (c)", ("MIT License Copyright",)),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991", ("GNU General Public License", "Version 2")),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", ("GNU General Public License", "Version 3")),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999", ("GNU Lesser General Public License", "Version 2.1")),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", ("GNU Lesser General Public License", "Version 3")),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", ("GNU Affero General Public License", "Version 3")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", ("Mozilla Public License Version 2.0",)),
+    ("BSD", "BSD 2-Clause License", ("BSD 2-Clause License",)),
+    ("BSD", "BSD 3-Clause License", ("BSD 3-Clause License",)),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International", ("Attribution 4.0 International",)),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International", ("Attribution-ShareAlike 4.0 International",)),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International", ("Attribution-NonCommercial 4.0 International",)),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International", ("Attribution-NoDerivatives 4.0 International",)),
+    ("CC0-1.0", "CC0 1.0 Universal", ("CC0 1.0 Universal",)),
 )
 
 
