@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from xylem.llm import ngram_jaccard as j
 
 from .conftest import NO_DOCS, hostile, word
@@ -41,13 +43,38 @@ def brute_pairs(docs):
     return out
 
 
+def brute_rows(docs):
+    """(doc_id, class_id, n_links) of every document with words and one text."""
+    group, links = {i: i for i, t in docs if grams(t)}, {i: 0 for i, t in docs if grams(t)}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for left, right, *_ in brute_pairs(docs):
+        for x in left:
+            for y in right:
+                a, b = find(x), find(y)
+                group[max(a, b)] = min(a, b)
+                if left != right:
+                    links[x], links[y] = links[x] + 1, links[y] + 1
+                elif x != y:
+                    links[x] += 1
+    return {(i, find(i), n) for i, n in links.items()}
+
+
+def rows(df, **options):
+    return {tuple(r) for r in j.ngram_jaccard_join(df, **options).collect()}
+
+
 def test_against_brute_force(spark, rng, monkeypatch):
     docs = near_copies(rng)
     monkeypatch.setattr(j, "MERGE_POSTINGS", 50)  # several parts to a shard
     monkeypatch.setattr(j, "FREQUENT_LEAST", 3)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(tuple(r.left_ids), tuple(r.right_ids), r.n_left, r.n_right, r.overlap) for r in j.ngram_jaccard_join(df).collect()}
-    assert got == brute_pairs(docs) and len(got) > 30
+    got = rows(df)
+    assert got == brute_rows(docs) and sum(n > 0 for _, _, n in got) > 30
 
 
 def test_large_groups(spark, rng, monkeypatch):
@@ -56,8 +83,7 @@ def test_large_groups(spark, rng, monkeypatch):
     words = [word(rng) for _ in range(60)]
     docs = [(i, " ".join(words[:30] + [word(rng)] + words[31:])) for i in range(25)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = j.ngram_jaccard_join(df).collect()
-    assert len(got) == len(brute_pairs(docs)) == 300
+    assert rows(df) == {(i, 0, 24) for i in range(25)} == brute_rows(docs)
     assert [r.doc_id for r in j.keep_one_of_each_group(df).collect()] == [0]
 
 
@@ -70,8 +96,31 @@ def test_copies_extended_to_twice_the_length(spark, rng, monkeypatch):
         docs += [(len(docs) + c, " ".join(words[:-1] + [word(rng)])) for c in range(j.FREQUENT_LEAST + 2)]
         docs += [(len(docs) + c, " ".join(words + [word(rng) for _ in range(300)])) for c in range(2)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(tuple(r.left_ids), tuple(r.right_ids), r.n_left, r.n_right, r.overlap) for r in j.ngram_jaccard_join(df).collect()}
-    assert got == brute_pairs(docs) and sum(a != b for _, _, a, b, _ in got) == 3 * 2 * (j.FREQUENT_LEAST + 2)
+    assert rows(df) == brute_rows(docs) and sum(a != b for _, _, a, b, _ in brute_pairs(docs)) == 3 * 2 * (j.FREQUENT_LEAST + 2)
+
+
+@pytest.mark.parametrize("size", [40, 200])
+def test_a_passage_inside_much_longer_texts(spark, rng, size):
+    """A passage and 40 documents of two and a half times its length that contain it: similarity exactly at the threshold."""
+    passage = [word(rng) for _ in range(size + j.N - 1)]
+    docs = [(0, " ".join(passage))]
+    for i in range(1, 41):
+        docs.append((i, " ".join(passage + [f"{word(rng)}{i}" for _ in range(size * 3 // 2)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(df)
+    assert got == brute_rows(docs) and (0, 0, 40) in got and {c for _, c, _ in got} == {0}
+    assert [r.doc_id for r in j.keep_one_of_each_group(df).collect()] == [0]
+
+
+def test_sizes_from_equal_to_two_fifths(spark, rng):
+    """Parts of one text, of all sizes, with shared passages that are frequent elsewhere."""
+    shared = [word(rng) for _ in range(30)]
+    docs = []
+    for g in range(4):
+        words = [word(rng) for _ in range(100)] + shared
+        docs += [(len(docs) + k, " ".join(words[: 130 - 10 * k] + [word(rng) for _ in range(k)])) for k in range(9)]
+    docs += [(len(docs) + k, " ".join([word(rng) for _ in range(40)] + shared)) for k in range(20)]
+    assert rows(spark.createDataFrame(docs, "doc_id long, text string")) == brute_rows(docs)
 
 
 def test_one_of_each_group_stays(spark, rng):
@@ -99,8 +148,7 @@ def test_chains_are_one_group(spark):
 
 def test_hostile_tables(spark):
     docs = hostile(spark, [(7, "some PLAIN text, here", "en", "d", 3, 3, "q")])
-    rows = j.ngram_jaccard_join(docs).collect()
-    assert [(r.left_ids, r.right_ids, r.jaccard) for r in rows] == [([1, 7], [1, 7], 1.0)]
+    assert rows(docs) == {(1, 1, 1), (7, 1, 1)} | {(i, i, 0) for i in (2, 3, 4, 5, 6)}
     kept = j.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 5, 6)] + [(True, 0)]

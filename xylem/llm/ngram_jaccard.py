@@ -280,30 +280,65 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+class Forest:
+    """Connected groups of hashable nodes; each group's root is its least node."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        parent = self.parent
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x] = top
+            x = up
+        return top
+
+    def join(self, a, b) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+
 def _probe(threshold: float):
-    """Rows sorted by cell, sets before pairs; pairs that reach the threshold come out."""
+    """Rows sorted by cell, sets (with their numbers of documents) before pairs; for each set with links in a cell its root there and how many documents it is linked with."""
 
     def of(batches):
-        cell, sets = None, {}
+        cell, sets, links, forest = None, {}, {}, Forest()
+
+        def done():
+            sids = list(links)
+            return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([forest.root(x) for x in sids], pa.int64()), pa.array([links[x] for x in sids], pa.int64())], names=["sid", "root", "links"])
+
         for batch in batches:
-            a_out, b_out, na, nb, ov = [], [], [], [], []
-            for c, a, b, raw in zip(*(x.to_pylist() for x in batch.columns)):
+            for c, a, b, docs, raw in zip(*(x.to_pylist() for x in batch.columns)):
                 if c != cell:
-                    cell, sets = c, {}
+                    if links:
+                        yield done()
+                    cell, sets, links, forest = c, {}, {}, Forest()
                 if raw is not None:
-                    sets[a] = np.frombuffer(raw, np.uint64)
+                    sets[a] = (np.frombuffer(raw, np.uint64), docs)
                 elif a in sets and b in sets:
-                    x, y = sets[a], sets[b]
+                    (x, nx), (y, ny) = sets[a], sets[b]
                     k = overlap(x, y)
                     if k / (len(x) + len(y) - k) >= threshold:
-                        a_out.append(a), b_out.append(b), na.append(len(x)), nb.append(len(y)), ov.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(ov, pa.int32())], names=["a", "b", "na", "nb", "overlap"])
+                        links[a], links[b] = links.get(a, 0) + ny, links.get(b, 0) + nx
+                        forest.join(a, b)
+        if links:
+            yield done()
 
     return of
 
 
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members: sid, doc_id, n) and (pairs: a, b, na, nb, overlap), pairs of different sets with Jaccard >= threshold, a < b."""
+    """(members: sid, doc_id, n) and (linked: sid, root, links): for different sets with Jaccard >= threshold.
+
+    A row of ``linked`` says with how many documents (of other sets) the set is linked in one cell, and the least set that these links
+    connect it to; a set has a row for each cell it has links in, and no pair is in two cells. So n near copies give rows
+    in proportion to n, although each of their links is verified and counted.
+    """
     base = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     seen = cut(base.mapInArrow(_sets(n), "doc_id long, sid long, n long, kind byte"))
     members = seen.where("kind = 0").select("sid", "doc_id", "n").distinct()
@@ -319,7 +354,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     ends = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e")).select("e.*")
     # a document's leader is the least set hash among itself and its candidates: near copies of one text have the same
     leaders = ends.groupBy("sid").agg(F.min("other").alias("other")).select("sid", F.least("sid", "other").alias("leader"))
-    one = cut(leaders.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "sid"))
+    one = cut(leaders.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs")), "sid"))
     n_one = one.count()
     wanted = one.select(F.col("doc_id").alias("w")).distinct()
     texts = semi_or_anti(base, wanted, F.col("doc_id") == F.col("w"), "left_semi", n_one)
@@ -328,12 +363,12 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     led = candidates.join(end("a"), "a").join(end("b"), "b").select(F.least("la", "lb").alias("leader"), "a", "b", "na", "nb")
     pairs = cut(_cells(led))
     places = pairs.select("cell", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ids = one.select("sid")
-    first = sets.join(F.broadcast(ids) if n_one <= BROADCAST_ROWS else ids, "sid", "left_semi").dropDuplicates(["sid"])
-    placed = places.join(first, "sid").select("cell", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = placed.unionByName(pairs.withColumn("grams", F.lit(None).cast("binary")))
+    ids = one.select("sid", "docs")
+    first = sets.join(F.broadcast(ids) if n_one <= BROADCAST_ROWS else ids, "sid").dropDuplicates(["sid"])
+    placed = places.join(first, "sid").select("cell", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "docs", "grams")
+    rows = placed.unionByName(pairs.select("cell", "a", "b", F.lit(None).cast("long").alias("docs"), F.lit(None).cast("binary").alias("grams")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
-    return members, rows.mapInArrow(_probe(threshold), "a long, b long, na int, nb int, overlap int")
+    return members, cut(rows.mapInArrow(_probe(threshold), "sid long, root long, links long"))
 
 
 def _cells(led: DataFrame) -> DataFrame:
@@ -353,42 +388,42 @@ def _cells(led: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(left_ids, right_ids, n_left, n_right, overlap, jaccard): every pair of documents with Jaccard >= threshold, by sets.
+    """(doc_id, class_id, n_links): one row for each document.
 
-    A row says that each document of ``left_ids`` pairs with each of ``right_ids`` (sorted lists of doc_id); documents with
-    the same n-gram set are one list, so that copies don't multiply the rows; a list of at least two such documents has
-    one row with itself, with jaccard 1. The left list has the smaller first doc_id. A text of fewer than ``n`` words is
-    one n-gram; texts without words (null, empty, blank, only punctuation) and null doc_ids join nothing. Repeated
-    rows count once. Columns besides doc_id and text are ignored. An empty table gives an empty result.
+    Two documents are linked if their n-gram sets have Jaccard similarity >= threshold; ``n_links`` counts the other documents that a document is
+    linked with, ``class_id`` is the least doc_id of all that it is connected to by links. Neither needs a row for each pair: copies
+    with one set are counted together, and links of different sets are counted in the cell that verifies them.
+
+    A text of fewer than ``n`` words is one n-gram. A document without words (null, empty, blank, only punctuation) has no links and is its
+    own class; rows with a null doc_id are left out. Repeated rows count once; a doc_id with several different texts has a row for each n-gram set,
+    each counted as a document. Columns besides doc_id and text are ignored. An empty table gives an empty result.
     """
-    members, pairs = similar_sets(docs, n, threshold)
-    lists = members.groupBy("sid").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.max("n").cast("int").alias("n"))
-    copies = lists.where(F.size("ids") > 1).select(F.col("ids").alias("left_ids"), F.col("ids").alias("right_ids"), F.col("n").alias("n_left"), F.col("n").alias("n_right"), F.col("n").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    joined = pairs.join(lists.select(F.col("sid").alias("a"), F.col("ids").alias("ia")), "a").join(lists.select(F.col("sid").alias("b"), F.col("ids").alias("ib")), "b")
-    turn = F.col("ia")[0] > F.col("ib")[0]
-    near = joined.select(
-        F.when(turn, F.col("ib")).otherwise(F.col("ia")).alias("left_ids"),
-        F.when(turn, F.col("ia")).otherwise(F.col("ib")).alias("right_ids"),
-        F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("n_left"),
-        F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("n_right"),
-        "overlap",
-        (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard"),
-    )
-    return near.unionByName(copies)
+    members, linked = similar_sets(docs, n, threshold)
+    roots = components(linked.select(F.col("root").alias("a"), F.col("sid").alias("b")))
+    sets = members.groupBy("sid").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least"))
+    sets = sets.join(linked.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    sets = sets.select("sid", "least", F.coalesce("root", "sid").alias("root"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    classes = sets.groupBy("root").agg(F.min("least").alias("class_id"))
+    found = members.join(sets.join(classes, "root").select("sid", "class_id", "n_links"), "sid").select("doc_id", "class_id", F.col("n_links").cast("int").alias("n_links"))
+    ids = pick(docs, "doc_id").select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    alone = ids.join(members.select("doc_id").distinct(), "doc_id", "left_anti")
+    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components of ``edges`` (a, b); the root is the least node. Large-star and small-star steps until nothing changes."""
-    from pyspark.sql import Window
+    """(node, root): connected components of ``edges`` (a, b); the root is the least node. Large-star and small-star steps until nothing changes.
 
+    A node's least neighbour comes from an aggregate, combined before the shuffle, so that a node with very many neighbours isn't one task's group.
+    """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"))
     state = cut(edges.where("a <> b").select("a", "b").distinct())
-    w = Window.partitionBy("a")
     last = None
     while True:
-        large = both(state).withColumn("m", F.least(F.col("a"), F.min("b").over(w))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = down.withColumn("m", F.min("b").over(w)).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        ends = both(state)
+        large = ends.where("b > a").join(least(ends), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        down = cut(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        small = down.join(least(down), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         state = cut(small)
         now = tuple(state.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == last:
@@ -398,9 +433,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def dropped_ids(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, sid): the documents that are not the least doc_id of their group of similar ones."""
-    members, pairs = similar_sets(docs, n, threshold)
-    pairs = cut(pairs.select("a", "b"))
-    roots = components(pairs)
+    members, linked = similar_sets(docs, n, threshold)
+    roots = components(linked.select(F.col("root").alias("a"), F.col("sid").alias("b")))
     of = members.join(roots, members["sid"] == roots["node"], "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root"))
     least = of.groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("least"))
     return of.join(least, "root").where(F.struct("doc_id", "sid") != F.col("least")).select("doc_id", "sid")
@@ -445,19 +479,25 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = rf"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '') AS w
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 sets AS (
   SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) ELSE [array_to_string(w, ' ')] END)) AS g
   FROM words WHERE len(w) > 0),
-lists AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS k, list_sort(list_distinct(list(doc_id))) AS ids, len(g) AS n, g FROM sets GROUP BY g),
-postings AS (SELECT k, n, unnest(g) AS gram FROM lists),
+lists AS (SELECT min(doc_id) AS k, count(*) AS docs, len(g) AS n, g FROM sets GROUP BY g),
+postings AS (SELECT k, n, docs, unnest(g) AS gram FROM lists),
 pairs AS (
-  SELECT a.k AS ka, b.k AS kb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
-  FROM postings a JOIN postings b ON a.gram = b.gram AND a.k < b.k GROUP BY a.k, b.k)
-SELECT a.ids AS left_ids, b.ids AS right_ids, CAST(na AS INTEGER) AS n_left, CAST(nb AS INTEGER) AS n_right, CAST(o AS INTEGER) AS overlap, CAST(o AS DOUBLE) / (na + nb - o) AS jaccard
-FROM pairs JOIN lists a ON a.k = ka JOIN lists b ON b.k = kb WHERE CAST(o AS DOUBLE) / (na + nb - o) >= {THRESHOLD}
+  SELECT a.k AS ka, b.k AS kb, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(b.docs) AS docs, count(*) AS o
+  FROM postings a JOIN postings b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k),
+linked AS (SELECT ka, kb, docs FROM pairs WHERE CAST(o AS DOUBLE) / (na + nb - o) >= {THRESHOLD}),
+reach AS (SELECT k, k AS other FROM lists UNION SELECT r.k, l.kb FROM reach r JOIN linked l ON l.ka = r.other),
+classes AS (SELECT k, min(other) AS class_id FROM reach GROUP BY k),
+counts AS (SELECT ka, sum(docs) AS links FROM linked GROUP BY ka),
+found AS (
+  SELECT s.doc_id, c.class_id, CAST(l.docs - 1 + coalesce(x.links, 0) AS INTEGER) AS n_links
+  FROM sets s JOIN lists l ON l.g = s.g JOIN classes c ON c.k = l.k LEFT JOIN counts x ON x.ka = l.k)
+SELECT doc_id, class_id, n_links FROM found
 UNION ALL
-SELECT ids, ids, CAST(n AS INTEGER), CAST(n AS INTEGER), CAST(n AS INTEGER), 1.0 FROM lists WHERE len(ids) > 1
+SELECT DISTINCT doc_id, doc_id, 0 FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM found)
 """
