@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from xylem.llm import html_extract as h
 
 
@@ -14,7 +18,7 @@ def test_main_text_is_kept_and_boilerplate_is_not():
         f"<article><h1>Head</h1><p>{PROSE}<p>Second, {PROSE}<br>after a break<div>inner, {PROSE}</div></article><footer><p>All rights reserved, of course, by everyone involved.</p></footer>"
     )
     title, text, score, container, density = h.extract(page(body))
-    assert (title, container, density) == ("A & B", "article", 0.0) and score == 10 + 3 + 5
+    assert (title, container, density) == ("A & B", "article", 0.0) and score == 10 + 3 + 5 + 4 / 2
     assert text.split("\n") == ["Head", PROSE, f"Second, {PROSE}", "after a break", f"inner, {PROSE}"]
 
 
@@ -43,10 +47,53 @@ def test_broken_pages():
     assert PROSE in h.extract(deep)[1]
 
 
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "<" + 'a"' * 20_000,
+        "<" + 'a"' * 200_000,
+        "<a " * 150_000,
+        '<a "' * 100_000 + ">",
+        "<a '\">" * 100_000,
+        '<p x="' * 50_000 + "<b>" * 50_000,
+        "</b>" * 20_000 + "<b>" * 20_000 + "</i>" * 20_000 + "</p>" * 20_000,
+        "<blockquote>some words, " * 20_000,
+        "<table><tr><td>some words, " * 10_000,
+        "<li><dd>" * 20_000,
+        "<title >" + "</title" + " " * 200_000,
+        "<!--" * 100_000,
+        "<![CDATA[" * 50_000,
+        "&" * 300_000,
+    ],
+    ids=range(14),
+)
+def test_time_is_in_proportion_to_the_page(bad):
+    for page in (bad, bad + "<a>" * 20_000 + f"<p>{PROSE}" * 20_000):
+        began = time.process_time()
+        h.extract(page)
+        assert time.process_time() - began < 8
+
+
+def test_tags_with_open_quotes():
+    assert PROSE in h.extract(page(f"<div><p title=\"never closed>{PROSE}</p><p>{PROSE}</p></div>"))[1]
+    assert h.extract(f"<div><p>{PROSE}</p></div><a href='x")[1] == PROSE
+
+
+def test_text_outside_paragraphs():
+    """Text in divs with breaks, in list items, and in short paragraphs only."""
+    _, text, _, container, _ = h.extract(page(f"<nav><a href='/'>Home, news, and more</a></nav><div id='x'>{PROSE}<br>{PROSE} <b>bold</b></div><div><a href='/y'>next page, please read on</a></div>"))
+    assert (text, container) == (f"{PROSE}\n{PROSE} bold", "div")
+    _, text, _, container, _ = h.extract(page(f"<div class='menu'><a href='/'>Home</a></div><ul>{''.join(f'<li>{PROSE}' for _ in range(3))}</ul>"))
+    assert (text.split("\n"), container) == ([PROSE] * 3, "ul")
+    assert h.extract(page("<nav><a href='/'>Home</a></nav><article><p>One line.</p><p>Two.</p></article>"))[1] == "One line.\nTwo."
+    assert h.extract(page("<a href='/'>Home</a> bare"))[1] == "Home bare" and h.extract("only &lt;text")[1] == "only <text"
+    assert h.extract(page(""))[1:3] == ("", 0.0)
+
+
 def test_hostile_tables(spark):
     rows = [(1, "u", page(f"<div><p>{PROSE}</p></div>"), 0, "a"), (1, "u", page(f"<div><p>{PROSE}</p></div>"), 0, "a"), (None, None, None, None, None), (2, "v", "", 1, "b"), (3, "w", "no tags", 1, "b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, score int, HTML string")
     got = h.extract_pages(df).collect()
     assert len(got) == 5 and sum(r.text == PROSE for r in got) == 2
-    assert [(r.text, r.score) for r in got if r.page_id is None] == [(None, None)] and [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
+    assert [(r.text, r.score) for r in got if r.page_id is None] == [(None, None)] and [r.text for r in got if r.page_id in (2, 3)] == ["", "no tags"]
     assert h.extract_pages(df.limit(0)).collect() == []
