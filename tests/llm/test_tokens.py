@@ -58,32 +58,51 @@ def splice(text, edits):
     return "".join(out) + text[at:]
 
 
+def random_edits(rng, text, most=3):
+    cuts = sorted(rng.randrange(len(text) + 1) for _ in range(2 * rng.randint(0, most)))
+    return [(a, b, rng.choice(["", " ", "x", " new words ", "\n", "'s", "7", "、", "\x1c"])) for a, b in zip(cuts[::2], cuts[1::2])]
+
+
 def test_counts_follow_edits(rng, whole):
+    """Four batches of edits one after the other, the tree kept as bytes in between."""
     t = chunks()
     saved = 0
-    for text in texts(rng):
-        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(2 * rng.randint(0, 3)))
-        edits = [(a, b, rng.choice(["", " ", "x", " new words ", "\n", "'s"])) for a, b in zip(cuts[::2], cuts[1::2])]
+    for text in [*texts(rng), *("".join(rng.choice(["日本", "語、", "'", "s", "12", "x", "。", "ll"]) for _ in range(80)) for _ in range(40))]:
         tree = k.CountTree(text, t)
         assert tree.total == len(whole(text))
-        assert tree.apply(edits) == splice(text, edits)
-        assert tree.total == len(whole(tree.text)), (text, edits)
-        saved += tree.reencoded < tree.n
-    assert saved > 50
+        for _ in range(4):
+            edits = random_edits(rng, text)
+            before, tree.reencoded = tree.n, 0
+            want = splice(text, edits)
+            assert tree.apply(edits) == want
+            assert tree.total == len(whole(want)), (text, edits)
+            saved += tree.reencoded < before
+            text = want
+            tree = k.CountTree(text, t, tree.to_bytes())
+            size = len(tree.chars) // 2
+            assert tree.chars[1] == len(text) and (tree.chars[1:size] == tree.chars[2 : 2 * size : 2] + tree.chars[3 : 2 * size : 2]).all()
+            assert (tree.tokens[1:size] == tree.tokens[2 : 2 * size : 2] + tree.tokens[3 : 2 * size : 2]).all()
+    assert saved > 300
 
 
 def test_a_small_edit_of_a_long_text_is_cheap(rng, whole):
-    text = " ".join(word(rng) for _ in range(20_000))
-    tree = k.CountTree(text, chunks())
-    tree.apply([(1000, 1010, "something else")])
-    assert tree.reencoded <= 8 and tree.total == len(whole(tree.text))
+    for text in (" ".join(word(rng) for _ in range(20_000)), "日本語、" * 20_000, "a1-" * 20_000):
+        kept = k.CountTree(text, chunks()).to_bytes()
+        tree = k.CountTree(text, chunks(), kept)
+        for _ in range(3):
+            tree.apply([(1000, 1004, "something else")])
+        assert tree.reencoded <= 30 and tree.total == len(whole(tree.text))
 
 
 def test_edits_from_a_table(spark, whole):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, None)], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 4, 7, "2 and a half"), (1, 0, 3, None), (9, 0, 1, "x"), (None, 0, 1, "x"), (2, None, 3, "x"), (2, 3, 400, "")], "doc_id long, start int, stop int, text string")
-    got = {r.doc_id: r for r in k.token_counts_after(docs, edits).collect()}
+    done = k.edited(k.count_trees(docs), edits)
+    got = {r.doc_id: r for r in done.collect()}
     assert got[1].n_tokens_after == len(whole(" 2 and a half three")) and got[2].n_tokens_after == len(whole("fou")) and got[3].n_tokens_after is None
+    again = {r.doc_id: r for r in k.edited(done, spark.createDataFrame([(1, 0, 1, "")], edits.schema)).collect()}
+    assert again[1].text == "2 and a half three" and again[1].n_tokens_after == len(whole(again[1].text)) and again[1].n_tokens == got[1].n_tokens_after
+    assert again[2].n_reencoded == 0 and again[2].n_tokens_after == got[2].n_tokens_after
 
 
 def test_hostile_tables(spark, whole):
