@@ -10,6 +10,9 @@ at the end of the text with what precedes.  A sentence of more than ``LONG`` wor
 hash ``CUT`` divides: where the cuts lie depends on the words alone, so copies are cut alike.  What is hashed are the words (see ``common``): case, punctuation and spacing don't matter.
 Every run of ``span`` sentences is extended over the following ones until it has ``min_words`` words, and likewise
 backwards; runs that reach a text's edge before that are not hashed.
+
+Of the runs that a task sees with one hash only the first goes to the global join; the others are known to be repeated. So a run that a third of all
+documents share has one row for each ``COMBINED`` runs there.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, each_word_array, pick, positional, run_hashes
+from .common import _NOT_WORD, each_word_array, mix, pick, positional, run_hashes
 
 SPAN = 3
 MIN_WORDS = 20
-LONG, CUT = 24, 8
+LONG, CUT = 12, 8
+#: Runs that a task looks through at once for repeated ones.
+COMBINED = 500_000
 
 _FIND = re.compile(r"\S+").finditer
 
@@ -54,39 +59,52 @@ def runs(starts: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, np.
 
 def _hash_runs(span: int, min_words: int):
     def of(batches):
+        out, size = [], 0
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            null = np.asarray(batch.column(0).is_null())
-            out = []
-            size = 0
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).tolist()
+            null, keys = np.asarray(batch.column(0).is_null()).tolist(), batch.column(1).to_numpy(zero_copy_only=False).tolist()
             for k, (words, ends) in enumerate(each_word_array(batch.column(2), ends=True)):
                 starts = _starts(words, ends)
                 a, b = runs(starts, span, min_words)
                 if len(a):
-                    out.append((k, a, b, run_hashes(words, starts[a], starts[b + 1])))
+                    out.append((ids[k], null[k], keys[k], a, b, run_hashes(words, starts[a], starts[b + 1])))
                     size += len(a)
-                if size > 100_000:
-                    yield rows(ids, keys, null, out)
+                if size > COMBINED:
+                    yield from _combined(out)
                     out, size = [], 0
-            if out:
-                yield rows(ids, keys, null, out)
-
-    def rows(ids, keys, null, out):
-        at = np.concatenate([np.full(len(a), k) for k, a, _, _ in out])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([h for *_, h in out]).view(np.int64)),
-                pa.array(ids[at].astype(np.int64, copy=False) if not null.any() else np.where(null[at], 0, ids[at]).astype(np.int64), mask=null[at]),
-                pa.array(keys[at]),
-                pa.array(np.concatenate([a for _, a, _, _ in out]).astype(np.int32)),
-                pa.array(np.concatenate([b for _, _, b, _ in out]).astype(np.int32)),
-            ],
-            names=["h", "doc_id", "dk", "a", "b"],
-        )
+        if out:
+            yield from _combined(out)
 
     return of
 
 
+def _combined(found: list[tuple]):
+    """Rows for (doc_id, whether it is null, dk, a, b, h) of some documents.
+
+    Of runs with one hash only the first of these documents can be the first of all. The others are ``repeated`` already: they get a key of their own, so that
+    a run that very many documents share isn't one group of as many rows.
+    """
+    doc_id, null, dk, a, b, h = zip(*found)
+    length = [len(x) for x in a]
+    doc_id, null, dk = (np.repeat(np.array(x, t), length) for x, t in ((doc_id, np.int64), (null, bool), (dk, np.int64)))
+    a, b, h = np.concatenate(a).astype(np.int32), np.concatenate(b).astype(np.int32), np.concatenate(h)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    repeated = np.zeros(len(h), bool)
+    if same.any():
+        some = order[np.append(same, False) | np.insert(same, 0, False)]  # rows whose hash isn't alone
+        some = some[np.lexsort((a[some], dk[some], doc_id[some], null[some], h[some]))]
+        new = np.insert(h[some][1:] != h[some][:-1], 0, True)
+        least = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        repeated[some] = (null[some] != null[least]) | (doc_id[some] != doc_id[least]) | (dk[some] != dk[least]) | (a[some] != a[least])
+        h = np.where(repeated, mix(dk.view(np.uint64) + a.astype(np.uint64)), h)
+    for lo in range(0, len(h), 100_000):
+        x = slice(lo, lo + 100_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[x].view(np.int64)), pa.array(doc_id[x], mask=null[x]), pa.array(dk[x]), pa.array(a[x]), pa.array(b[x]), pa.array(repeated[x])], names=["h", "doc_id", "dk", "a", "b", "repeated"]
+        )
+
+
 def remove(text: str, starts: np.ndarray, drop: np.ndarray) -> str:
     """The text without the sentences whose numbers are in ``drop``, each from its first word's piece up to the next one's."""
     gone = np.zeros(len(starts) - 1, bool)
@@ -120,11 +138,11 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS)
     """
     base = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
     base = base.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("dk"), "text")
-    hashed = base.mapInArrow(_hash_runs(span, min_words), "h long, doc_id long, dk long, a int, b int")
-    w = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "dk", "a")
+    hashed = base.mapInArrow(_hash_runs(span, min_words), "h long, doc_id long, dk long, a int, b int, repeated boolean")
+    w = Window.partitionBy("h", "repeated").orderBy(F.col("doc_id").asc_nulls_last(), "dk", "a")
     return (
         hashed.withColumn("r", F.rank().over(w))
-        .where("r > 1")
+        .where("r > 1 or repeated")
         .groupBy("doc_id", "dk")
         .agg(F.collect_list(F.struct("a", "b")).alias("drop"))
     )
