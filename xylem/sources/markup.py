@@ -6,7 +6,7 @@ d is below a exactly if ``a.pre < d.pre <= a.end``.
 Rules.  A close tag ends the innermost open element whatever its name, so HTML that isn't well-formed has nodes too.
 An element that is never closed reaches to the end of the text. Text outside of all elements and text after the last tag
 is dropped. CDATA is a text node of its own. ``<!...>`` other than comments and CDATA is skipped up to the first ``>``. A
-comment, CDATA section or instruction that isn't closed goes to the end. A tag that isn't closed is an error: the document
+comment, CDATA section or instruction that isn't closed goes to the end; an XML declaration at the very beginning is no node. A tag that isn't closed is an error: the document
 has only its root, and ``parse_errors`` says where. Attributes are ``name="value"`` after white space; others are ignored.
 A null text, or one with a null doc_id, is a document without nodes, not even a root; an empty text has the root alone.
 """
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROOT, ELEMENT, TEXT, COMMENT, PI, ATTRIBUTE, NAMESPACE = "root", "element", "text", "comment", "pi", "attribute", "namespace"
@@ -42,17 +43,14 @@ SCHEMA = {
 }
 COLUMNS = list(SCHEMA)
 
-_TOKEN = re.compile(
-    r"""(?P<text>[^<]++)
-      | <!--(?P<comment>[\s\S]*?)(?:-->|\Z)
-      | <!\[CDATA\[(?P<cdata>[\s\S]*?)(?:\]\]>|\Z)
-      | <\?(?P<pi>[\s\S]*?)(?:\?>|\Z)
-      | (?P<skip><![^>]*+(?:>|\Z))
-      | (?P<close></[^>]*+>)
-      | <(?P<open>[^\s/>]*+)(?P<rest>[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>
-    """,
-    re.X,
-)
+_OPEN = r"""<([^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>"""
+#: A text's tokens one after the other; what can't be one swallows the rest.
+_TOKENS = re.compile(
+    r"[^<]++|<!--[\s\S]*?(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<\?[\s\S]*?(?:\?>|\Z)|<![^>]*+(?:>|\Z)|</[^>]*+>|" + _OPEN.replace("([^", "(?:[^") + r"|<[\s\S]*+"
+).findall
+_DECLARATION = re.compile(r"<\?xml(?:\s|\?|\Z)").match
+_CLOSED = re.compile(f"</[^>]*+>|{_OPEN}").fullmatch
+_START = re.compile(_OPEN).fullmatch
 _ATTRIBUTE = re.compile(r"""\s([^\s=/>"']+)=(?:"([^"]*)"|'([^']*)')""")
 _ENTITY = re.compile(r"&(?:#x([0-9a-fA-F]+)|#(\d+)|(lt|gt|amp|quot|apos));")
 _NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
@@ -71,92 +69,110 @@ def decode(text: str) -> str:
     return _ENTITY.sub(_entity, text) if "&" in text else text
 
 
+class _Tags(dict):
+    """What each tag says: (name, whether it has no content, attributes, whether it has to do with namespaces or languages); None for an end tag.
+
+    Tags repeat, so they are remembered, up to a number that bounds memory.
+    """
+
+    def __missing__(self, token: str):
+        if len(self) > 20_000:
+            self.clear()
+        if token[1] == "/":
+            value = None
+        else:
+            name, rest = _START(token).groups()
+            found = [(a, decode(v or w)) for a, v, w in _ATTRIBUTE.findall(rest)] if "=" in rest else []
+            special = ":" in name or any(":" in a or a == "xmlns" for a, _ in found)
+            value = name, rest.endswith("/"), found if special else [(a, v, None) for a, v in found] or None, special
+        self[token] = value
+        return value
+
+
+_TAGS = _Tags()
+
+
 class Tree:
     """The nodes of one text, as parallel lists."""
 
-    __slots__ = ("pre", "end", "parent", "depth", "kind", "name", "path", "text", "attrs", "uri", "lang", "scope", "start", "stop", "decoded", "error", "xml")
+    __slots__ = ("end", "parent", "depth", "kind", "name", "path", "text", "attrs", "uri", "lang", "scope", "start", "stop", "decoded", "error", "xml")
 
     def __init__(self, xml: str):
         self.xml, self.error = xml, None
-        self._root()
-        try:
-            self._read(xml)
-        except _Unclosed as e:
-            self.error = f"tag not closed at {e.args[0]}"
-            self._root()
-            self.end[0], self.stop[0] = 0, len(xml)
-
-    def _root(self) -> None:
-        self.end, self.parent, self.depth, self.kind, self.name, self.path = [0], [None], [0], [ROOT], [None], [""]
-        self.text, self.attrs, self.uri, self.lang, self.scope, self.start, self.stop, self.decoded = [None], [None], [None], [None], [None], [0], [0], [None]
-
-    def _add(self, parent: int, kind: str, name: str | None, text: str | None, start: int, stop: int, decoded: str | None = None) -> int:
-        k = len(self.end)
-        self.end.append(k)
-        self.parent.append(parent)
-        self.depth.append(self.depth[parent] + 1)
-        self.kind.append(kind)
-        self.name.append(name)
-        self.path.append(None)
-        self.text.append(text)
-        self.attrs.append(None)
-        self.uri.append(None)
-        self.lang.append(self.lang[parent])
-        self.scope.append(self.scope[parent])
-        self.start.append(start)
-        self.stop.append(stop)
-        self.decoded.append(decoded)
-        return k
-
-    def _read(self, xml: str) -> None:
-        stack, at, n = [0], 0, len(xml)
-        match = _TOKEN.match
-        while at < n:
-            m = match(xml, at)
-            if not m:
-                raise _Unclosed(at)
-            what, start, at = m.lastgroup, at, m.end()
-            top = stack[-1]
-            if what == "text":
+        tokens = _TOKENS(xml)
+        last = tokens[-1] if tokens else ""
+        if last[:1] == "<" and last[1:2] not in ("!", "?") and not _CLOSED(last):
+            self.error = f"tag not closed at {len(xml) - len(last)}"
+            tokens = []
+        rows = self._read(tokens, len(xml))
+        self.parent, self.depth, self.kind, self.name, self.path, self.text, self.attrs, self.uri, self.lang, self.scope, self.start, self.decoded = map(list, zip(*rows))
+
+    def _read(self, tokens: list[str], n: int) -> list[tuple]:
+        end, stop = self.end, self.stop = [0], [n]
+        rows: list[tuple] = [(None, 0, ROOT, None, "", None, None, None, None, None, 0, None)]
+        add = rows.append
+        # the open elements, and what holds in each of them: (number, path, language, namespaces)
+        outer, top, path, lang, scope = [], 0, "", None, None
+        k = at = 0
+        depth = 1
+        for token in tokens:
+            start = at
+            at += len(token)
+            if token[0] != "<":
                 if top and at < n:
-                    raw = m["text"]
-                    self._add(top, TEXT, None, raw, start, at, decode(raw))
-            elif what == "close":
+                    k += 1
+                    end.append(k), stop.append(at)
+                    add((top, depth, TEXT, None, None, token, None, None, lang, scope, start, decode(token) if "&" in token else token))
+                continue
+            sign = token[1]
+            if sign == "!" or sign == "?":
+                if token.startswith("<!--"):
+                    kind, name, text = COMMENT, None, token[4:-3] if len(token) > 6 and token.endswith("-->") else token[4:]
+                elif token.startswith("<![CDATA["):
+                    kind, name, text = TEXT, None, token[9:-3] if token.endswith("]]>") else token[9:]
+                    if not top or not text:
+                        continue
+                elif sign == "?":
+                    if not start and _DECLARATION(token):
+                        continue
+                    kind = PI
+                    name, _, text = _partition(token[2:-2] if len(token) > 3 and token.endswith("?>") else token[2:])
+                else:
+                    continue
+                k += 1
+                end.append(k), stop.append(at)
+                add((top, depth, kind, name, None, text, None, None, lang, scope, start, text))
+                continue
+            tag = _TAGS[token]
+            if tag is None:
                 if top:
-                    self.end[top], self.stop[top] = len(self.end) - 1, at
-                    stack.pop()
-            elif what == "rest":
-                name, rest = m["open"], m["rest"]
-                k = self._add(top, ELEMENT, name, None, start, at)
-                self.path[k] = f"{self.path[top]}/{name}"
-                closed = rest.endswith("/")
-                self._attributes(k, name, rest)
-                if not closed:
-                    stack.append(k)
-            elif what == "cdata":
-                if top and m["cdata"]:
-                    self._add(top, TEXT, None, m["cdata"], start, at, m["cdata"])
-            elif what == "comment":
-                self._add(top, COMMENT, None, m["comment"], start, at, m["comment"])
-            elif what == "pi":
-                target, _, data = _partition(m["pi"])
-                self._add(top, PI, target, data, start, at, data)
-        for k in stack:
-            self.end[k], self.stop[k] = len(self.end) - 1, n
-
-    def _attributes(self, k: int, name: str, rest: str) -> None:
-        found = [(a, decode(v or w)) for a, v, w in _ATTRIBUTE.findall(rest)] if "=" in rest else []
-        scope = self.scope[k]
-        for a, v in found:
-            if a == "xmlns" or a.startswith("xmlns:"):
-                scope = {**(scope or {}), a[6:]: v}
-            elif a == "xml:lang":
-                self.lang[k] = v
-        self.scope[k] = scope
-        if found:
-            self.attrs[k] = [(a, v, (scope or {}).get(a.partition(":")[0]) if ":" in a else None) for a, v in found]
-        if scope:
-            self.uri[k] = scope.get(name.partition(":")[0] if ":" in name else "")
+                    end[top], stop[top] = k, at
+                    top, path, lang, scope = outer.pop()
+                    depth -= 1
+                continue
+            name, closed, attrs, special = tag
+            k += 1
+            end.append(k), stop.append(at)
+            below, uri, own_lang, own_scope = f"{path}/{name}", None, lang, scope
+            if special:
+                for a, v in attrs:
+                    if a == "xmlns" or a.startswith("xmlns:"):
+                        own_scope = {**(own_scope or {}), a[6:]: v}
+                    elif a == "xml:lang":
+                        own_lang = v
+                attrs = [(a, v, (own_scope or {}).get(a.partition(":")[0]) if ":" in a else None) for a, v in attrs] or None
+            if own_scope:
+                uri = own_scope.get(name.partition(":")[0] if ":" in name else "")
+            add((top, depth, ELEMENT, name, below, None, attrs, uri, own_lang, own_scope, start, None))
+            if not closed:
+                outer.append((top, path, lang, scope))
+                top, path, lang, scope = k, below, own_lang, own_scope
+                depth += 1
+        while top:
+            end[top], stop[top] = k, n
+            top = outer.pop()[0]
+        end[0] = k
+        return rows
 
     def values(self) -> list[str | None]:
         """The string-value of every node: slices of the document's text, entities decoded."""
@@ -171,10 +187,6 @@ class Tree:
         return [whole[where[k] : where[self.end[k] + 1]] if kind in (ELEMENT, ROOT) else self.decoded[k] for k, kind in enumerate(self.kind)]
 
 
-class _Unclosed(ValueError):
-    pass
-
-
 def _partition(text: str) -> tuple[str, str, str]:
     m = re.match(r"(\S*)(\s*)([\s\S]*)", text)
     return m[1], m[2], m[3]
@@ -185,12 +197,9 @@ _SCOPE = pa.struct([("prefix", pa.string()), ("uri", pa.string())])
 
 
 def _lists(items: list, kind: pa.StructType) -> pa.Array:
-    offsets, columns = [0], [[] for _ in kind]
-    for x in items:
-        for row in x or ():
-            for c, v in zip(columns, row):
-                c.append(v)
-        offsets.append(len(columns[0]))
+    rows = [row for x in items if x for row in x]
+    offsets = list(accumulate((len(x) if x else 0 for x in items), initial=0))
+    columns = list(zip(*rows)) or [()] * len(kind)
     inner = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(kind))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
 
@@ -217,7 +226,7 @@ class _Rows:
             elif c == "value":
                 got = t.values()
             elif c == "scope":
-                got = [s and sorted((p, u) for p, u in s.items() if p and p != "xml") for s in t.scope]
+                got = [s and sorted((p, u) for p, u in s.items() if p and p != "xml") for s in t.scope] if any(t.scope) else t.scope
             else:
                 got = getattr(t, {"start_off": "start", "end_off": "stop"}.get(c, c))
             self.data[c] += take(got)
@@ -245,6 +254,11 @@ def docs_of(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFr
     return plain.select(F.col(f"_{at[0]}").cast("long").alias("doc_id"), F.col(f"_{at[1]}").cast("string").alias("xml"))
 
 
+def tag_names(xml: str) -> Column:
+    """The names that the column's texts may have tags of: every element's, and perhaps others."""
+    return F.array_distinct(F.regexp_extract_all(xml, F.lit(r"(?U)<([^\s\x1c-\x1f/>!?][^\s\x1c-\x1f/>]*)"), F.lit(1)))
+
+
 def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[str] | None = None) -> DataFrame:
     """The node table of (doc_id, xml) documents.
 
