@@ -15,6 +15,7 @@ from xylem.sources.markup import ATTRIBUTE, COMMENT, ELEMENT, NAMESPACE, PI, ROO
 from . import values as v
 
 FIRST_ATTRIBUTE = 1000
+XML = "http://www.w3.org/XML/1998/namespace"
 
 
 @lru_cache(maxsize=4096)
@@ -88,8 +89,10 @@ class Evaluator:
             found = t.attrs[k] if plain and t.attrs[k] else ()
             return [(k, FIRST_ATTRIBUTE + i, a, x) for i, (a, x, _) in enumerate(found) if a != "xmlns" and not a.startswith("xmlns:")]
         if name == "namespace":
-            scope = t.scope[k] if plain and t.kind[k] == ELEMENT and t.scope[k] else {}
-            return [(k, 1 + i, p, u) for i, (p, u) in enumerate(sorted((p, u) for p, u in scope.items() if p and p != "xml"))]
+            if not plain or t.kind[k] != ELEMENT:
+                return ()
+            own = sorted((p, u) for p, u in (t.scope[k] or {}).items() if p and p != "xml")
+            return [(k, 1 + i, p, u) for i, (p, u) in enumerate([*own, ("xml", XML)])]  # the prefix xml is always bound
         if name == "following":
             return map(self.node, range((t.end[k] if plain else k) + 1, len(t.end)))
         if name == "preceding":
@@ -223,7 +226,7 @@ class Evaluator:
         if name == "lang":
             have = (self.t.lang[n[0]] or "").lower()
             want = self.string(args[0]).lower()
-            return have == want or have.startswith(want + "-")
+            return bool(have) and (have == want or have.startswith(want + "-"))
         if name in ("name", "local-name", "namespace-uri"):
             if args and not args[0]:
                 return ""
@@ -235,7 +238,10 @@ class Evaluator:
             x = self.number(args[0])
             if math.isnan(x) or math.isinf(x):
                 return x
-            return v.round_half_up(x) if name == "round" else float((math.floor if name == "floor" else math.ceil)(x))
+            if name == "round":
+                return v.round_half_up(x)
+            whole = float((math.floor if name == "floor" else math.ceil)(x))
+            return whole or math.copysign(0.0, x)
         if name == "number":
             return self.number(args[0] if args else self.value(n))
         s = [self.string(x) for x in args] or [self.value(n)] * (name != "concat")

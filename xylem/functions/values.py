@@ -121,7 +121,8 @@ def remainder(a: Column, b: Column) -> Column:
 
 def _whole(x: Column, f) -> Column:
     big = F.isnan(x) | (F.abs(x) >= 2.0**52)
-    return F.when(big, x).otherwise(f(F.when(big, 0.0).otherwise(x)).cast("double"))
+    whole = f(F.when(big, 0.0).otherwise(x)).cast("double")
+    return F.when(big, x).when(whole == 0, x * 0.0).otherwise(whole)  # zero keeps its sign
 
 
 def floored(x: Column) -> Column:

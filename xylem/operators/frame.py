@@ -76,8 +76,8 @@ def needed_names(e) -> frozenset[str] | None:
     return frozenset(names)
 
 
-def may_match(xml: Column, e) -> Column:
-    """False only for texts that can't have a node in the result: they lack the start of a tag that it needs."""
+def may_match(xml: Column, e, tags: Column | None = None) -> Column:
+    """False only for texts that can't have a node in the result: they lack a tag that it needs, by their summary ``tags`` or by how tags begin."""
     options = g.required_names(e)
     if not options:
         return F.lit(True)
@@ -85,7 +85,7 @@ def may_match(xml: Column, e) -> Column:
     for names in options:
         all_of = None
         for name in sorted(names):
-            hit = xml.contains(f"<{name}")
+            hit = xml.contains(f"<{name}") if tags is None else F.array_contains(tags, name)
             all_of = hit if all_of is None else all_of & hit
         if all_of is None:
             return F.lit(True)
@@ -94,12 +94,13 @@ def may_match(xml: Column, e) -> Column:
 
 
 class XmlFrame:
-    """``docs``: (doc_id, xml). ``nodes``: their node table, where it is stored; otherwise each query parses what it needs."""
+    """``docs``: (doc_id, xml), with ``tags`` also their summaries. ``nodes``: their node table, where it is stored; otherwise each query parses what it needs."""
 
-    def __init__(self, docs: DataFrame | None = None, nodes: DataFrame | None = None, prune: bool = True):
+    def __init__(self, docs: DataFrame | None = None, nodes: DataFrame | None = None, prune: bool = True, tags: bool = False):
         if docs is None and nodes is None:
             raise ValueError("documents or a node table are needed")
         self.docs = None if docs is None else markup.docs_of(docs)
+        self._summarized = docs.select("doc_id", "xml", "tags") if tags else None
         self._nodes, self.prune = nodes, prune
 
     def nodes(self, e=None, output: tuple[str, ...] = (), context: str = "root") -> DataFrame:
@@ -109,7 +110,9 @@ class XmlFrame:
         if e is None or not self.prune:
             return markup.parse(self.docs)
         docs = self.docs
-        if g.kind(e) == g.NODESET:
+        if g.kind(e) == g.NODESET and self._summarized is not None:
+            docs = self._summarized.where(may_match(F.col("xml"), e, F.col("tags"))).select("doc_id", "xml")
+        elif g.kind(e) == g.NODESET:
             docs = docs.where(may_match(F.col("xml"), e))
         return markup.parse(docs, needed_columns(e, output), needed_names(e) if context == "root" else None)
 
@@ -147,10 +150,13 @@ class XmlFrame:
         """(doc_id, pre, aord, raw): the piece of the document that each node is; an attribute's is its value."""
         if self.docs is None:
             raise ValueError("raw fragments need the documents")
-        found = self._result(xpath, ("value",), context).select("doc_id", "pre", "aord", "value", "start_off", "end_off")
+        # a document's text meets the places of all its nodes once
+        place = F.struct("pre", "aord", F.when(F.col("aord") > 0, F.col("value")).alias("value"), "start_off", "end_off")
+        found = self._result(xpath, ("value",), context).groupBy("doc_id").agg(F.collect_list(place).alias("places"))
         joined = found.join(self.docs.select(F.col("doc_id").alias("d"), "xml"), F.col("doc_id") == F.col("d"))
-        raw = F.when(F.col("aord") > 0, F.col("value")).otherwise(F.col("xml").substr(F.col("start_off") + 1, F.col("end_off") - F.col("start_off")))
-        return joined.select("doc_id", "pre", "aord", raw.alias("raw"))
+        piece = lambda x: F.when(x["aord"] > 0, x["value"]).otherwise(F.substring("xml", x["start_off"] + 1, x["end_off"] - x["start_off"]))
+        pieces = F.transform("places", lambda x: F.struct(x["pre"].alias("pre"), x["aord"].alias("aord"), piece(x).alias("raw")))
+        return joined.select("doc_id", F.explode(pieces).alias("x")).select("doc_id", "x.*")
 
     def eval(self, xpath: str, context: str = "element") -> DataFrame:
         """A node-set as ``xpath_string`` gives it; otherwise (doc_id, value) with a string, double or boolean for each document."""
@@ -228,6 +234,13 @@ class XmlFrame:
 
     # statistics
 
+    def totals(self) -> DataFrame:
+        """(documents, chars, tags, texts, max_depth, unique_tags) of all documents, in one row; ``chars`` is null without the documents."""
+        each = self.summary().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n_tags"), F.lit(0)).alias("tags"), F.coalesce(F.sum("n_text"), F.lit(0)).alias("texts"), F.coalesce(F.max("max_depth"), F.lit(0)).alias("max_depth"))
+        names = self.nodes().where("kind = 'element'").agg(F.count_distinct("name").alias("unique_tags"))
+        chars = self.docs.agg(F.coalesce(F.sum(F.length("xml")), F.lit(0)).alias("chars")) if self.docs is not None else self._nodes.limit(1).agg(F.max(F.lit(None).cast("long")).alias("chars"))
+        return each.crossJoin(chars).crossJoin(names).select("documents", "chars", "tags", "texts", "max_depth", "unique_tags")  # one row each
+
     def info(self, top: int = 10) -> DataFrame:
         """(name, n): the ``top`` most frequent element names; ties by name."""
         found = self.nodes().where("kind = 'element'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
@@ -254,6 +267,33 @@ class XmlFrame:
         w = Window.partitionBy("doc_id", "f_pre").orderBy("pre")
         return kids.select("doc_id", F.col("f_pre").alias("pre"), F.col("pre").alias("child"), "name", (F.row_number().over(w) - 1).alias("ordinal"))
 
+    def child_counts(self, xpath: str, context: str = "root") -> DataFrame:
+        """(doc_id, pre, n): how many element children each element of the result has; 0 for none."""
+        e = compiled(xpath)
+        plan = Plan(self.nodes(), context)
+        found = plan.top(e).where("kind = 'element'").select("doc_id", "pre")
+        per = plan.n.where("kind = 'element'").groupBy(F.col("doc_id").alias("c_doc"), F.col("parent").alias("c_parent")).agg(F.count(F.lit(1)).alias("n"))
+        joined = found.join(per, (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_parent")), "left")
+        return joined.select("doc_id", "pre", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def child_at(self, xpath: str, ordinal: int, context: str = "root") -> DataFrame:
+        """(doc_id, pre, child, name): the element child with this number, counted from 0, of each element that has it."""
+        return self.children(xpath, context).where(F.col("ordinal") == ordinal).drop("ordinal")
+
+    def extents(self, xpath: str, context: str = "root") -> DataFrame:
+        """(doc_id, pre, end, start_off, end_off): the last node below each node, and where it begins and ends in the text."""
+        return self._result(xpath, (), context).where("aord = 0").select("doc_id", "pre", "end", "start_off", "end_off")
+
+    def itertext(self, xpath: str, context: str = "root") -> DataFrame:
+        """(doc_id, pre, ord, text): every text run inside each element of the result, decoded, in document order from 0."""
+        e = compiled(xpath)
+        plan = Plan(self.nodes(), context)
+        found = plan.top(e).where("kind = 'element'").select(F.col("doc_id").alias("f_doc"), F.col("pre").alias("f_pre"), F.col("end").alias("f_end"))
+        runs = plan.n.where("kind = 'text'").select("doc_id", F.col("pre").alias("t_pre"), F.coalesce("value", F.lit("")).alias("text"))
+        inside = found.join(runs, (F.col("f_doc") == F.col("doc_id")) & (F.col("t_pre") > F.col("f_pre")) & (F.col("t_pre") <= F.col("f_end")))
+        order = F.row_number().over(Window.partitionBy("doc_id", "f_pre").orderBy("t_pre")) - 1
+        return inside.select("doc_id", F.col("f_pre").alias("pre"), order.alias("ord"), "text")
+
     def texts_of(self, xpath: str, context: str = "root") -> DataFrame:
         """(doc_id, pre, name, parent, text, tail, all_text): first text child, the text right after the element, all text inside; decoded."""
         e = compiled(xpath)
@@ -279,13 +319,14 @@ class XmlFrame:
 
 
 def standalone(spark: SparkSession, *xpaths: str) -> DataFrame:
-    """(expr, type, value): expressions that need no document, with their static type and the value as a string."""
-    frame = XmlFrame(spark.createDataFrame([(0, "<r/>")], "doc_id long, xml string"))
-    out = None
+    """(expr, type, value): expressions that need no document, with their static type and the value as a string. All in one plan."""
+    plan = XmlFrame(spark.createDataFrame([(0, "<r/>")], "doc_id long, xml string")).plan(g.Literal(""), ("value",))
+    s, rows = plan.start().withColumns({"sp": F.col("cp"), "sa": F.col("ca")}), []
     for x in xpaths:
-        one = frame.display(x).select(F.lit(x).alias("expr"), F.lit(g.kind(compiled(x))).alias("type"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+        e = compiled(x)
+        s, value = plan.scalar(s, e, g.STRING)
+        rows.append(F.struct(F.lit(x).alias("expr"), F.lit(g.kind(e)).alias("type"), value.alias("value")))
+    return s.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def _ordered(column: str) -> Column:
@@ -296,9 +337,21 @@ def _lists_of(docs: DataFrame, f, name: str) -> DataFrame:
     import pyarrow as pa
 
     def of(batches):
+        ids, ords, found, size = [], [], [], 0
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ords, pa.int32()), pa.array(found, pa.string())], names=["doc_id", "ord", name])
+
         for batch in batches:
-            rows = [(i, k, s) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, s in enumerate(f(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "ord", name])
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, s in enumerate(f(x.as_py())):
+                    ids.append(i), ords.append(k), found.append(s)
+                    size += 40 + len(s)
+                    if size > 4_000_000:  # results are handed on by their size, however many documents a batch has
+                        yield rows()
+                        ids, ords, found, size = [], [], [], 0
+        if ids:
+            yield rows()
 
     return docs.mapInArrow(of, f"doc_id long, ord int, {name} string")
 

@@ -6,6 +6,9 @@ table in the shared folder, and queried from there. The oracles compute the same
 
 from __future__ import annotations
 
+import io
+import math
+import os
 from collections.abc import Callable
 from functools import partial
 
@@ -14,7 +17,8 @@ from pyspark.sql import functions as F
 
 from xylem.functions import sql as sql_functions
 from xylem.operators.frame import XmlFrame, standalone, strings_per_document
-from xylem.sources import relational, store, workspace
+from xylem.sources import files, markup, relational, store, workspace
+from xylem.streaming import documents as streams
 
 _STORES: dict[tuple[str, str, str], str] = {}
 
@@ -88,7 +92,7 @@ XPATHS: dict[str, tuple[str, str, str]] = {
     "axis_preceding": ("order", "/order/lines/line[last()]/preceding::part", _lines("part", "k < n")),
     "axis_self": ("order", "//line/self::line/@status", _lines("l_linestatus")),
     "axis_attribute": ("order", "/order/@*", " UNION ALL ".join(_orders(x) for x in (_OID, "o_orderstatus", "o_orderpriority"))),
-    "axis_namespace": ("prefixed", "//y:size/namespace::*", _parts("'urn:p'") + " UNION ALL " + _parts("'urn:s'")),
+    "axis_namespace": ("prefixed", "//y:size/namespace::*", " UNION ALL ".join(_parts(f"'{u}'") for u in ("urn:p", "urn:s", "http://www.w3.org/XML/1998/namespace"))),
     # node tests
     "test_wildcard": ("order", "/order/lines/*/part", _lines("part")),
     "test_text": ("order", "//qty/text()", _lines("qty")),
@@ -113,6 +117,11 @@ XPATHS: dict[str, tuple[str, str, str]] = {
     "pred_multi": ("order", "//line[@flag = 'R'][2]/part", f"{_OL}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS j FROM ol WHERE l_returnflag = 'R') SELECT l_orderkey AS doc_id, part AS value FROM r WHERE j = 2"),
     "pred_multi_order": ("order", "//line[2][@flag = 'R']/part", _lines("part", "k = 2 AND l_returnflag = 'R'")),
     "pred_nested": ("order", "//line[qty[. > 48]]/part", _lines("part", "l_quantity > 48")),
+    "pred_negative": ("order", "/order/lines/line[-(-2)]/part", _lines("part", "k = 2")),
+    "pred_string": ("part", "/part[string(name)]['x'][not('')]/brand", _parts("p_brand", "p_name <> ''")),
+    "pred_union": ("order", "/order[lines/gift | lines/line]/@id", _orders(_OID, _HAS.format("TRUE"))),
+    "pred_filter": ("order", "/order[(lines/line)[3]]/@id", _orders(_OID, "o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 3)")),
+    "lang_of_no_language": ("order", "count(//*[lang('')])", _orders("CAST(0 AS DOUBLE)")),
     "pred_count": ("order", "/order[count(lines/line) = 3]/@id", _orders(_OID, "o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 3)")),
     # paths
     "global_filter": ("order", "(//line)[3]/part", _lines("part", "k = 3")),
@@ -267,6 +276,119 @@ def _shred(spark, sf_dir):
     return frame(spark, sf_dir, "order").shred("//line", columns).drop("pre")
 
 
+def _files_of(spark, sf_dir, kind: str, name: str) -> str:
+    """A folder with a file for each document of a kind that has few."""
+    path = workspace.new_path(spark, name)
+    docs = relational.documents(spark, sf_dir, kind)
+    docs.select(F.col("doc_id").alias("id"), "xml").repartition("id").write.partitionBy("id").text(path)
+    return path
+
+
+def _files(spark, sf_dir):
+    docs = files.read_files(spark, _files_of(spark, sf_dir, "region", "files") + "/id=*/*.txt")
+    return XmlFrame(docs).xpath_string("//nation/name").select("value")
+
+
+def _records(spark, sf_dir):
+    """Large files of many records, split while they are read."""
+    path = workspace.new_path(spark, "records")
+    relational.documents(spark, sf_dir, "order").select("xml").write.text(path)
+    return XmlFrame(files.read_records(spark, path, "order")).xpath_string("//line[@flag = 'R']/qty").select("value")
+
+
+def _changed(spark, sf_dir) -> DataFrame:
+    """The documents of parts as they were: every third one isn't there, every second one has another text."""
+    docs = relational.documents(spark, sf_dir, "part").where("doc_id % 3 > 0")
+    return docs.withColumn("xml", F.when(F.col("doc_id") % 2 == 0, F.replace("xml", F.lit("<name>"), F.lit("<name>old "))).otherwise(F.col("xml")))
+
+
+def _stale(spark, sf_dir):
+    path = workspace.new_path(spark, "stale")
+    store.write(_changed(spark, sf_dir), path)
+    return store.stale(relational.documents(spark, sf_dir, "part"), path).select("doc_id")
+
+
+def _refresh(spark, sf_dir):
+    old, new = workspace.new_path(spark, "old"), workspace.new_path(spark, "new")
+    store.write(_changed(spark, sf_dir), old)
+    return store.refresh(relational.documents(spark, sf_dir, "part"), old, new).xpath_string("/part/name", "root").select("doc_id", "value")
+
+
+def _load_or_write(spark, sf_dir):
+    """Made, brought up to date, and loaded as it is."""
+    path = workspace.new_path(spark, "kept")
+    now = relational.documents(spark, sf_dir, "part")
+    for docs in (_changed(spark, sf_dir), now, now):
+        found = store.load_or_write(docs, path)
+    return found.xpath_string("/part/name", "root").select("doc_id", "value")
+
+
+def _order_store(spark, sf_dir) -> str:
+    frame(spark, sf_dir, "order")
+    return _STORES[(spark.sparkContext.applicationId, sf_dir, "order")]
+
+
+def _summaries(spark, sf_dir):
+    return store.summaries(spark, _order_store(spark, sf_dir)).where(F.array_contains("tags", "line")).select("doc_id")
+
+
+def _lazy_store(spark, sf_dir):
+    """Documents whose summary lacks a name that the query needs aren't parsed."""
+    return store.load_lazy(spark, _order_store(spark, sf_dir)).xpath_text("//line[@flag = 'R']/qty", "root").select("doc_id", "text")
+
+
+def _stream(spark, sf_dir):
+    """All files there are, as a stream that ends, into a table."""
+    path, out = _files_of(spark, sf_dir, "region", "arrived"), workspace.new_path(spark, "stream")
+    found = streams.strings(streams.file_stream(spark, path + "/id=*/*.txt", 2), "//nation/name")
+    query = found.writeStream.format("parquet").option("checkpointLocation", out + "-at").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema("doc_id long, ord int, value string").parquet(out).select("value")
+
+
+def _command_line(spark, sf_dir):
+    """The lines that the command line prints."""
+    from xylem.__main__ import main
+
+    path, out = _files_of(spark, sf_dir, "region", "printed"), io.StringIO()
+    code = main(["-H", "//nation[@key < 10]/name", path + "/id=*/*.txt"], out, spark)
+    return spark.createDataFrame([(code, line) for line in out.getvalue().splitlines()], "code int, line string")
+
+
+def _child_counts(spark, sf_dir):
+    return frame(spark, sf_dir, "order").child_counts("/order/lines").select("doc_id", "n")
+
+
+def _child_at(spark, sf_dir):
+    return frame(spark, sf_dir, "part").child_at("/part", 1).select("doc_id", "name")
+
+
+def _extents(spark, sf_dir):
+    found = frame(spark, sf_dir, "part").extents("/part/brand")
+    return found.select("doc_id", (F.col("end") - F.col("pre")).alias("below"), (F.col("end_off") - F.col("start_off")).alias("chars"))
+
+
+def _itertext(spark, sf_dir):
+    return frame(spark, sf_dir, "part").itertext("/part").select("doc_id", "ord", "text")
+
+
+def _totals(spark, sf_dir):
+    return frame(spark, sf_dir, "order").totals().drop("chars")
+
+
+def _parse_errors(spark, sf_dir):
+    docs = relational.documents(spark, sf_dir, "part")
+    cut = F.when(F.col("doc_id") % 2 == 0, F.expr("substring(xml, 1, length(xml) - 1)")).otherwise(F.col("xml"))
+    return markup.parse_errors(docs.withColumn("xml", cut)).select("doc_id", F.regexp_replace("error", r"\d+$", "").alias("error"))
+
+
+def _sql_functions(spark, sf_dir):
+    sql_functions.register(spark)
+    docs = relational.documents(spark, sf_dir, "part")
+    first = lambda f, path: F.expr(f"element_at({f}(xml, '{path}'), 1)")
+    return docs.select("doc_id", first("xml_texts", "/part/name").alias("name"), first("xml_fragments", "/part/brand").alias("brand"), F.expr("xml_decode(element_at(xml_fragments(xml, '/part/type/text()'), 1))").alias("type"))
+
+
 _STANDALONE = [
     ("1 div 0", "number", "Infinity"), ("-1 div 0", "number", "-Infinity"), ("0 div 0", "number", "NaN"), ("-5 mod 2", "number", "-1"), ("1 div 3", "number", "0.333333333333333"), ("1e20", "number", "1e+20"),
     ("round(-2.5)", "number", "-2"), ("floor(-1.5)", "number", "-2"), ("ceiling(1.2) * 3", "number", "6"), ("concat('a', 1, true())", "string", "a1true"), ("substring('12345', 1.5, 2.6)", "string", "234"),
@@ -278,6 +400,23 @@ def _standalone(spark, sf_dir):
     return standalone(spark, *[x for x, _, _ in _STANDALONE])
 
 
+def expressions() -> list[tuple[str, str, str]]:
+    """(expression, type, value) of a public conformance suite's expressions that need no document; numbers with six significant digits."""
+    with open(os.path.join(os.path.dirname(__file__), "expressions.tsv"), encoding="utf-8") as f:
+        return [tuple(line.rstrip("\n").split("\t")) for line in f]
+
+
+def six_digits(x: float) -> str:
+    return "NaN" if math.isnan(x) else ("Infinity" if x > 0 else "-Infinity") if math.isinf(x) else f"{x + 0.0:.5e}"
+
+
+def _expressions(spark, sf_dir):
+    found = standalone(spark, *[x for x, _, _ in expressions()])
+    number = F.col("value").try_cast("double")
+    digits = F.when(F.col("value").isin("NaN", "Infinity", "-Infinity"), F.col("value")).otherwise(F.format_string("%.5e", number))
+    return found.select("expr", "type", F.when(F.col("type") == "number", digits).otherwise(F.col("value")).alias("value"))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -334,6 +473,26 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "xpath_from": (_xpath_from, "SELECT l_orderkey AS doc_id, 'qty' AS name, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT o_orderkey, 'cust', CAST(o_custkey AS VARCHAR) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"),
     "shred_rows": (_shred, f"{_OL}SELECT l_orderkey AS doc_id, l_partkey AS part, l_quantity AS qty, l_returnflag AS flag, o_custkey AS customer, CAST(NULL AS VARCHAR) AS gift, CAST(n AS INTEGER) AS siblings FROM ol JOIN orders ON l_orderkey = o_orderkey"),
     "standalone": (_standalone, "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(x)}, '{t}', '{v}')" for x, t, v in _STANDALONE) + ") AS t(expr, type, value)"),
+    "standalone_suite": (_expressions, "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(x)}, '{t}', {_quoted(v)})" for x, t, v in expressions()) + ") AS t(expr, type, value)"),
+    "source_files": (_files, "SELECT n_name AS value FROM nation"),
+    "source_records": (_records, f"SELECT value FROM ({_lines('qty', "l_returnflag = 'R'")})"),
+    "store_stale": (_stale, "SELECT p_partkey AS doc_id FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0"),
+    "store_refresh": (_refresh, _parts("p_name")),
+    "store_load_or_write": (_load_or_write, _parts("p_name")),
+    "store_summaries": (_summaries, "SELECT DISTINCT l_orderkey AS doc_id FROM lineitem"),
+    "store_lazy": (_lazy_store, f"SELECT doc_id, value AS text FROM ({_lines('qty', "l_returnflag = 'R'")})"),
+    "stream_files": (_stream, "SELECT n_name AS value FROM nation"),
+    "command_line": (_command_line, "SELECT CAST(0 AS INTEGER) AS code, n_name AS line FROM nation WHERE n_nationkey < 10"),
+    "nav_child_counts": (_child_counts, "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"),
+    "nav_child_at": (_child_at, "SELECT p_partkey AS doc_id, 'brand' AS name FROM part"),
+    "nav_extents": (_extents, "SELECT p_partkey AS doc_id, CAST(1 AS INTEGER) AS below, CAST(length(p_brand) + 15 AS INTEGER) AS chars FROM part"),
+    "nav_itertext": (_itertext, " UNION ALL ".join(f"SELECT p_partkey AS doc_id, CAST({i} AS INTEGER) AS ord, {x} AS text FROM part" for i, x in enumerate(("'  '", "p_name", "' tail '", "p_brand", "p_type")))),
+    "info_totals": (
+        _totals,
+        "SELECT o AS documents, 3 * o + 3 * l AS tags, o + 2 * l AS texts, CAST(3 AS INTEGER) AS max_depth, CAST(6 AS BIGINT) AS unique_tags FROM (SELECT count(*) AS o FROM orders), (SELECT count(*) AS l FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))",
+    ),
+    "parse_errors": (_parse_errors, "SELECT p_partkey AS doc_id, 'tag not closed at ' AS error FROM part WHERE p_partkey % 2 = 0"),
+    "sql_functions": (_sql_functions, "SELECT p_partkey AS doc_id, p_name AS name, '<brand>' || p_brand || '</brand>' AS brand, p_type AS type FROM part"),
     "decode_entities": (_decode_column, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
 }
 

@@ -22,6 +22,7 @@ KEY = ["doc_id", "cp", "ca"]
 NODE = ["pre", "aord", "end", "parent", "depth", "kind", "name", "path", "text", "value", "attrs", "uri", "lang", "scope", "start_off", "end_off"]
 STEP = ["sp", "sa"]
 FIRST_ATTRIBUTE = 1000
+SCOPE, XML = "array<struct<prefix:string,uri:string>>", "http://www.w3.org/XML/1998/namespace"
 
 
 def _c(name: str) -> Column:
@@ -195,7 +196,9 @@ class Plan:
     def leaves(current: DataFrame, axis: str) -> DataFrame:
         keep = [c for c in NODE if c not in ("aord", "kind", "name", "value", "text", "uri", "attrs", "parent")]
         base = current.where("aord = 0 and kind = 'element'")
-        many = base.select(*KEY, *keep, F.posexplode("attrs" if axis == "attribute" else "scope").alias("i", "x"))
+        bound = F.struct(F.lit("xml").alias("prefix"), F.lit(XML).alias("uri"))  # on every element
+        own = _c("attrs") if axis == "attribute" else F.concat(F.coalesce(_c("scope"), F.array().cast(SCOPE)), F.array(bound).cast(SCOPE))
+        many = base.select(*KEY, *keep, F.posexplode(own).alias("i", "x"))
         if axis == "attribute":
             many = many.where(~(_c("x.name").startswith("xmlns:") | (_c("x.name") == "xmlns")))
         name, value = ("x.name", "x.value") if axis == "attribute" else ("x.prefix", "x.uri")
@@ -439,7 +442,7 @@ class Plan:
         if name == "lang":
             s, c = self.scalar(s, args[0], g.STRING)
             have, want = F.lower(v.text(_c("lang"))), F.lower(c)
-            return s, (have == want) | have.startswith(F.concat(want, F.lit("-")))
+            return s, (have != "") & ((have == want) | have.startswith(F.concat(want, F.lit("-"))))
         if name in ("name", "local-name", "namespace-uri"):
             column = "uri" if name == "namespace-uri" else "name"
             if args and not _self(args[0]):
