@@ -1,5 +1,6 @@
 import io
 import json
+import sys
 
 from xylem.__main__ import main
 
@@ -22,5 +23,11 @@ def test_command_line(spark, tmp_path):
     code, text = call(spark, "-j", "//a/@x", a)
     assert code == 0 and json.loads(text) == ["1"]
     assert call(spark, "count(//a)", a) == (0, "2\n")
-    assert call(spark, "//nothing", a)[0] == 1 and call(spark, "//[", a)[0] == 2 and call(spark, "//a", f"file:{tmp_path}/missing.xml")[0] == 2 and call(spark, "//a")[0] == 2
-    assert call(spark, "info", a)[1].splitlines()[:3] == ["tags 3", "texts 2", "max depth 1"]
+    assert call(spark, "//nothing", a)[0] == 1 and call(spark, "//[", a)[0] == 2 and call(spark, "//a", f"file:{tmp_path}/missing.xml")[0] == 2
+    assert call(spark, "info", a)[1].splitlines()[:5] == ["tags 3", "texts 2", "max depth 1", "bytes 41", "unique tags 2"]
+
+
+def test_standard_input(spark, monkeypatch):
+    for argv in (["//a"], ["//a", "-"], ["-c", "//a"]):
+        monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO("<r><a>é</a></r>".encode()), "utf-8"))
+        assert call(spark, *argv) == (0, "1\n" if argv[0] == "-c" else "é\n")

@@ -1,9 +1,10 @@
 """Command line: XPath over files.
 
-    python -m xylem [-c | -l | -r | -j] [-0] [-W] [-H] [-t N] XPATH FILE...
-    python -m xylem info FILE...
+    python -m xylem [-c | -l | -r | -j] [-0] [-W] [-H] [-t N] XPATH [FILE...]
+    python -m xylem info [FILE...]
 
 Exit codes: 0 something was found, 1 nothing, 2 an error. Folders and patterns are read by all tasks in parallel.
+Without files, or for the file ``-``, the document comes from standard input.
 """
 
 from __future__ import annotations
@@ -33,13 +34,25 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-H", "--no-filename", action="store_true", help="no file names in front of results")
     p.add_argument("-t", "--threads", type=int, default=0, help="local threads; all by default")
     p.add_argument("xpath", help="expression, or info for statistics")
-    p.add_argument("paths", nargs="+")
+    p.add_argument("paths", nargs="*", help="files, folders or patterns; - or none: standard input")
     return p.parse_args(argv)
 
 
+def documents(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """(doc_id, uri, xml) of the files, and of standard input, read once, which is one document called ``-``."""
+    paths = [x for x in a.paths if x != "-"]
+    found = [files.read_files(spark, *paths)] if paths else []
+    if len(paths) < len(a.paths) or not a.paths:
+        if getattr(a, "stdin", None) is None:
+            raw = getattr(sys.stdin, "buffer", sys.stdin).read()
+            a.stdin = raw if isinstance(raw, str) else raw.decode("utf-8", "replace")
+        found.append(spark.createDataFrame([("-", a.stdin)], "uri string, xml string").select(F.xxhash64("uri").alias("doc_id"), "uri", "xml"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def results(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """(uri, pre, aord, value) in no particular order; for scalars one row a file."""
-    docs = files.read_files(spark, *a.paths)
+    docs = documents(spark, a)
     frame = XmlFrame(docs)
     e = compiled(a.xpath)
     if g.kind(e) != g.NODESET:
@@ -54,11 +67,13 @@ def results(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def run(spark: SparkSession, a: argparse.Namespace, out) -> int:
     end = "\0" if a.null else "\n"
-    many = files.read_files(spark, *a.paths).select("uri").limit(2).count() > 1 and not a.no_filename
+    many = documents(spark, a).select("uri").limit(2).count() > 1 and not a.no_filename
     if a.xpath == "info":
-        frame = XmlFrame(files.read_files(spark, *a.paths))
-        total = frame.summary().agg(F.sum("n_tags").alias("tags"), F.sum("n_text").alias("texts"), F.max("max_depth").alias("depth")).first()
-        out.write(f"tags {total['tags'] or 0}\ntexts {total['texts'] or 0}\nmax depth {total['depth'] or 0}\n")
+        docs = documents(spark, a)
+        frame = XmlFrame(docs)
+        total = frame.totals().first()
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("xml")), F.lit(0))).first()[0]
+        out.write(f"tags {total['tags']}\ntexts {total['texts']}\nmax depth {total['max_depth']}\nbytes {size}\nunique tags {total['unique_tags']}\n")
         for r in frame.info().collect():
             out.write(f"{r['n']:>10} {r['name']}\n")
         return 0
@@ -71,7 +86,7 @@ def run(spark: SparkSession, a: argparse.Namespace, out) -> int:
         out.writelines(u + end for u in rows)
         return 0 if rows else 1
     if a.count and not scalar:
-        counts = files.read_files(spark, *a.paths).select("uri").join(found.groupBy("uri").count(), "uri", "left").select("uri", F.coalesce("count", F.lit(0)).alias("n")).orderBy("uri")
+        counts = documents(spark, a).select("uri").join(found.groupBy("uri").count(), "uri", "left").select("uri", F.coalesce("count", F.lit(0)).alias("n")).orderBy("uri")
         total = 0
         for r in counts.toLocalIterator():
             total += r["n"]
