@@ -35,6 +35,18 @@ def test_the_entry_point_works_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
+def test_only_the_text_operators_may_be_missing(tmp_path):
+    """Both folders and the pipeline gone: the rest's tests run. A broken import inside them is an error."""
+    shutil.copytree(f"{ROOT}/xylem", tmp_path / "xylem", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(f"{ROOT}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_cli.py", "tests/test_conformance.py", "-k", "command_line or expressions"], cwd=tmp_path, check=True, env=env)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    broken = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert broken.returncode and "no_such_module" in broken.stderr
+
+
 def test_nothing_outside_imports_the_text_operators():
     for folder, _, names in os.walk(f"{ROOT}/xylem"):
         if "llm" not in folder.split(os.sep):
