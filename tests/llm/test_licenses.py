@@ -29,6 +29,46 @@ def test_notices_are_found_where_they_are(spark, rng):
     assert got == {i: brute(t) for i, t in docs if brute(t)} and len(got) == 60
 
 
+def brute_edited(words, index):
+    """(licence, template) of every notice, by trying each template at every place of the text, without anchors."""
+    found = set()
+    for t, template in enumerate(index.templates):
+        own = [index.vocabulary[x] for x in template]
+        for start in range(-l.SLACK, len(words)):
+            last, hits = start - l.SLACK - 1, 0
+            for q, w in enumerate(own):
+                near = [p for p in range(max(last + 1, start + q - l.SLACK, 0), min(len(words), start + q + l.SLACK + 1)) if words[p] == w]
+                if near:
+                    last, hits = min(near, key=lambda p: (abs(p - start - q), p)), hits + 1
+            if hits < l.COVERAGE * len(own) - 1e-9:
+                continue
+            around = words[max(0, start - l.SLACK) : start + len(own) + l.SLACK + max(map(len, index.phrases[t]))].tolist()
+            phrases = [[int(index.vocabulary[x]) for x in p] for p in index.phrases[t]]
+            if all(any(around[k : k + len(p)] == p for k in range(len(around))) for p in phrases):
+                found.add((index.names[t], t))
+    return found
+
+
+def test_edited_notices_against_brute_force(spark, rng):
+    """Words of notices, full texts among them, replaced, left out and put in. Found are those that keep one of their rarest words in place."""
+    index, docs = l.Index(), []
+    for i, (_, notice, _) in enumerate(l.TEMPLATES * 2):
+        words = notice.split()
+        for _ in range(rng.randint(0, max(1, len(words) // 10))):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[word(rng)], [], [words[at], word(rng)]])
+        docs.append((i, " ".join([word(rng) for _ in range(9)] + words + [word(rng) for _ in range(9)])))
+    got = {}
+    for r in l.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    missed = 0
+    for i, text in docs:
+        want = {name for name, _ in brute_edited(l.word_hashes(text), index)}
+        assert got.get(i, set()) <= want, text
+        missed += len(want - got.get(i, set()))
+    assert len(got) > 60 and missed <= 2, missed
+
+
 def test_edited_notices_and_missing_phrases(spark):
     docs = [
         (1, "x Permission is hereby granted, free of charge, to any individual obtaining a copy of this software and associated documentation files y"),
