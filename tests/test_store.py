@@ -18,6 +18,20 @@ def test_store_and_refresh(spark, tmp_path):
     assert {r.doc_id for r in g.count_batch("//a").collect()} == {1, 2, 5}
     h = store.load_or_write(changed, f"file://{tmp_path}/two")
     assert sorted(r.value for r in h.xpath_string("//b", "root").collect()) == ["y", "z"]
+    i = store.load_or_write(docs, f"file://{tmp_path}/two")  # in place: one document changed back, one new, one gone
+    assert [r.value for r in i.xpath_string("//b", "root").collect() if r.doc_id] == ["x"] and store.stale(docs, f"file://{tmp_path}/two").isEmpty()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "two"]
+
+
+def test_summaries(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "<a><b>x</b></a>"), (2, "<a><!-- <b> --></a>"), (3, "<a/>"), (4, None), (5, "<b\u00a0c='1'/><x:y z='<w>'/>")], "doc_id long, xml string")
+    store.write(docs, f"file://{tmp_path}/s")
+    assert {r.doc_id: r.tags for r in store.summaries(spark, f"file://{tmp_path}/s").collect()} == {1: ["a", "b"], 2: ["a", "b"], 3: ["a"], 4: None, 5: ["b", "x:y", "w"]}
+    lazy = store.load_lazy(spark, f"file://{tmp_path}/s")
+    assert [(r.doc_id, r.text) for r in lazy.xpath_text("//b", "root").collect()] == [(1, "x")]
+    assert {r.doc_id: r.n for r in lazy.count_batch("//b").collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+    plan = lazy.xpath("//b", "root")._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" in plan
 
 
 def test_pushdown(spark, tmp_path):
@@ -30,7 +44,8 @@ def test_files_and_records(spark, tmp_path):
     (tmp_path / "x.xml").write_text("<all><rec n='1'>a</rec>\n<rec n='2'>b</rec><record/></all>")
     whole = files.read_files(spark, f"file://{tmp_path}/x.xml")
     assert whole.count() == 1 and whole.columns == ["doc_id", "uri", "xml"]
-    assert sorted(r.xml for r in files.read_records(spark, f"file://{tmp_path}/x.xml", "rec").collect()) == ["<rec n='1'>a</rec>", "<rec n='2'>b</rec>"]
+    for record in ("rec", None):
+        assert sorted(r.xml for r in files.read_records(spark, f"file://{tmp_path}/x.xml", record).collect()) == ["<rec n='1'>a</rec>", "<rec n='2'>b</rec>"]
 
 
 def test_sql_functions(spark):

@@ -254,9 +254,13 @@ def docs_of(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFr
     return plain.select(F.col(f"_{at[0]}").cast("long").alias("doc_id"), F.col(f"_{at[1]}").cast("string").alias("xml"))
 
 
+#: All characters that are white space to the tokens above, for the JVM's patterns.
+_BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def tag_names(xml: str) -> Column:
     """The names that the column's texts may have tags of: every element's, and perhaps others."""
-    return F.array_distinct(F.regexp_extract_all(xml, F.lit(r"(?U)<([^\s\x1c-\x1f/>!?][^\s\x1c-\x1f/>]*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(xml, F.lit(f"<([^{_BLANK}/>!?][^{_BLANK}/>]*+)"), F.lit(1)))
 
 
 def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[str] | None = None) -> DataFrame:
