@@ -250,7 +250,8 @@ def _by_shuffle(spark: SparkSession, base: DataFrame, tests: DataFrame, threshol
     )
     seeds = share.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("p", "at"))).where((F.col("p") <= RARE) | (F.col("r") <= LEAST_SEEDS)).select("item", "at", "gram")
     keyed = base.withColumn("tie", F.xxhash64("doc_id", "text"))
-    grams = keyed.select("tie", "text").dropDuplicates(["tie"]).mapInArrow(_all_grams(list(range(1, N + 1))), "gram long, tie long, place int")
+    lengths = sorted(r["n"] for r in places.select(F.size("words").alias("n")).distinct().collect())  # of N values at most
+    grams = keyed.select("tie", "text").dropDuplicates(["tie"]).mapInArrow(_all_grams(lengths), "gram long, tie long, place int")
     hits = grams.join(seeds, "gram").groupBy("tie", "item").agg(F.sort_array(F.collect_set(F.struct("place", "at"))).alias("hits"))
     named = tests.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.col("text").alias("item_text"))
     joined = keyed.join(hits, "tie").join(named, "item").select("doc_id", "text", "item_id", "item_text", "hits")
