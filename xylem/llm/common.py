@@ -73,18 +73,41 @@ def positional(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; where it is unset, one of our own in local mode, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="xylem-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: What ``cut`` has written in this process.
+_WRITTEN: list[str] = []
+
+
+def swept(result: DataFrame, kept: int = 0) -> DataFrame:
+    """``result``, of ``cut``, after all that ``cut`` wrote before it is deleted, but for the first ``kept`` folders. To be called once nothing else is read from them."""
+    spark = result.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = _WRITTEN[kept:-1]
+    del _WRITTEN[kept:-1]
+    for x in gone:
+        path(x).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(x), True)
+    return result
+
+
+def written() -> int:
+    """How many folders of ``cut`` there are."""
+    return len(_WRITTEN)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends here and its size is known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/xylem-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
