@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def escape(c: Column) -> Column:
-    """Text or attribute content; null counts as empty."""
-    c = F.coalesce(c.cast("string"), F.lit(""))
+    """Text or attribute content; null counts as empty. Only strings can hold signs to be replaced, which is decided when the plan is made."""
+    plain = out = F.coalesce(c.cast("string"), F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(F.typeof(c) == "string", out).otherwise(plain)
 
 
 def element(name: str, *content: Column, **attributes: Column) -> Column:
