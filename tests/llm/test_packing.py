@@ -53,6 +53,22 @@ def test_constraints_and_cover(spark, rng):
         assert sum(docs[r.doc_id][1] == "the same few words here" for r in own) <= 1
 
 
+def test_given_clusters(spark, rng):
+    docs = [(i, " ".join(word(rng) for _ in range(12)), f"s{i}") for i in range(60)]
+    named = [(i, i % 3) for i in range(30)] + [(5, 9), (31, None), (None, 1), (99, 1)]
+    df, clusters = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(named, "doc_id long, class_id long")
+    free = p.best_fit_packing(df, capacity=4096).collect()
+    assert len({r.bin for r in free}) == 1
+    rows = p.best_fit_packing(df, capacity=4096, clusters=clusters).collect()
+    bins = {r.doc_id: r.bin for r in rows}
+    assert len(rows) == len(bins) == 60 and len(set(bins.values())) == 10
+    for k in range(3):
+        own = [bins[i] for i in range(k, 30, 3)]
+        assert len(set(own)) == 10
+    empty = p.best_fit_packing(df, capacity=4096, clusters=clusters.where("false")).collect()
+    assert sorted(empty) == sorted(free)
+
+
 def test_hostile_tables(spark):
     docs = hostile(spark)
     rows = p.best_fit_packing(docs).collect()

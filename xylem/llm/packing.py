@@ -167,15 +167,19 @@ def _shard(capacity: int):
     return of
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shard_docs: int = SHARD_DOCS, clusters: DataFrame | None = None) -> DataFrame:
     """(shard, bin, doc_id, start, length, source): every piece of every document and its bin; bins are numbered apart in each shard.
 
     Pieces cover each document's tokens once. A text without tokens (null, empty) has no row. A null source conflicts
-    with nothing; documents with the same words are one cluster. Ties go by doc_id (null last), then by a hash of the text. Repeated
+    with nothing; documents with the same words are one cluster. With ``clusters`` (doc_id, class_id), such as the result of the n-gram Jaccard join, documents
+    of one class are, and only those that it doesn't name, or with a null there, go by their words; of a doc_id's several classes the least counts. Ties go by doc_id (null last), then by a hash of the text. Repeated
     rows are packed each, into different bins. Further columns are ignored. An empty table gives an empty result.
     """
     base = pick(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.xxhash64("doc_id", "text").alias("tie"))
     measured = cut(base.where("text IS NOT NULL").mapInArrow(_measure(tokenizer), "doc_id long, n_tokens int, source string, cluster long, tie long").where("n_tokens > 0"))
+    if clusters is not None:
+        named = pick(clusters, "doc_id", "class_id").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("class_id").alias("class_id"))
+        measured = measured.join(named, "doc_id", "left").withColumn("cluster", F.when(F.col("class_id").isNull(), F.col("cluster")).otherwise(F.xxhash64("class_id"))).drop("class_id")
     shards = max(1, math.ceil(measured.count() / shard_docs))
     keyed = measured.select(F.pmod(F.xxhash64("tie"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n_tokens", "source", "cluster", "tie")
     return keyed.repartitionById(shards, F.col("shard")).mapInArrow(_shard(capacity), _OUT)
