@@ -95,6 +95,14 @@ def test_one_kind_of_labels_rejects_nothing(spark):
         assert t.keep_clean(df, model).count() == 60
 
 
+def test_one_text_of_each_id_trains(spark):
+    docs, labels = labelled(200)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    more = [*docs, *docs[:50] * 3, *[(i, text + " zz", lang) for i, text, lang in docs[:20]]]
+    a, b = (t.fit(spark.createDataFrame(x, "doc_id long, text string, lang string"), marks) for x in (docs, more))
+    assert np.array_equal(a.rows, b.rows) and np.array_equal(a.weights, b.weights)
+
+
 def test_hostile_tables(spark):
     docs = hostile(spark)
     train_docs, labels = labelled(200)

@@ -250,13 +250,16 @@ def calibrate(model: Model, base: DataFrame, marks: DataFrame, trained: np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
-    """A model from the bounded sample of labelled documents, thresholds from all others; without toxic or other labels it rejects nothing."""
+    """A model from the bounded sample of labelled documents, thresholds from all others; without toxic or other labels it rejects nothing.
+
+    Of several texts with one sampled doc_id the least one trains; those of a trained doc_id don't count for thresholds.
+    """
     marks = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     by_hash = F.xxhash64(F.col("l_id"))
     sample = marks.where("toxic = 1").orderBy(by_hash, "l_id").limit(toxic_rows).unionByName(marks.where("toxic = 0").orderBy(by_hash, "l_id").limit(other_rows))
     base = pick(docs, "doc_id", "text", "lang").where("text IS NOT NULL")
-    rows = base.join(F.broadcast(sample), F.col("doc_id").cast("long") == F.col("l_id")).select("l_id", "text", F.col("lang").cast("string").alias("lang"), "toxic").toPandas()  # the sample's bound bounds this
-    rows = rows.sort_values(["l_id", "text"]).drop_duplicates(["l_id", "text"])
+    own = base.join(F.broadcast(sample), F.col("doc_id").cast("long") == F.col("l_id")).groupBy("l_id", "toxic").agg(F.min("text").alias("text"))
+    rows = own.toPandas().sort_values("l_id")  # the sample's bound bounds this: one text for each of its ids, however many rows have the id
     y = rows["toxic"].to_numpy(np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros((TOP, FILTERS), np.float32) for _ in WIDTHS], np.zeros(FILTERS * TOP * len(WIDTHS), np.float32), -1.0)
