@@ -1,5 +1,8 @@
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from xylem.llm import ngram_jaccard as j
@@ -87,6 +90,31 @@ def test_large_groups(spark, rng, monkeypatch):
     assert [r.doc_id for r in j.keep_one_of_each_group(df).collect()] == [0]
 
 
+def test_merging_holds_few_pairs_at_once(rng):
+    """2,500 texts with a common passage are 3,123,750 pairs: all come, and nowhere near all are held."""
+    passage = " ".join(word(rng) for _ in range(12))
+    texts = [f"{passage} own{i} text{i}" for i in range(2500)]
+    none = np.empty(0, np.uint64)
+    blobs = list(j._postings(j.N, j.THRESHOLD, 1, none, none)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    tracemalloc.start()
+    try:
+        pairs = sum(len(b) for b in j._merge(j.THRESHOLD, 1)(iter(blobs)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs == 2500 * 2499 // 2 and most < 80e6
+
+
+def test_many_shards_make_few_units(spark, rng, monkeypatch):
+    """Lists of one document are dropped in 40 shards, the rest is merged in two units, few pairs at a time."""
+    docs = near_copies(rng, 120) + [(1000, near_copies(rng, 4)[0][1])]
+    monkeypatch.setattr(j, "SHARD_GRAMS", sum(len(grams(t)) for _, t in docs) // 40)
+    for name, value in (("LEAST_SHARDS", 2), ("MERGE_POSTINGS", 50), ("BLOB_POSTINGS", 30), ("MERGE_PAIRS", 7)):
+        monkeypatch.setattr(j, name, value)
+    got = rows(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == brute_rows(docs) and sum(n > 0 for _, _, n in got) > 60
+
+
 def test_copies_extended_to_twice_the_length(spark, rng, monkeypatch):
     """Common n-grams are frequent, so the longer text's short lists end with its own n-grams and a few common ones."""
     monkeypatch.setattr(j, "LEAST_SHARDS", 1)

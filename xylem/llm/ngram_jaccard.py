@@ -8,9 +8,10 @@ set aside, and short ones, which are merged; a document that reaches T lies in a
   order gives the same result.
 * In the second pass each document sends its short lists' postings: its n-grams but the last ceil(threshold * size) - 1
   of the common order (other n-grams by hash, frequent ones last).  N-grams are spread over shards.
-* In a shard the lists are merged, a part of them at a time, and occurrences counted.  Common n-grams that aren't in both short lists lie behind the
+* A shard drops the lists of one document, which are most; several shards' remaining lists make a unit, so that units are few however many shards there are.
+* In a unit the lists are merged and occurrences counted, those of a range of documents at a time.  Common n-grams that aren't in both short lists lie behind the
   cut that comes first in the common order, so L is what that document sets aside.  By the pigeonhole principle a pair that reaches T - L over
-  all shards reaches its share in one of them. Shards that it doesn't reach it in have less than a share each, so the counts of the others,
+  all units reaches its share in one of them. Units that it doesn't reach it in have less than a share each, so the counts of the others,
   added up, show which pairs can't reach T - L; the rest are the candidates.
 * Only candidates' full sets are fetched, to one cell for each group of candidates (a large group has a grid of cells, so that a
   document with many partners isn't copied for each); the remaining lists are probed by binary search and the exact overlap decides.
@@ -27,16 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, each_word_array, gram_hashes, pick, semi_or_anti, set_hash, word_hashes
+from .common import BROADCAST_ROWS, cut, each_word_array, give_back, gram_hashes, pick, semi_or_anti, set_hash, word_hashes
 
 N = 5
 THRESHOLD = 0.4
-#: N-grams whose postings a shard gets, the least number of shards, and postings that are sorted and merged at once.
+#: N-grams whose postings a shard gets, the least number of shards, and postings that are looked up at once.
 SHARD_GRAMS, LEAST_SHARDS, MERGE_POSTINGS = 12_000_000, 16, 1_500_000
+#: Postings of lists with two documents or more that a unit of shards merges, in blobs of so many, and occurrences of pairs that are counted at once.
+UNIT_POSTINGS, BLOB_POSTINGS, MERGE_PAIRS = 6_000_000, 200_000, 500_000
 #: How many frequent n-grams the order knows of; an aid to speed, not to the result.
 FREQUENT, FREQUENT_LEAST = 100_000, 16
 CELL_BYTES, CELL_PAIRS = 64_000_000, 60_000
+#: Bytes of rows that go to a Python worker at once, about, and pairs that come from it at once.
+BATCH_BYTES, PAIR_ROWS = 8_000_000, 100_000
 _EMPTY = np.empty(0, np.uint64)
+_S32, _DOC = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def gram_set(text: str | None, n: int = N) -> np.ndarray:
@@ -154,84 +160,141 @@ def required(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def _merge_shard(blobs: list[tuple[int, bytes]], threshold: float, shards: int):
-    """Pairs of set hashes whose count in this shard's lists reaches their share of T - L; by how much, and how much all shards must have."""
-    sid, size, place, count, grams = [], [], [], [], []
-    for k, raw in blobs:
-        sid.append(np.frombuffer(raw, np.int64, k)), size.append(np.frombuffer(raw, np.uint32, k, 8 * k)), place.append(np.frombuffer(raw, np.uint32, k, 12 * k)), count.append(np.frombuffer(raw, np.uint32, k, 16 * k)), grams.append(np.frombuffer(raw, np.uint32, -1, 20 * k))
-    sid, size, place, count, grams = map(np.concatenate, (sid, size, place, count, grams))
-    blobs.clear()
-    _, first = np.unique(sid, return_index=True)
+def _joined(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of postings in one piece each; their pieces are let go."""
+    out = []
+    for x in columns:
+        out.append(np.concatenate(x))
+        x.clear()
+        give_back()
+    return out
+
+
+def _pack(sid, size, place, count, grams) -> bytes:
+    return b"".join(x.tobytes() for x in (sid, size, place, count.astype(np.uint32), grams))
+
+
+def _shared_lists(columns: list[list[np.ndarray]]):
+    """(number of documents, blob, number of n-grams) of a shard's lists with two documents or more; a set that several tasks have sent counts once."""
+    sid, size, place, count, grams = _joined(columns)
     once = np.zeros(len(sid), bool)
-    once[first] = True
-    # documents by size: within a list the partners of similar size then are neighbours
-    order = np.argsort(size, kind="stable")
-    new = np.empty(len(sid), np.int32)
-    new[order] = np.arange(len(sid))
-    doc = np.repeat(new, count)
-    once = np.repeat(once, count)
-    grams, doc = grams[once], doc[once]
-    del once
-    sid, size, place = sid[order], size[order].astype(np.int64), place[order]
-    # a part of the lists at a time; a pair's counts of all parts are added up
-    parts = max(1, math.ceil(len(grams) / MERGE_POSTINGS))
-    code, c = np.empty(0, np.int64), np.empty(0, np.int32)
-    for part in range(parts):
-        own = grams % np.uint32(parts) == part
-        for found in _merge_lists(grams[own], doc[own], size, threshold):
-            code, back = np.unique(np.concatenate([code, found[0]]), return_inverse=True)
-            c = np.bincount(back, np.concatenate([c, found[1]]), len(code)).astype(np.int32)
-    a, b = code // len(sid), code % len(sid)
-    suffix = size - np.array([prefix_length(int(x), threshold) for x in size])
-    # common n-grams outside the merged lists lie behind the first of both cuts; where that isn't known, behind either
-    aside = np.where(place[a] < place[b], suffix[a], np.where(place[a] > place[b], suffix[b], np.maximum(suffix[a], suffix[b])))
-    total = np.maximum(1, required(size[a], size[b], threshold) - aside)
-    below = np.ceil(total / shards) - 1  # the most that a shard without the pair has of it
-    good = c > below
-    a, b = a[good], b[good]
-    excess, missing = np.minimum(c - below, shards)[good], (total - shards * below)[good]
-    swap = sid[a] > sid[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    yield pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b]), pa.array(excess.astype(np.int32)), pa.array(missing.astype(np.int32))], names=["a", "b", "excess", "missing"])
-
-
-def _merge_lists(grams: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: float):
-    """(pair codes, counts), distinct in themselves, of some lists; again and again, so that few are held at once."""
-    order = np.lexsort((doc, grams))
-    grams, doc = grams[order], doc[order]
-    edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]])) if len(grams) else np.zeros(1, np.int64)
-    length = np.diff(edge)
-    # each posting meets the later ones of its list up to the largest size allowed
-    stop = np.repeat(edge[1:], length)
-    at = np.flatnonzero(np.repeat(length > 1, length))
-    if not len(at):
+    once[np.unique(sid, return_index=True)[1]] = True
+    if not once.all():
+        grams = grams[np.repeat(once, count)]
+        sid, size, place, count = sid[once], size[once], place[once], count[once]
+    give_back()
+    again = np.sort(grams)
+    again = np.unique(again[1:][again[1:] == again[:-1]])
+    if not len(again):
         return
-    n_docs = len(size)
-    limit = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")  # by document: the first that is too large
-    reach = np.minimum(stop[at], _upper(grams, doc, at, limit[doc[at]], n_docs))
-    partners = np.maximum(reach - at - 1, 0)
-    codes, counts, held = [], [], 0
-    total = np.cumsum(partners)
+    keep = np.empty(len(grams), bool)
+    for lo in range(0, len(grams), MERGE_POSTINGS):
+        some = grams[lo : lo + MERGE_POSTINGS]
+        keep[lo : lo + len(some)] = again[np.minimum(np.searchsorted(again, some), len(again) - 1)] == some
+    edges = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    kept = np.concatenate([[0], np.cumsum(keep, dtype=np.uint32)])[edges]
+    grams, count = grams[keep], np.diff(kept)
+    has = count > 0
+    sid, size, place, count = sid[has], size[has], place[has], count[has]
+    edges = np.concatenate([[0], np.cumsum(count)])
     lo = 0
-    while lo < len(at):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, "right")))
-        p = partners[lo:hi]
-        left = np.repeat(at[lo:hi], p)
-        right = left + 1 + _within(p)
-        code, n = np.unique(doc[left].astype(np.int64) * n_docs + doc[right], return_counts=True)
-        codes.append(code), counts.append(n)
-        held += len(code)
+    while lo < len(sid):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BLOB_POSTINGS, "right")) - 1)
+        yield hi - lo, _pack(sid[lo:hi], size[lo:hi], place[lo:hi], count[lo:hi], grams[edges[lo] : edges[hi]]), int(edges[hi] - edges[lo])
         lo = hi
-        if held > 1_000_000 or lo >= len(at):
-            code, back = np.unique(np.concatenate(codes), return_inverse=True)
-            yield code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int32)
-            codes, counts, held = [], [], 0
 
 
-def _upper(grams, doc, at, limit, n_docs):
-    """For posting ``at`` of a list in document order: the place of the first posting of the list whose document is ``limit`` or later."""
-    key = grams.astype(np.uint64) * np.uint64(n_docs + 1) + doc.astype(np.uint64)
-    return np.searchsorted(key, grams[at].astype(np.uint64) * np.uint64(n_docs + 1) + limit.astype(np.uint64), "left")
+def _merge_unit(columns: list[list[np.ndarray]], threshold: float, units: int):
+    """Pairs of set hashes whose count in this unit's lists reaches their share of T - L; by how much, and how much all units must have.
+
+    Besides a few numbers for each posting, no more than the pairs of a range of documents are held.
+    """
+    sid, size, place, count, grams = _joined(columns)
+    # a document has an entry for each shard; documents by size: within a list the partners of similar size then are neighbours
+    sid, first, entry = np.unique(sid, return_index=True, return_inverse=True)
+    size, place = size[first].astype(np.int32), place[first]
+    order = np.argsort(size, kind="stable")
+    new = np.empty(len(sid), np.uint32)
+    new[order] = np.arange(len(sid), dtype=np.uint32)
+    sid, size, place, entry = sid[order], size[order], place[order], new[entry]
+    del first, order, new
+    # a posting is its n-gram and its document in one number
+    key = grams.astype(np.uint64)
+    del grams
+    key <<= _S32
+    key |= np.repeat(entry, count)
+    del entry, count
+    key.sort()
+    give_back()
+    suffix = (np.ceil(threshold * size - 1e-9) - 1).astype(np.int32)
+    for code, c in _counted_pairs(key, size, threshold):
+        a, b = code // len(sid), code % len(sid)
+        # common n-grams outside the merged lists lie behind the first of both cuts; where that isn't known, behind either
+        aside = np.where(place[a] < place[b], suffix[a], np.where(place[a] > place[b], suffix[b], np.maximum(suffix[a], suffix[b])))
+        total = np.maximum(1, required(size[a].astype(np.int64), size[b], threshold) - aside)
+        below = np.ceil(total / units) - 1  # the most that a unit without the pair has of it
+        good = (c > below) & (a != b)
+        a, b = sid[a[good]], sid[b[good]]
+        excess, missing = np.minimum(c - below, units)[good].astype(np.int32), (total - units * below)[good].astype(np.int32)
+        found = pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(excess), pa.array(missing)], names=["a", "b", "excess", "missing"])
+        for lo in range(0, len(found), PAIR_ROWS):
+            yield found.slice(lo, PAIR_ROWS)
+
+
+def _counted_pairs(key: np.ndarray, size: np.ndarray, threshold: float):
+    """(pair codes, counts) from sorted postings: all pairs of a range of documents with later ones at a time, each pair once."""
+    limit = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right").astype(np.uint32)  # by document: the first that is too large
+
+    def partners(at: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of postings, and the place after the last of their list that they meet: each meets the later ones up to the largest size allowed."""
+        some = key[at]
+        doc = some & _DOC
+        return doc, np.searchsorted(key, (some & ~_DOC) | limit[doc])
+
+    met, own, n = np.zeros(len(size)), np.empty(len(key), np.uint64), 0
+    for lo in range(0, len(key), MERGE_POSTINGS):
+        doc, stop = partners(slice(lo, lo + MERGE_POSTINGS))
+        at = np.arange(lo, lo + len(doc))
+        stop -= at + 1
+        met += np.bincount(doc.astype(np.int64), stop, len(size))
+        has = stop > 0
+        some = (doc[has] << _S32) | at[has].astype(np.uint64)
+        own[n : n + len(some)] = some
+        n += len(some)
+    own = own[:n]
+    own.sort()  # by document
+    met = np.cumsum(met)
+    lo = 0
+    while lo < len(own):
+        d = int(own[lo] >> _S32)
+        to = max(d + 1, int(np.searchsorted(met, (met[d - 1] if d else 0) + MERGE_PAIRS, "right")))
+        hi = int(np.searchsorted(own, np.uint64(to << 32)))
+        at = (own[lo:hi] & _DOC).astype(np.int64)
+        yield _count_pairs(key, at, partners(at)[1] - at - 1, len(size))
+        lo = hi
+
+
+def _count_pairs(key: np.ndarray, at: np.ndarray, partners: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the pairs of postings ``at`` with as many that follow as ``partners`` says, MERGE_PAIRS at once."""
+    pieces = -(-partners // MERGE_PAIRS)
+    piece = _within(pieces)
+    left, length = np.repeat(at, pieces), np.minimum(np.repeat(partners, pieces) - piece * MERGE_PAIRS, MERGE_PAIRS)
+    begin = left + 1 + piece * MERGE_PAIRS
+    total = np.cumsum(length)
+    code, count = np.empty(0, np.int64), np.empty(0, np.int64)
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MERGE_PAIRS, "right")))
+        n = length[lo:hi]
+        some = np.repeat((key[left[lo:hi]] & _DOC).astype(np.int64) * n_docs, n)
+        some += (key[np.repeat(begin[lo:hi], n) + _within(n)] & _DOC).astype(np.int64)
+        some, c = np.unique(some, return_counts=True)
+        if len(code):
+            some, back = np.unique(np.concatenate([code, some]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([count, c]), len(some)).astype(np.int64)
+        code, count = some, c
+        lo = hi
+    return code, count
 
 
 def _within(lengths: np.ndarray) -> np.ndarray:
@@ -241,14 +304,33 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(starts, lengths)
 
 
-def _merge(threshold: float, shards: int):
+def _held(batches) -> dict[int, list[list[np.ndarray]]]:
+    """By shard, of documents their set hashes, sizes, cuts and numbers of n-grams, and the n-grams: a piece of each for each blob. The batches are let go."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        for s, k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            raw = raw.as_buffer()
+            columns = held.setdefault(s, [[], [], [], [], []])
+            for x, kind, n, at in zip(columns, (np.int64, *[np.uint32] * 4), (k, k, k, k, -1), (0, 8 * k, 12 * k, 16 * k, 20 * k)):
+                x.append(np.frombuffer(raw, kind, n, at).copy())
+        del batch, raw
+    return held
+
+
+def _shared(batches):
+    held = _held(batches)
+    for s in list(held):
+        for k, blob, grams in _shared_lists(held.pop(s)):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k], pa.int32()), pa.array([blob], pa.binary()), pa.array([grams], pa.int64())], names=["shard", "n", "blob", "grams"])
+    give_back()
+
+
+def _merge(threshold: float, units: int):
     def of(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for s, k, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(s, []).append((k, raw))
-        for s in list(held):
-            yield from _merge_shard(held.pop(s), threshold, shards)
+        held = _held(batches)
+        for u in list(held):
+            yield from _merge_unit(held.pop(u), threshold, units)
+        give_back()
 
     return of
 
@@ -332,6 +414,12 @@ def _probe(threshold: float):
     return of
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, after the session's limit on the bytes of a batch that goes to Python is lowered to BATCH_BYTES: a batch of blobs would be as large as a shard."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members: sid, doc_id, n) and (linked: sid, root, links): for different sets with Jaccard >= threshold.
 
@@ -339,7 +427,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     connect it to; a set has a row for each cell it has links in, and no pair is in two cells. So n near copies give rows
     in proportion to n, although each of their links is verified and counted.
     """
-    base = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    base = _small(pick(docs, "doc_id", "text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     seen = cut(base.mapInArrow(_sets(n), "doc_id long, sid long, n long, kind byte"))
     members = seen.where("kind = 0").select("sid", "doc_id", "n").distinct()
     often = seen.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "sid").limit(FREQUENT).collect()
@@ -349,7 +437,9 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     total = seen.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_GRAMS))
     blobs = base.select("text").mapInArrow(_postings(n, threshold, shards, frequent, rank), "shard int, n int, blob binary")
-    reached = blobs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(threshold, shards), "a long, b long, excess int, missing int")
+    shared = cut(blobs.repartitionById(shards, F.col("shard")).mapInArrow(_shared, "shard int, n int, blob binary, grams long"))
+    n_units = min(shards, max(LEAST_SHARDS, math.ceil(shared.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0] / UNIT_POSTINGS)))
+    reached = shared.select((F.col("shard") % n_units).alias("unit"), "n", "blob").repartitionById(n_units, F.col("unit")).mapInArrow(_merge(threshold, n_units), "a long, b long, excess int, missing int")
     candidates = cut(reached.groupBy("a", "b").agg(F.sum("excess").alias("excess"), F.max("missing").alias("missing")).where("excess >= missing").select("a", "b"))
     ends = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e")).select("e.*")
     # a document's leader is the least set hash among itself and its candidates: near copies of one text have the same
