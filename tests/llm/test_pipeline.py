@@ -164,3 +164,11 @@ def test_toxicity_on_held_out_documents(spark):
     truth = unseen["truth"].to_numpy() == 1
     print("held out:", len(right), "accuracy", right.mean(), "recall", right[truth].mean(), "clean kept", right[~truth].mean())
     assert len(right) > 500 and right.mean() > 0.97 and right[truth].mean() > 0.93 and right[~truth].mean() > 0.99 and np.isfinite(right.mean())
+
+
+def test_the_second_stage_sends_small_batches_to_python(spark):
+    """Its rows of postings are large: 1,000 of them would be a whole shard."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "one text of a few words"), (2, "one text of a few words"), (3, "quite another one")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [1, 3]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8_000_000
