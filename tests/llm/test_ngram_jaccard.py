@@ -1,10 +1,13 @@
+import os
 import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from xylem.llm import common
 from xylem.llm import ngram_jaccard as j
 
 from .conftest import NO_DOCS, hostile, word
@@ -182,3 +185,20 @@ def test_hostile_tables(spark):
     assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 5, 6)] + [(True, 0)]
     none = spark.createDataFrame([], NO_DOCS)
     assert j.ngram_jaccard_join(none).collect() == [] and j.keep_one_of_each_group(none).collect() == []
+
+
+def test_what_a_shard_hands_on_is_small_rows_in_small_row_groups(spark):
+    """Rows of several megabytes, in row groups of 128 MB, took an executor's memory as units were merged; none of the postings may be lost."""
+    n = 120_000
+    columns = [[np.arange(n, dtype=np.int64)], [np.full(n, 9, np.uint32)], [np.zeros(n, np.uint32)], [np.ones(n, np.uint32)], [(np.arange(n) // 2).astype(np.uint32)]]
+    found = list(j._shared_lists(columns))
+    assert max(len(blob) for _, blob, _ in found) < 512 * 1024  # half a region of a heap of 2 GB: no object of its own kind
+    sids = np.concatenate([np.frombuffer(blob, np.int64, k) for k, blob, _ in found])
+    grams = np.concatenate([np.frombuffer(blob, np.uint32, -1, 20 * k) for k, blob, _ in found])
+    assert (sids == np.arange(n)).all() and (grams == np.arange(n) // 2).all() and sum(g for *_, g in found) == n
+    rows = [(0, k, os.urandom(len(blob)), g) for k, blob, g in found] * 20
+    df = spark.createDataFrame(rows, "shard int, n int, blob binary, grams long").coalesce(1)
+    back = common.cut(df, row_group=j.BLOB_ROW_GROUP)
+    at = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in back.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in at for i in range(m.num_row_groups)]
+    assert back.count() == len(rows) and max(groups) < 2 * j.BLOB_ROW_GROUP < sum(groups)

@@ -103,12 +103,17 @@ def written() -> int:
     return len(_WRITTEN)
 
 
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: lineage ends here and its size is known."""
+def cut(df: DataFrame, *partition_by: str, row_group: int | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: lineage ends here and its size is known.
+
+    ``row_group``: bytes of a row group, about, for large rows (Parquet's own choice is 128 MB).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/xylem-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group).option("parquet.page.size.row.check.min", 10)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

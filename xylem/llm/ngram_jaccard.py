@@ -34,8 +34,11 @@ N = 5
 THRESHOLD = 0.4
 #: N-grams whose postings a shard gets, the least number of shards, and postings that are looked up at once.
 SHARD_GRAMS, LEAST_SHARDS, MERGE_POSTINGS = 12_000_000, 16, 1_500_000
-#: Postings of lists with two documents or more that a unit of shards merges, in blobs of so many, and occurrences of pairs that are counted at once.
-UNIT_POSTINGS, BLOB_POSTINGS, MERGE_PAIRS = 6_000_000, 200_000, 500_000
+#: Postings of lists with two documents or more that a unit of shards merges, in blobs of so many (at most 24 bytes each: rows of megabytes take far more of the JVM
+#: than their size), and occurrences of pairs that are counted at once.
+UNIT_POSTINGS, BLOB_POSTINGS, MERGE_PAIRS = 6_000_000, 10_000, 500_000
+#: Bytes of a row group of blobs: whoever writes or reads it holds all of it, and a reader's column as much again.
+BLOB_ROW_GROUP = 8_000_000
 #: How many frequent n-grams the order knows of; an aid to speed, not to the result.
 FREQUENT, FREQUENT_LEAST = 100_000, 16
 CELL_BYTES, CELL_PAIRS = 64_000_000, 60_000
@@ -210,14 +213,20 @@ def _merge_unit(columns: list[list[np.ndarray]], threshold: float, units: int):
     Besides a few numbers for each posting, no more than the pairs of a range of documents are held.
     """
     sid, size, place, count, grams = _joined(columns)
-    # a document has an entry for each shard; documents by size: within a list the partners of similar size then are neighbours
-    sid, first, entry = np.unique(sid, return_index=True, return_inverse=True)
-    size, place = size[first].astype(np.int32), place[first]
-    order = np.argsort(size, kind="stable")
-    new = np.empty(len(sid), np.uint32)
-    new[order] = np.arange(len(sid), dtype=np.uint32)
-    sid, size, place, entry = sid[order], size[order], place[order], new[entry]
-    del first, order, new
+    # a document has an entry for each shard, all of one size and cut; documents by size: within a list the partners of similar size then are neighbours
+    sids = np.sort(sid)
+    sids = sids[np.append(True, sids[1:] != sids[:-1])]
+    entry = np.empty(len(sid), np.uint32)
+    for lo in range(0, len(sid), MERGE_POSTINGS):
+        entry[lo : lo + MERGE_POSTINGS] = np.searchsorted(sids, sid[lo : lo + MERGE_POSTINGS])
+    del sid
+    sizes, places = np.empty(len(sids), np.int32), np.empty(len(sids), np.uint32)
+    sizes[entry], places[entry] = size, place
+    order = np.argsort(sizes, kind="stable")
+    new = np.empty(len(sids), np.uint32)
+    new[order] = np.arange(len(sids), dtype=np.uint32)
+    sid, size, place, entry = sids[order], sizes[order], places[order], new[entry]
+    del sids, sizes, places, order, new
     # a posting is its n-gram and its document in one number
     key = grams.astype(np.uint64)
     del grams
@@ -437,7 +446,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     total = seen.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_GRAMS))
     blobs = base.select("text").mapInArrow(_postings(n, threshold, shards, frequent, rank), "shard int, n int, blob binary")
-    shared = cut(blobs.repartitionById(shards, F.col("shard")).mapInArrow(_shared, "shard int, n int, blob binary, grams long"))
+    shared = cut(blobs.repartitionById(shards, F.col("shard")).mapInArrow(_shared, "shard int, n int, blob binary, grams long"), row_group=BLOB_ROW_GROUP)
     n_units = min(shards, max(LEAST_SHARDS, math.ceil(shared.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0] / UNIT_POSTINGS)))
     reached = shared.select((F.col("shard") % n_units).alias("unit"), "n", "blob").repartitionById(n_units, F.col("unit")).mapInArrow(_merge(threshold, n_units), "a long, b long, excess int, missing int")
     candidates = cut(reached.groupBy("a", "b").agg(F.sum("excess").alias("excess"), F.max("missing").alias("missing")).where("excess >= missing").select("a", "b"))
