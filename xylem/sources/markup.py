@@ -13,14 +13,20 @@ A null text, or one with a null doc_id, is a document without nodes, not even a
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import plain
+
 ROOT, ELEMENT, TEXT, COMMENT, PI, ATTRIBUTE, NAMESPACE = "root", "element", "text", "comment", "pi", "attribute", "namespace"
 
 #: The columns of the node table after doc_id.
@@ -69,29 +75,56 @@ def decode(text: str) -> str:
     return _ENTITY.sub(_entity, text) if "&" in text else text
 
 
+def _start_tag(token: str):
+    name, rest = _START(token).groups()
+    found = [(a, decode(v or w)) for a, v, w in _ATTRIBUTE.findall(rest)] if "=" in rest else []
+    special = ":" in name or any(":" in a or a == "xmlns" for a, _ in found)
+    return name, rest.endswith("/"), found if special else [(a, v, None) for a, v in found] or None, special
+
+
 class _Tags(dict):
     """What each tag says: (name, whether it has no content, attributes, whether it has to do with namespaces or languages); None for an end tag.
 
-    Tags repeat, so they are remembered, up to a number that bounds memory.
+    Tags repeat, so they are remembered, up to a number and a size that bound memory.
     """
 
+    chars = 0
+
     def __missing__(self, token: str):
-        if len(self) > 20_000:
+        if len(self) > 20_000 or self.chars > 4_000_000:
             self.clear()
-        if token[1] == "/":
-            value = None
-        else:
-            name, rest = _START(token).groups()
-            found = [(a, decode(v or w)) for a, v, w in _ATTRIBUTE.findall(rest)] if "=" in rest else []
-            special = ":" in name or any(":" in a or a == "xmlns" for a, _ in found)
-            value = name, rest.endswith("/"), found if special else [(a, v, None) for a, v in found] or None, special
-        self[token] = value
+            self.chars = 0
+        self[token] = value = None if token[1] == "/" else _start_tag(token)
+        self.chars += len(token)
         return value
 
 
 _TAGS = _Tags()
 
 
+def plain_tag(token: str) -> tuple[int, str | None, list | None, str | None]:
+    """(what it is, name, attributes, text) of a piece from ``<`` to the next ``>``, for ``plain.nodes``."""
+    if token[1] == "!":
+        if token.startswith("<!--"):
+            return (plain.COMMENT, None, None, token[4:-3]) if len(token) > 6 and token.endswith("-->") else (plain.OTHER, None, None, None)
+        if token.startswith("<![CDATA["):
+            if len(token) < 12 or not token.endswith("]]>"):
+                return plain.OTHER, None, None, None
+            return plain.CDATA if len(token) > 12 else plain.NOTHING, None, None, token[9:-3]
+        return plain.NOTHING, None, None, None
+    if token[1] == "?":
+        if len(token) < 4 or not token.endswith("?>"):
+            return plain.OTHER, None, None, None
+        name, _, text = _partition(token[2:-2])
+        return plain.DECLARATION if _DECLARATION(token) else plain.PI, name, None, text
+    if not _START(token):
+        return plain.OTHER, None, None, None
+    name, closed, attrs, special = _start_tag(token)
+    if special:
+        return plain.OTHER, None, None, None
+    return plain.EMPTY if closed else plain.OPEN, name, attrs, None
+
+
 class Tree:
     """The nodes of one text, as parallel lists."""
 
@@ -196,6 +229,10 @@ _ATTRS = pa.struct([("name", pa.string()), ("value", pa.string()), ("uri", pa.st
 _SCOPE = pa.struct([("prefix", pa.string()), ("uri", pa.string())])
 
 
+def _column_of_lists(items: list, column: str) -> pa.Array:
+    return _lists(items, _ATTRS if column == "attrs" else _SCOPE)
+
+
 def _lists(items: list, kind: pa.StructType) -> pa.Array:
     rows = [row for x in items if x for row in x]
     offsets = list(accumulate((len(x) if x else 0 for x in items), initial=0))
@@ -204,13 +241,13 @@ def _lists(items: list, kind: pa.StructType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
 
 
-#: Nodes after which a batch is handed on.
-_BATCH_NODES = 50_000
+#: Nodes, or characters of them, after which a batch is handed on; and the bytes of documents that are read at once.
+_BATCH_NODES, _BATCH_CHARS, _CHUNK = 50_000, 4_000_000, 1 << 20
 
 
 class _Rows:
     def __init__(self, columns: list[str], names: frozenset[str] | None):
-        self.columns, self.names, self.n = columns, names, 0
+        self.columns, self.names, self.n, self.chars = columns, names, 0, 0
         self.data = {c: [] for c in ["doc_id", *columns]}
 
     def add(self, doc_id: int | None, t: Tree) -> None:
@@ -229,7 +266,10 @@ class _Rows:
                 got = [s and sorted((p, u) for p, u in s.items() if p and p != "xml") for s in t.scope] if any(t.scope) else t.scope
             else:
                 got = getattr(t, {"start_off": "start", "end_off": "stop"}.get(c, c))
-            self.data[c] += take(got)
+            got = take(got)
+            if c in ("value", "text"):
+                self.chars += sum(len(x) for x in got if x)
+            self.data[c] += got
         n = size if keep is None else len(keep)
         self.data["doc_id"] += [doc_id] * n
         self.n += n
@@ -239,13 +279,16 @@ class _Rows:
         arrays = [pa.array(self.data["doc_id"], pa.int64())]
         for c in self.columns:
             if c in ("attrs", "scope"):
-                arrays.append(_lists(self.data[c], _ATTRS if c == "attrs" else _SCOPE))
+                arrays.append(_column_of_lists(self.data[c], c))
             else:
                 arrays.append(pa.array(self.data[c], kinds.get(c, pa.string())))
         out = pa.RecordBatch.from_arrays(arrays, names=["doc_id", *self.columns])
-        self.data, self.n = {c: [] for c in self.data}, 0
+        self.data, self.n, self.chars = {c: [] for c in self.data}, 0, 0
         return out
 
+    def full(self) -> bool:
+        return self.n >= _BATCH_NODES or self.chars >= _BATCH_CHARS
+
 
 def docs_of(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFrame:
     """(doc_id long, xml string) of a table that may have any further columns, also ones whose names differ in case only."""
@@ -256,11 +299,82 @@ def docs_of(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFr
 
 #: All characters that are white space to the tokens above, for the JVM's patterns.
 _BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Of ASCII, a name's characters and those that it may begin with, one by one: the JVM looks such a class up in a table.
+_NAMED_ASCII = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isspace() and chr(c) not in "/>")
+_FIRST_ASCII = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isspace() and chr(c) not in "/>!?")
 
 
 def tag_names(xml: str) -> Column:
     """The names that the column's texts may have tags of: every element's, and perhaps others."""
-    return F.array_distinct(F.regexp_extract_all(xml, F.lit(f"<([^{_BLANK}/>!?][^{_BLANK}/>]*+)"), F.lit(1)))
+    found = lambda pattern: F.regexp_extract_all(xml, F.lit(pattern), F.lit(1))
+    ascii_only = F.octet_length(xml) == F.length(xml)
+    return F.array_distinct(F.when(ascii_only, found(f"<([{_FIRST_ASCII}][{_NAMED_ASCII}]*+)")).otherwise(found(f"<([^{_BLANK}/>!?][^{_BLANK}/>]*+)")))
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
+    """(ids, texts) of a batch's documents that have a text, about a megabyte at a time."""
+    if batch.column(1).null_count:
+        batch = batch.filter(batch.column(1).is_valid())
+    ids, xml = batch.column(0).to_numpy(), batch.column(1)
+    if not len(xml):
+        return
+    offsets = np.frombuffer(xml.buffers()[1], np.int32)[xml.offset : xml.offset + len(xml) + 1]
+    a = 0
+    while a < len(xml):
+        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + _CHUNK)) - 1)
+        yield ids[a:b], xml[a:b]
+        a = b
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], columns: list[str], names: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """Node rows of batches of documents: of plain ones together, of the others one by one."""
+    rows = _Rows(columns, names)
+    for batch in batches:
+        for ids, xml in _chunks(batch):
+            made, others = plain.nodes(ids, xml, columns, names, plain_tag, _column_of_lists)
+            if made.num_rows:
+                yield made
+            for k in others.tolist():
+                rows.add(int(ids[k]), Tree(xml[k].as_py()))
+                if rows.full():
+                    yield rows.batch()
+    if rows.n:
+        yield rows.batch()
+
+
+#: Nodes and bytes in a row group of a file that a task writes itself.
+_GROUP_NODES, _GROUP_BYTES = 250_000, 64_000_000
+
+
+def parse_into(docs: DataFrame, folder: str) -> DataFrame:
+    """(file) of the documents' node table, written by the tasks themselves as Parquet into a folder that all of them share: one file, with a name of its own, for each task that has nodes.
+
+    Nodes go straight from the parser's arrays into the file. Handing them to the JVM, row by row, takes several times as long as parsing.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, writer, held = f"{folder}/_{uuid.uuid4().hex}.parquet", None, []
+
+        def put():
+            nonlocal writer
+            if writer is None:
+                os.makedirs(folder, exist_ok=True)
+                writer = pq.ParquetWriter(path, held[0].schema, compression="zstd")
+            table = pa.Table.from_batches(held)
+            writer.write_table(table, row_group_size=max(table.num_rows, 1))
+            held.clear()
+
+        for made in _nodes(batches, COLUMNS, None):
+            held.append(made)
+            if sum(x.num_rows for x in held) >= _GROUP_NODES or sum(x.nbytes for x in held) >= _GROUP_BYTES:
+                put()
+        if held:
+            put()
+        if writer is not None:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["file"])
+
+    return docs_of(docs).where("doc_id IS NOT NULL").mapInArrow(of, "file string")
 
 
 def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[str] | None = None) -> DataFrame:
@@ -272,15 +386,7 @@ def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[st
     columns = [c for c in COLUMNS if columns is None or c in columns]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(columns, names)
-        for batch in batches:
-            for doc_id, xml in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if xml.is_valid:
-                    rows.add(doc_id, Tree(xml.as_py()))
-                    if rows.n >= _BATCH_NODES:
-                        yield rows.batch()
-        if rows.n:
-            yield rows.batch()
+        return _nodes(batches, columns, names)
 
     return docs_of(docs).where("doc_id IS NOT NULL").mapInArrow(of, ", ".join(["doc_id long", *[f"{c} {SCHEMA[c]}" for c in columns]]))
 
