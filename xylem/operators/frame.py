@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from xylem.functions import interp
 from xylem.plans import grammar as g
-from xylem.plans.compile import NODE, Plan, compiled
-from xylem.sources import markup
+from xylem.plans.compile import NODE, Plan, compiled, merged
+from xylem.sources import markup, workspace
 
 _VALUE_FREE = frozenset(("count", "position", "last", "true", "false", "boolean", "not", "name", "local-name", "namespace-uri", "lang"))
 
@@ -142,7 +142,7 @@ class XmlFrame:
         found = plan.top(e)
         runs = plan.n.where("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("parent").alias("t_parent"), F.col("pre").alias("t_pre"), F.col("text").alias("t_text"))
         inner = found.where(F.col("kind").isin("element", "root")).select("doc_id", F.col("pre").alias("e_pre"))
-        inner = inner.join(runs, (F.col("doc_id") == F.col("t_doc")) & (F.col("e_pre") == F.col("t_parent"))).select("doc_id", F.col("t_pre").alias("pre"), F.lit(0).alias("aord"), F.col("t_text").alias("text"))
+        inner = inner.join(merged(runs), (F.col("doc_id") == F.col("t_doc")) & (F.col("e_pre") == F.col("t_parent"))).select("doc_id", F.col("t_pre").alias("pre"), F.lit(0).alias("aord"), F.col("t_text").alias("text"))
         own = found.where(~F.col("kind").isin("element", "root")).select("doc_id", "pre", "aord", "text")
         return inner.unionByName(own).where(F.length("text") > 0)
 
@@ -153,7 +153,7 @@ class XmlFrame:
         # a document's text meets the places of all its nodes once
         place = F.struct("pre", "aord", F.when(F.col("aord") > 0, F.col("value")).alias("value"), "start_off", "end_off")
         found = self._result(xpath, ("value",), context).groupBy("doc_id").agg(F.collect_list(place).alias("places"))
-        joined = found.join(self.docs.select(F.col("doc_id").alias("d"), "xml"), F.col("doc_id") == F.col("d"))
+        joined = found.join(merged(self.docs.select(F.col("doc_id").alias("d"), "xml")), F.col("doc_id") == F.col("d"))
         piece = lambda x: F.when(x["aord"] > 0, x["value"]).otherwise(F.substring("xml", x["start_off"] + 1, x["end_off"] - x["start_off"]))
         pieces = F.transform("places", lambda x: F.struct(x["pre"].alias("pre"), x["aord"].alias("aord"), piece(x).alias("raw")))
         return joined.select("doc_id", F.explode(pieces).alias("x")).select("doc_id", "x.*")
@@ -172,7 +172,7 @@ class XmlFrame:
             raise g.XPathError(f"{xpath!r} gives no nodes")
         plan = Plan(self.nodes())
         starts = contexts.select(F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre")).distinct()
-        own = plan.n.join(starts, (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_pre")))
+        own = plan.n.join(merged(starts), (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_pre")))
         ctx = own.select("doc_id", F.col("pre").alias("cp"), F.lit(0).alias("ca"), *NODE)
         return plan.nodeset(e, ctx).select("doc_id", F.col("cp").alias("context"), "pre", "aord", "kind", "name", F.coalesce("value", F.lit("")).alias("value"))
 
@@ -183,15 +183,15 @@ class XmlFrame:
         """
         plan = Plan(self.nodes(), context)
         s = plan.nodeset(compiled(rows), None).withColumns({"sp": F.col("cp"), "sa": F.col("ca")})
-        out = []
-        for name, (xpath, kind) in columns.items():
-            e = compiled(xpath)
-            s, value = plan.scalar(s, e, g.STRING)
-            if g.kind(e) == g.NODESET:
-                s, there = plan.scalar(s, e, g.BOOLEAN)
-                value = F.when(there, value)
-            out.append(value.try_cast(kind).alias(name))
-        return s.select("doc_id", "pre", *out)
+        es = {name: compiled(xpath) for name, (xpath, _) in columns.items()}
+        sets, values = [name for name, e in es.items() if g.kind(e) == g.NODESET], {}
+        s, found = plan.strings(s, [es[name] for name in sets])
+        for name, (there, value) in zip(sets, found):
+            values[name] = F.when(there, value)
+        for name, e in es.items():
+            if name not in values:
+                s, values[name] = plan.scalar(s, e, g.STRING)
+        return s.select("doc_id", "pre", *[values[name].try_cast(kind).alias(name) for name, (_, kind) in columns.items()])
 
     def display(self, xpath: str, context: str = "element") -> DataFrame:
         """(doc_id, value): node string-values joined by line ends, or the scalar as a string."""
@@ -213,7 +213,7 @@ class XmlFrame:
         """Documents without rows are there too."""
         per = rows.groupBy(F.col("doc_id").alias("r_doc")).agg(column.alias(name))
         ids = self._ids()
-        return ids.join(per, F.col("doc_id").eqNullSafe(F.col("r_doc")), "left").select("doc_id", F.coalesce(name, default if isinstance(default, Column) else F.lit(default)).alias(name))
+        return ids.join(merged(per), F.col("doc_id").eqNullSafe(F.col("r_doc")), "left").select("doc_id", F.coalesce(name, default if isinstance(default, Column) else F.lit(default)).alias(name))
 
     def batch_text(self, xpath: str, context: str = "root") -> DataFrame:
         """(doc_id, texts): the text runs in order; documents without any have an empty list."""
@@ -263,7 +263,7 @@ class XmlFrame:
         e = compiled(xpath)
         plan = Plan(self.nodes(), context)
         found = plan.top(e).where("kind = 'element'").select(F.col("doc_id").alias("f_doc"), F.col("pre").alias("f_pre"))
-        kids = found.join(plan.n.where("kind = 'element'"), (F.col("doc_id") == F.col("f_doc")) & (F.col("parent") == F.col("f_pre")))
+        kids = found.join(merged(plan.n.where("kind = 'element'")), (F.col("doc_id") == F.col("f_doc")) & (F.col("parent") == F.col("f_pre")))
         w = Window.partitionBy("doc_id", "f_pre").orderBy("pre")
         return kids.select("doc_id", F.col("f_pre").alias("pre"), F.col("pre").alias("child"), "name", (F.row_number().over(w) - 1).alias("ordinal"))
 
@@ -273,7 +273,7 @@ class XmlFrame:
         plan = Plan(self.nodes(), context)
         found = plan.top(e).where("kind = 'element'").select("doc_id", "pre")
         per = plan.n.where("kind = 'element'").groupBy(F.col("doc_id").alias("c_doc"), F.col("parent").alias("c_parent")).agg(F.count(F.lit(1)).alias("n"))
-        joined = found.join(per, (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_parent")), "left")
+        joined = found.join(merged(per), (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_parent")), "left")
         return joined.select("doc_id", "pre", F.coalesce("n", F.lit(0)).alias("n"))
 
     def child_at(self, xpath: str, ordinal: int, context: str = "root") -> DataFrame:
@@ -290,7 +290,7 @@ class XmlFrame:
         plan = Plan(self.nodes(), context)
         found = plan.top(e).where("kind = 'element'").select(F.col("doc_id").alias("f_doc"), F.col("pre").alias("f_pre"), F.col("end").alias("f_end"))
         runs = plan.n.where("kind = 'text'").select("doc_id", F.col("pre").alias("t_pre"), F.coalesce("value", F.lit("")).alias("text"))
-        inside = found.join(runs, (F.col("f_doc") == F.col("doc_id")) & (F.col("t_pre") > F.col("f_pre")) & (F.col("t_pre") <= F.col("f_end")))
+        inside = found.join(merged(runs), (F.col("f_doc") == F.col("doc_id")) & (F.col("t_pre") > F.col("f_pre")) & (F.col("t_pre") <= F.col("f_end")))
         order = F.row_number().over(Window.partitionBy("doc_id", "f_pre").orderBy("t_pre")) - 1
         return inside.select("doc_id", F.col("f_pre").alias("pre"), order.alias("ord"), "text")
 
@@ -301,9 +301,9 @@ class XmlFrame:
         found = plan.top(e).where("kind = 'element'").select("doc_id", "pre", "end", "name", "parent", F.coalesce("value", F.lit("")).alias("all_text"))
         runs = plan.n.where("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("parent").alias("t_parent"), F.col("pre").alias("t_pre"), F.col("value").alias("t_value"))
         first = runs.groupBy("t_doc", "t_parent").agg(F.min_by("t_value", "t_pre").alias("text"))
-        with_first = found.join(first, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") == F.col("t_parent")), "left").drop("t_doc", "t_parent")
+        with_first = found.join(merged(first), (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") == F.col("t_parent")), "left").drop("t_doc", "t_parent")
         after = (F.col("doc_id") == F.col("t_doc")) & (F.col("t_pre") == F.col("end") + 1) & (F.col("parent") == F.col("t_parent"))
-        return with_first.join(runs, after, "left").select("doc_id", "pre", "name", "parent", "text", F.col("t_value").alias("tail"), "all_text")
+        return with_first.join(merged(runs), after, "left").select("doc_id", "pre", "name", "parent", "text", F.col("t_value").alias("tail"), "all_text")
 
     def attributes(self, xpath: str, context: str = "root", xmlns: bool = True) -> DataFrame:
         """(doc_id, pre, ord, name, value) of every attribute; ``xmlns``: namespace declarations too."""
@@ -353,6 +353,7 @@ def _lists_of(docs: DataFrame, f, name: str) -> DataFrame:
         if ids:
             yield rows()
 
+    workspace.small_batches(docs.sparkSession)
     return docs.mapInArrow(of, f"doc_id long, ord int, {name} string")
 
 

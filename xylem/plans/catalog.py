@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import sql as sql_functions
-from xylem.operators.frame import XmlFrame, standalone, strings_per_document
+from xylem.operators.frame import XmlFrame, merged, standalone, strings_per_document
 from xylem.sources import files, markup, relational, store, workspace
 from xylem.streaming import documents as streams
 
@@ -42,7 +42,7 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = frame(spark, sf_dir, "page")
     heads = pages.xpath_text("//h1/text()", "root").groupBy("doc_id").agg(F.min_by("text", "pre").alias("title"))
     links = pages.count_batch("//a/@href")
-    return links.join(heads, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.col("n").alias("links"))
+    return links.join(merged(heads), "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.col("n").alias("links"))
 
 
 _OL = (

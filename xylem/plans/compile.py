@@ -67,6 +67,36 @@ def _document_wide(e) -> bool:
     return isinstance(e, g.Path) and (e.absolute if e.start is None else _document_wide(e.start))
 
 
+def _disjoint(a, b) -> bool:
+    """Whether two node-sets surely have no node in common: elements of different names."""
+    last = [x.steps[-1] for x in (a, b) if isinstance(x, g.Path) and x.steps]
+    return len(last) == 2 and all(x.test.kind == "name" and x.axis not in ("attribute", "namespace") for x in last) and last[0].test.value != last[1].test.value
+
+
+def _climb(e) -> tuple[int, g.Path | None]:
+    """(n, rest) of a path that first goes up to parents n times and then to children, whatever its context; (0, None) for anything else."""
+    if not isinstance(e, g.Path) or e.start is not None or e.absolute:
+        return 0, None
+    n = 0
+    while n < len(e.steps) and e.steps[n] == g.Step("parent", g.Test("node")):
+        n += 1
+    if not n or n == len(e.steps) or e.steps[n].axis != "child" or any(map(g.positional, e.steps[n].predicates)):
+        return 0, None
+    return n, g.Path(e.steps[n:])
+
+
+def _child_name(e) -> str | None:
+    """The name in ``name`` as a path to children; None for anything else."""
+    if isinstance(e, g.Path) and e.start is None and not e.absolute and len(e.steps) == 1 and e.steps[0].axis == "child" and e.steps[0].test.kind == "name" and not e.steps[0].predicates:
+        return e.steps[0].test.value
+    return None
+
+
+def merged(right: DataFrame) -> DataFrame:
+    """The right side of a join, which is to be sorted and merged: what a stored table's size lets Spark expect is far less than its rows take in memory, so that it would be broadcast."""
+    return right.hint("merge")
+
+
 def _own_attributes(test: g.Test) -> Column:
     def good(a: Column) -> Column:
         if test.kind == "name":
@@ -92,7 +122,7 @@ class Plan:
         roots = self.n.where("pre = 0")
         if self.context == "element":
             first = self.n.where("kind = 'element' and parent = 0").groupBy("doc_id").agg(F.min("pre").alias("p"))
-            roots = self.n.join(first, "doc_id").where("pre = p").drop("p")
+            roots = self.n.join(merged(first), "doc_id").where("pre = p").drop("p")
         return roots.select("doc_id", F.lit(0).alias("cp"), F.lit(0).alias("ca"), *NODE)
 
     def top(self, e) -> DataFrame:
@@ -103,25 +133,25 @@ class Plan:
         """KEY and NODE columns, distinct; ``ctx`` has them too, each row the context node itself. None: whole documents."""
         if isinstance(e, g.Union):
             both = self.nodeset(e.left, ctx).unionByName(self.nodeset(e.right, ctx))
-            return both.dropDuplicates([*KEY, "pre", "aord"])
+            return both if _disjoint(e.left, e.right) else both.dropDuplicates([*KEY, "pre", "aord"])
         if isinstance(e, g.Filter):
             base = self.nodeset(e.base, ctx)
             return self.filtered(base.withColumns({"sp": _c("cp"), "sa": _c("ca")}), e.predicates, False).drop(*STEP)
         if isinstance(e, g.Call):
             return self.by_id(e.args[0], ctx)
         if e.start is not None:
-            return self.walk(self.nodeset(e.start, ctx), e.steps, single=False)
+            return self.walk(self.nodeset(e.start, ctx), e.steps, single=False, whole=ctx is None)
         if e.absolute:
             return self.absolute(e.steps, ctx)
         if ctx is None:
-            return self.walk(self.start(), e.steps, single=True)
+            return self.walk(self.start(), e.steps, single=True, whole=True)
         return self.walk(ctx, e.steps, single=True)
 
     def absolute(self, steps: tuple, ctx: DataFrame | None) -> DataFrame:
         found = self.from_root(steps)
         if ctx is None:
             return found
-        return ctx.select(*KEY).join(found.drop("cp", "ca"), "doc_id")
+        return ctx.select(*KEY).join(merged(found.drop("cp", "ca")), "doc_id")
 
     def from_root(self, steps: tuple) -> DataFrame:
         """An absolute path's nodes, with the root as their context: the longest possible start as one filter."""
@@ -129,19 +159,24 @@ class Plan:
             # //T[position]: every T, counted among its parent's children
             hits = self.n.where(test_column("child", steps[1].test) & _c("parent").isNotNull())
             hits = hits.select("doc_id", F.lit(0).alias("cp"), F.lit(0).alias("ca"), _c("parent").alias("sp"), F.lit(0).alias("sa"), *NODE)
-            return self.walk(self.filtered(hits, steps[1].predicates, False).drop(*STEP), steps[2:], single=False)
-        pattern, used = "", 0
+            return self.walk(self.filtered(hits, steps[1].predicates, False).drop(*STEP), steps[2:], single=False, whole=True)
+        pattern, used, counted = "", 0, False
         for step in steps:
             name = {"name": lambda s: re.escape(s.test.value), "any": lambda s: "[^/]+"}.get(step.test.kind)
-            if step.axis not in ("child", "descendant") or not name or any(map(g.positional, step.predicates)):
+            counted = any(map(g.positional, step.predicates))
+            # children are counted below their parent, whose number they have
+            if step.axis not in ("child", "descendant", "descendant-or-self") or not name or counted and step.axis != "child" or step.axis == "descendant-or-self" and not used:
                 break
-            pattern += ("/" if step.axis == "child" else "(?:/[^/]+)*/") + name(step)
+            if step.axis == "descendant-or-self":
+                pattern += "(?:/[^/]+)*" + (f"(?<=/{name(step)})" if step.test.kind == "name" else "")
+            else:
+                pattern += ("/" if step.axis == "child" else "(?:/[^/]+)*/") + name(step)
             used += 1
             if step.predicates:
                 break
         if not used:
             root = self.n.where("pre = 0").select("doc_id", F.lit(0).alias("cp"), F.lit(0).alias("ca"), *NODE)
-            return self.walk(root, steps, single=True)
+            return self.walk(root, steps, single=True, whole=True)
         last = steps[used - 1]
         # the test on the name reaches the Parquet scan, a lone descendant step needs no pattern
         hits = self.n.where(test_column(last.axis, last.test))
@@ -149,12 +184,17 @@ class Plan:
             hits = hits.where(_c("path").rlike(f"^{pattern}$"))
         hits = hits.select("doc_id", F.lit(0).alias("cp"), F.lit(0).alias("ca"), *NODE)
         if last.predicates:
-            hits = self.filtered(hits.withColumns({"sp": F.lit(0), "sa": F.lit(0)}), last.predicates, False).drop(*STEP)
-        return self.walk(hits, steps[used:], single=False)
+            counted = any(map(g.positional, last.predicates))
+            hits = self.filtered(hits.withColumns({"sp": _c("parent") if counted else F.lit(0), "sa": F.lit(0)}), last.predicates, False).drop(*STEP)
+        return self.walk(hits, steps[used:], single=False, whole=True)
 
-    def walk(self, current: DataFrame, steps: tuple, single: bool) -> DataFrame:
-        """``single``: current has one node for each context, so that axes can't meet the same node twice."""
+    def walk(self, current: DataFrame, steps: tuple, single: bool, whole: bool = False) -> DataFrame:
+        """``single``: current has one node for each context, so that axes can't meet the same node twice. ``whole``: all of a document's nodes have the same context."""
         for step in steps:
+            if whole and step.axis not in ("self", "attribute", "namespace") and not any(map(g.positional, step.predicates)):
+                found = self.axis(current, step, met=True)
+                current, single = self.filtered(found, step.predicates, False).drop(*STEP), False
+                continue
             found = self.axis(current, step)
             found = self.filtered(found, step.predicates, step.axis in g.REVERSE)
             apart = single or step.axis in ("child", "self", "attribute", "namespace")
@@ -162,8 +202,8 @@ class Plan:
             single = single and step.axis in ("self", "parent")
         return current
 
-    def axis(self, current: DataFrame, step: g.Step) -> DataFrame:
-        """The nodes that a step reaches: KEY, STEP (the node it went out from) and NODE columns."""
+    def axis(self, current: DataFrame, step: g.Step, met: bool = False) -> DataFrame:
+        """The nodes that a step reaches: KEY, STEP (the node it went out from) and NODE columns. ``met``: each node once, whichever node it went out from, and that all are of whole documents."""
         axis, good = step.axis, test_column(step.axis, step.test)
         if axis == "self":
             return current.where(good).withColumns({"sp": _c("pre"), "sa": _c("aord")})
@@ -185,10 +225,14 @@ class Plan:
             "following": _c("pre") > F.when(tree, _c("o_end")).otherwise(_c("o_pre")),
             "preceding": (_c("end") < _c("o_pre")) & (_c("pre") > 0),
         }[axis]
-        found = c.join(n, (_c("doc_id") == _c("o_doc")) & on)
-        out = found.select("doc_id", "cp", "ca", _c("o_pre").alias("sp"), _c("o_aord").alias("sa"), *NODE)
+        if met:
+            zero = [F.lit(0).alias(x) for x in ("cp", "ca", *STEP)]
+            out = n.join(merged(c), (_c("doc_id") == _c("o_doc")) & on, "left_semi").select("doc_id", *zero, *NODE)
+        else:
+            found = c.join(merged(n), (_c("doc_id") == _c("o_doc")) & on)
+            out = found.select("doc_id", "cp", "ca", _c("o_pre").alias("sp"), _c("o_aord").alias("sa"), *NODE)
         if axis.endswith("-or-self"):
-            own = current.where((_c("aord") > 0) & good).withColumns({"sp": _c("pre"), "sa": _c("aord")})
+            own = current.where((_c("aord") > 0) & good).withColumns({x: F.lit(0) for x in STEP} if met else {"sp": _c("pre"), "sa": _c("aord")})
             out = out.unionByName(own.select(out.columns))
         return out
 
@@ -229,7 +273,7 @@ class Plan:
             base, s = self.scalar(base, arg, g.STRING)
             wanted = base.select(*KEY, words(s).alias("w"))
         wanted = wanted.distinct().withColumnRenamed("doc_id", "o_doc")
-        found = wanted.join(first, (_c("o_doc") == _c("doc_id")) & (_c("w") == _c("i")))
+        found = wanted.join(merged(first), (_c("o_doc") == _c("doc_id")) & (_c("w") == _c("i")))
         return found.select("doc_id", "cp", "ca", *[_c(f"x.{c}").alias(c) for c in NODE]).dropDuplicates([*KEY, "pre", "aord"])
 
     # predicates
@@ -261,7 +305,7 @@ class Plan:
         if g.kind(inner) == g.NODESET and not _plain_attribute(inner) and not _self(inner):
             columns, on = self.link(inner)
             keys = self.per_context(inner, s).select(*[_c(k).alias(f"j_{k}") for k in columns])
-            return s.join(keys, on, "left_anti" if negated else "left_semi")
+            return s.join(merged(keys), on, "left_anti" if negated else "left_semi")
         s, flag = self.scalar(s, p, g.BOOLEAN)
         return s.where(flag)
 
@@ -290,9 +334,46 @@ class Plan:
         """``s`` with one more column, from an aggregate of ``facts`` (rows of ``per_context`` of e) by context."""
         name, (columns, on) = f"x{next(_NUMBERS)}", self.link(e)
         per = facts.groupBy(*[_c(k).alias(f"j_{k}") for k in columns]).agg(column.alias(name))
-        joined = s.join(per, on, "left").drop(*[f"j_{k}" for k in columns])
+        joined = s.join(merged(per), on, "left").drop(*[f"j_{k}" for k in columns])
         return joined, F.coalesce(_c(name), F.lit(default))
 
+    def gathered(self, s: DataFrame, e, column: Column, default) -> tuple[DataFrame, Column]:
+        """``s`` with an aggregate of a node-set for each of its nodes. What begins above a node is gathered once for all nodes below."""
+        n, rest = _climb(e)
+        if not n:
+            return self.attach(s, e, self.per_context(e, s), column, default)
+        per = self.per_context(rest, s).groupBy(_c("doc_id").alias("j_doc_id"), _c("cp").alias("j_cp")).agg(column.alias(name := f"x{next(_NUMBERS)}"))
+        s = s.withColumns({"up": F.when(_c("aord") == 0, _c("parent")).otherwise(_c("pre"))})
+        for _ in range(n - 1):
+            above = self.n.where(_c("kind").isin("element", "root")).select(_c("doc_id").alias("u_doc"), _c("pre").alias("u_pre"), _c("parent").alias("u_parent"))
+            s = s.join(merged(above), (_c("doc_id") == _c("u_doc")) & (_c("up") == _c("u_pre")), "left").withColumns({"up": _c("u_parent")}).drop("u_doc", "u_pre", "u_parent")
+        joined = s.join(merged(per), (_c("doc_id") == _c("j_doc_id")) & (_c("up") == _c("j_cp")), "left").drop("j_doc_id", "j_cp", "up")
+        return joined, F.coalesce(_c(name), default if isinstance(default, Column) else F.lit(default))
+
+    def strings(self, s: DataFrame, es: list) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+        """``s`` with the columns that several node-sets need, and (whether there is a node, its string or "") of each: one pass over all that are children of a name."""
+        out: dict[int, tuple[Column, Column]] = {}
+        names = {k: name for k, e in enumerate(es) if (name := _child_name(e)) is not None}
+        if names:
+            kids = self.n.where((_c("kind") == "element") & _c("name").isin(*sorted(set(names.values()))))
+            made = {name: f"x{next(_NUMBERS)}" for name in names.values()}
+            first = [F.min(F.when(_c("name") == name, F.struct("pre", F.coalesce("value", F.lit("")).alias("value")))).alias(x) for name, x in made.items()]
+            per = kids.groupBy(_c("doc_id").alias("j_doc_id"), _c("parent").alias("j_cp")).agg(*first)
+            s = s.join(merged(per), (_c("doc_id") == _c("j_doc_id")) & (_c("pre") == _c("j_cp")) & (_c("aord") == 0), "left").drop("j_doc_id", "j_cp")
+            out = {k: (_c(made[name]).isNotNull(), v.text(_c(made[name])["value"])) for k, name in names.items()}
+        for k, e in enumerate(es):
+            if k in out:
+                continue
+            if _self(e) or _plain_attribute(e):
+                s, there = self.scalar(s, e, g.BOOLEAN)
+                s, value = self.scalar(s, e, g.STRING)
+            else:
+                first = F.min(F.struct("pre", "aord", F.coalesce("value", F.lit("")).alias("value")))
+                s, found = self.gathered(s, e, first, F.lit(None).cast("struct<pre:int,aord:int,value:string>"))
+                there, value = found.isNotNull(), v.text(found["value"])
+            out[k] = there, value
+        return s, [out[k] for k in range(len(es))]
+
     # scalars: s gets the columns that the expression needs
 
     def scalar(self, s: DataFrame, e, want: str) -> tuple[DataFrame, Column]:
@@ -317,9 +398,9 @@ class Plan:
             own = _own_attributes(test)
             c = F.coalesce(F.size(own) > 0, F.lit(False)) if want == g.BOOLEAN else v.text(F.get(own, F.lit(0))["value"])
         elif want == g.BOOLEAN:
-            return self.attach(s, e, self.per_context(e, s), F.max(F.lit(True)), False)
+            return self.gathered(s, e, F.max(F.lit(True)), False)
         else:
-            s, c = self.attach(s, e, self.per_context(e, s), F.min_by("value", F.struct("pre", "aord")), "")
+            s, c = self.gathered(s, e, F.min_by("value", F.struct("pre", "aord")), "")
         return s, (v.number(c) if want == g.NUMBER else c)
 
     def typed(self, s: DataFrame, e) -> tuple[DataFrame, Column]:
@@ -384,16 +465,16 @@ class Plan:
             if not _document_wide(left):
                 on = on & (_c("cp") == _c("b_pre")) & (_c("ca") == _c("b_aord"))
             name = f"x{next(_NUMBERS)}"
-            per = facts.join(own, on).groupBy(*[f"b_{c}" for c in row]).agg(F.max(self.pair(as_wanted(_c("value")), op, _c("b"), want)).alias(name))
+            per = facts.join(merged(own), on).groupBy(*[f"b_{c}" for c in row]).agg(F.max(self.pair(as_wanted(_c("value")), op, _c("b"), want)).alias(name))
             same = functools.reduce(lambda x, y: x & y, [_c(c) == _c(f"b_{c}") for c in row])
-            return s.join(per, same, "left").drop(*[f"b_{c}" for c in row]), F.coalesce(_c(name), F.lit(False))
+            return s.join(merged(per), same, "left").drop(*[f"b_{c}" for c in row]), F.coalesce(_c(name), F.lit(False))
         if not isinstance(right, g.Literal | g.Number):
             own = s.select(_c("doc_id").alias("b_doc"), _c("pre").alias("b_pre"), _c("aord").alias("b_aord"), b.alias("b")).distinct()
             if _document_wide(left):  # the right side may differ from node to node
-                facts = facts.drop("cp", "ca").join(own, _c("doc_id") == _c("b_doc")).withColumns({"cp": _c("b_pre"), "ca": _c("b_aord")})
+                facts = facts.drop("cp", "ca").join(merged(own), _c("doc_id") == _c("b_doc")).withColumns({"cp": _c("b_pre"), "ca": _c("b_aord")})
                 left = g.Path((g.Step("self", g.Test("node")),))
             else:
-                facts = facts.join(own, (_c("doc_id") == _c("b_doc")) & (_c("cp") == _c("b_pre")) & (_c("ca") == _c("b_aord")))
+                facts = facts.join(merged(own), (_c("doc_id") == _c("b_doc")) & (_c("cp") == _c("b_pre")) & (_c("ca") == _c("b_aord")))
             b = _c("b")
         return self.attach(s, left, facts, F.max(self.pair(as_wanted(_c("value")), op, b, want)), False)
 
@@ -403,12 +484,12 @@ class Plan:
             wide, own = (left, right) if _document_wide(left) else (right, left)
             a, b = self.per_context(wide, s), self.per_context(own, s)
             a = a.select(_c("doc_id").alias("a_doc"), v.text(_c("value")).alias("a_w")).distinct()
-            met = b.select(*KEY, v.text(_c("value")).alias("w")).join(a, (_c("doc_id") == _c("a_doc")) & (_c("w") == _c("a_w")), "left_semi")
+            met = b.select(*KEY, v.text(_c("value")).alias("w")).join(merged(a), (_c("doc_id") == _c("a_doc")) & (_c("w") == _c("a_w")), "left_semi")
             return self.attach(s, own, met, F.max(F.lit(True)), False)
         a, b = (self.per_context(x, s) for x in (left, right))
         if op == "=":
             a, b = (x.select(*KEY, v.text(_c("value")).alias("w")).distinct() for x in (a, b))
-            return self.attach(s, left, a.join(b, [*KEY, "w"]), F.max(F.lit(True)), False)
+            return self.attach(s, left, a.join(merged(b), [*KEY, "w"]), F.max(F.lit(True)), False)
         n = v.number(_c("value"))
         w = v.text(_c("value")) if op == "!=" else F.when(~F.isnan(n), n)
         s, _ = self.attach(s, left, a, F.struct(F.min(w).alias("lo"), F.max(w).alias("hi")), None)
@@ -433,9 +514,8 @@ class Plan:
             test = _plain_attribute(args[0])
             if test and name == "count":
                 return s, F.coalesce(F.size(_own_attributes(test)).cast("double"), F.lit(0.0))
-            facts = self.per_context(args[0], s)
             column = F.count(F.lit(1)).cast("double") if name == "count" else F.sum(v.number(_c("value")))
-            return self.attach(s, args[0], facts, column, 0.0)
+            return self.gathered(s, args[0], column, 0.0)
         if name in ("boolean", "not"):
             s, c = self.scalar(s, args[0], g.BOOLEAN)
             return s, (c if name == "boolean" else ~c)

@@ -25,7 +25,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import plain
+from . import plain, workspace
 
 ROOT, ELEMENT, TEXT, COMMENT, PI, ATTRIBUTE, NAMESPACE = "root", "element", "text", "comment", "pi", "attribute", "namespace"
 
@@ -343,7 +343,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], columns: list[str], names: frozens
 
 
 #: Nodes and bytes in a row group of a file that a task writes itself.
-_GROUP_NODES, _GROUP_BYTES = 250_000, 64_000_000
+_GROUP_NODES, _GROUP_BYTES = 250_000, 32_000_000
 
 
 def parse_into(docs: DataFrame, folder: str) -> DataFrame:
@@ -374,6 +374,7 @@ def parse_into(docs: DataFrame, folder: str) -> DataFrame:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["file"])
 
+    workspace.small_batches(docs.sparkSession)
     return docs_of(docs).where("doc_id IS NOT NULL").mapInArrow(of, "file string")
 
 
@@ -388,6 +389,7 @@ def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[st
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _nodes(batches, columns, names)
 
+    workspace.small_batches(docs.sparkSession)
     return docs_of(docs).where("doc_id IS NOT NULL").mapInArrow(of, ", ".join(["doc_id long", *[f"{c} {SCHEMA[c]}" for c in columns]]))
 
 

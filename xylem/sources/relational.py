@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workspace
+
 
 def escape(c: Column) -> Column:
     """Text or attribute content; null counts as empty. Only strings can hold signs to be replaced, which is decided when the plan is made."""
@@ -94,4 +96,9 @@ KINDS = {"order": orders, "region": regions, "customer": customers, "part": part
 
 def documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """(doc_id, xml) of one kind, from the whole tables in ``sf_dir``."""
-    return KINDS[kind](lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    def read(table: str) -> DataFrame:
+        workspace.spread(spark, f"{sf_dir}/{table}.parquet")
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+    return KINDS[kind](read)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from xylem.operators.frame import XmlFrame, distinct_docs
 
-from . import markup
+from . import markup, workspace
 
 VERSION = 2
 #: Documents in a file, at most: parsing takes far longer than reading, so its tasks shouldn't be few.
@@ -82,6 +82,7 @@ def _stored_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def load(spark: SparkSession, path: str) -> XmlFrame:
     """The stored documents and their nodes, as an XmlFrame."""
+    workspace.spread(spark, f"{path}/nodes")
     return XmlFrame(_stored_docs(spark, path).select("doc_id", "xml"), _stored_nodes(spark, path))
 
 
