@@ -109,21 +109,36 @@ class XmlFrame:
             return self._nodes
         if e is None or not self.prune:
             return markup.parse(self.docs)
+        return markup.parse(*self._needed(e, output, context))
+
+    def _needed(self, e, output: tuple[str, ...], context: str) -> tuple[DataFrame, list[str], frozenset[str] | None]:
+        """The documents, the columns and the names that an expression needs."""
         docs = self.docs
         if g.kind(e) == g.NODESET and self._summarized is not None:
             docs = self._summarized.where(may_match(F.col("xml"), e, F.col("tags"))).select("doc_id", "xml")
         elif g.kind(e) == g.NODESET:
             docs = docs.where(may_match(F.col("xml"), e))
-        return markup.parse(docs, needed_columns(e, output), needed_names(e) if context == "root" else None)
+        return docs, needed_columns(e, output), needed_names(e) if context == "root" else None
 
     def plan(self, e, output: tuple[str, ...] = (), context: str = "root") -> Plan:
         return Plan(self.nodes(e, output, context), context)
 
+    def _made(self, e, output: tuple[str, ...], context: str, make) -> DataFrame:
+        """What ``make`` makes of the plan. Nodes that aren't stored and that it looks at more than once are parsed once, into the shared folder."""
+        plan = self.plan(e, output, context)
+        made = make(plan)
+        if self._nodes is None and self.prune and plan.reads > 1 and not self.docs.isStreaming:
+            docs, columns, names = self._needed(e, output, context)
+            path = workspace.new_path(docs.sparkSession, "parsed")
+            markup.write(docs, path, columns=columns, names=names)
+            made = make(Plan(markup.read(docs.sparkSession, path, columns), context))
+        return made
+
     def _result(self, xpath: str, output: tuple[str, ...], context: str) -> DataFrame:
         e = compiled(xpath)
         if g.kind(e) != g.NODESET:
             raise g.XPathError(f"{xpath!r} gives no nodes")
-        return self.plan(e, output, context).top(e)
+        return self._made(e, output, context, lambda plan: plan.top(e))
 
     def xpath(self, xpath: str, context: str = "element") -> DataFrame:
         """(doc_id, pre, aord, kind, name) of the result's nodes; (pre, aord) is document order."""
@@ -138,7 +153,10 @@ class XmlFrame:
         e = compiled(xpath)
         if g.kind(e) != g.NODESET:
             raise g.XPathError(f"{xpath!r} gives no nodes")
-        plan = self.plan(e, ("text", "value"), context)
+        return self._made(e, ("text", "value"), context, lambda plan: self._runs(plan, e))
+
+    @staticmethod
+    def _runs(plan: Plan, e) -> DataFrame:
         found = plan.top(e)
         runs = plan.n.where("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("parent").alias("t_parent"), F.col("pre").alias("t_pre"), F.col("text").alias("t_text"))
         inner = found.where(F.col("kind").isin("element", "root")).select("doc_id", F.col("pre").alias("e_pre"))
@@ -163,7 +181,7 @@ class XmlFrame:
         e = compiled(xpath)
         if g.kind(e) == g.NODESET:
             return self.xpath_string(xpath, context)
-        return self.plan(e, ("value",), context).value(e)
+        return self._made(e, ("value",), context, lambda plan: plan.value(e))
 
     def xpath_from(self, contexts: DataFrame, xpath: str) -> DataFrame:
         """(doc_id, context, pre, aord, kind, name, value): the result for each node in ``contexts`` (doc_id, pre), which paths start from."""
@@ -171,10 +189,7 @@ class XmlFrame:
         if g.kind(e) != g.NODESET:
             raise g.XPathError(f"{xpath!r} gives no nodes")
         plan = Plan(self.nodes())
-        starts = contexts.select(F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre")).distinct()
-        own = plan.n.join(merged(starts), (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_pre")))
-        ctx = own.select("doc_id", F.col("pre").alias("cp"), F.lit(0).alias("ca"), *NODE)
-        return plan.nodeset(e, ctx).select("doc_id", F.col("cp").alias("context"), "pre", "aord", "kind", "name", F.coalesce("value", F.lit("")).alias("value"))
+        return plan.from_nodes(e, contexts).select("doc_id", F.col("cp").alias("context"), "pre", "aord", "kind", "name", F.coalesce("value", F.lit("")).alias("value"))
 
     def shred(self, rows: str, columns: dict[str, tuple[str, str]], context: str = "root") -> DataFrame:
         """One row for each node of ``rows``: doc_id, pre, and a column for each name: (XPath from that node, type).

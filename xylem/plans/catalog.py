@@ -21,6 +21,7 @@ from xylem.sources import files, markup, relational, store, workspace
 from xylem.streaming import documents as streams
 
 _STORES: dict[tuple[str, str, str], str] = {}
+_DOCUMENTS: dict[tuple[str, str, str], str] = {}
 
 
 def frame(spark: SparkSession, sf_dir: str, kind: str) -> XmlFrame:
@@ -33,6 +34,18 @@ def frame(spark: SparkSession, sf_dir: str, kind: str) -> XmlFrame:
     return store.load(spark, _STORES[key])
 
 
+def documents(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Where the stored documents of one kind are, without nodes unless those are there anyway."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key in _STORES:
+        return _STORES[key]
+    if key not in _DOCUMENTS:
+        path = workspace.new_path(spark, f"documents-{kind}")
+        store.write_documents(relational.documents(spark, sf_dir, kind), path)
+        _DOCUMENTS[key] = path
+    return _DOCUMENTS[key]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, title, links): heading and number of links of every page."""
     return _titles(spark, sf_dir)
@@ -238,7 +251,7 @@ def _nav_attributes(spark, sf_dir):
 
 
 def _canonical(spark, sf_dir):
-    return frame(spark, sf_dir, "order").canonical("/order").select("doc_id", F.col("xml").alias("canonical"))
+    return store.load_lazy(spark, documents(spark, sf_dir, "order")).canonical("/order").select("doc_id", F.col("xml").alias("canonical"))
 
 
 def _udtf(spark, sf_dir):
@@ -323,18 +336,13 @@ def _load_or_write(spark, sf_dir):
     return found.xpath_string("/part/name", "root").select("doc_id", "value")
 
 
-def _order_store(spark, sf_dir) -> str:
-    frame(spark, sf_dir, "order")
-    return _STORES[(spark.sparkContext.applicationId, sf_dir, "order")]
-
-
 def _summaries(spark, sf_dir):
-    return store.summaries(spark, _order_store(spark, sf_dir)).where(F.array_contains("tags", "line")).select("doc_id")
+    return store.summaries(spark, documents(spark, sf_dir, "order")).where(F.array_contains("tags", "line")).select("doc_id")
 
 
 def _lazy_store(spark, sf_dir):
     """Documents whose summary lacks a name that the query needs aren't parsed."""
-    return store.load_lazy(spark, _order_store(spark, sf_dir)).xpath_text("//line[@flag = 'R']/qty", "root").select("doc_id", "text")
+    return store.load_lazy(spark, documents(spark, sf_dir, "order")).xpath_text("//line[@flag = 'R']/qty", "root").select("doc_id", "text")
 
 
 def _stream(spark, sf_dir):

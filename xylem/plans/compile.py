@@ -112,8 +112,14 @@ class Plan:
     def __init__(self, nodes: DataFrame, context: str = "root"):
         have = set(nodes.columns)
         missing = {c: F.lit(None).cast("string") for c in NODE if c not in have} | {"aord": F.lit(0)}
-        self.n = nodes.select("doc_id", *[missing[c].alias(c) if c not in have else _c(c) for c in NODE])
-        self.context = context
+        self._n = nodes.select("doc_id", *[missing[c].alias(c) if c not in have else _c(c) for c in NODE])
+        self.context, self.reads = context, 0
+
+    @property
+    def n(self) -> DataFrame:
+        """The nodes; ``reads`` counts how often a plan looks at them."""
+        self.reads += 1
+        return self._n
 
     # node-sets
 
@@ -147,6 +153,19 @@ class Plan:
             return self.walk(self.start(), e.steps, single=True, whole=True)
         return self.walk(ctx, e.steps, single=True)
 
+    def from_nodes(self, e, starts: DataFrame) -> DataFrame:
+        """The node-set for each of the nodes (doc_id, pre) as its context. Children know their parent: for a first step to them the contexts aren't looked up."""
+        if isinstance(e, g.Union):
+            both = self.from_nodes(e.left, starts).unionByName(self.from_nodes(e.right, starts))
+            return both if _disjoint(e.left, e.right) else both.dropDuplicates([*KEY, "pre", "aord"])
+        chosen = merged(starts.select(_c("doc_id").alias("c_doc"), _c("pre").alias("c_pre")))
+        if isinstance(e, g.Path) and e.start is None and not e.absolute and e.steps and e.steps[0].axis == "child":
+            kids = self.n.where(test_column("child", e.steps[0].test)).join(chosen, (_c("doc_id") == _c("c_doc")) & (_c("parent") == _c("c_pre")), "left_semi")
+            kids = kids.select("doc_id", _c("parent").alias("cp"), F.lit(0).alias("ca"), _c("parent").alias("sp"), F.lit(0).alias("sa"), *NODE)
+            return self.walk(self.filtered(kids, e.steps[0].predicates, False).drop(*STEP), e.steps[1:], single=False)
+        own = self.n.join(chosen, (_c("doc_id") == _c("c_doc")) & (_c("pre") == _c("c_pre")), "left_semi")
+        return self.nodeset(e, own.select("doc_id", _c("pre").alias("cp"), F.lit(0).alias("ca"), *NODE))
+
     def absolute(self, steps: tuple, ctx: DataFrame | None) -> DataFrame:
         found = self.from_root(steps)
         if ctx is None:
@@ -211,7 +230,7 @@ class Plan:
             return self.leaves(current, axis).where(good)
         old = {c: f"o_{c}" for c in ("pre", "aord", "end", "parent")}
         c = current.select(*KEY, *[_c(a).alias(b) for a, b in old.items()]).withColumnRenamed("doc_id", "o_doc")
-        n = self.n.where(good)
+        n = self.n.where(good & _c("kind").isin("element", "root") if axis in ("parent", "ancestor") else good)
         tree, up = _c("o_aord") == 0, F.when(_c("o_aord") == 0, _c("o_parent")).otherwise(_c("o_pre"))
         on = {
             "child": tree & (_c("parent") == _c("o_pre")),

@@ -22,7 +22,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plain, workspace
@@ -75,7 +75,7 @@ def decode(text: str) -> str:
     return _ENTITY.sub(_entity, text) if "&" in text else text
 
 
-def _start_tag(token: str):
+def start_tag(token: str):
     name, rest = _START(token).groups()
     found = [(a, decode(v or w)) for a, v, w in _ATTRIBUTE.findall(rest)] if "=" in rest else []
     special = ":" in name or any(":" in a or a == "xmlns" for a, _ in found)
@@ -94,7 +94,7 @@ class _Tags(dict):
         if len(self) > 20_000 or self.chars > 4_000_000:
             self.clear()
             self.chars = 0
-        self[token] = value = None if token[1] == "/" else _start_tag(token)
+        self[token] = value = None if token[1] == "/" else start_tag(token)
         self.chars += len(token)
         return value
 
@@ -115,16 +115,28 @@ def plain_tag(token: str) -> tuple[int, str | None, list | None, str | None]:
     if token[1] == "?":
         if len(token) < 4 or not token.endswith("?>"):
             return plain.OTHER, None, None, None
-        name, _, text = _partition(token[2:-2])
+        name, _, text = partition(token[2:-2])
         return plain.DECLARATION if _DECLARATION(token) else plain.PI, name, None, text
     if not _START(token):
         return plain.OTHER, None, None, None
-    name, closed, attrs, special = _start_tag(token)
+    name, closed, attrs, special = start_tag(token)
     if special:
         return plain.OTHER, None, None, None
     return plain.EMPTY if closed else plain.OPEN, name, attrs, None
 
 
+def _cut_off(tokens: list[str]) -> bool:
+    """Whether the last token is a tag that isn't closed."""
+    last = tokens[-1] if tokens else ""
+    return last[:1] == "<" and last[1:2] not in ("!", "?") and not _CLOSED(last)
+
+
+def tokens_of(xml: str) -> list[str] | None:
+    """A text's tokens, which make up all of it; None if a tag isn't closed."""
+    tokens = _TOKENS(xml)
+    return None if _cut_off(tokens) else tokens
+
+
 class Tree:
     """The nodes of one text, as parallel lists."""
 
@@ -133,9 +145,8 @@ class Tree:
     def __init__(self, xml: str):
         self.xml, self.error = xml, None
         tokens = _TOKENS(xml)
-        last = tokens[-1] if tokens else ""
-        if last[:1] == "<" and last[1:2] not in ("!", "?") and not _CLOSED(last):
-            self.error = f"tag not closed at {len(xml) - len(last)}"
+        if _cut_off(tokens):
+            self.error = f"tag not closed at {len(xml) - len(tokens[-1])}"
             tokens = []
         rows = self._read(tokens, len(xml))
         self.parent, self.depth, self.kind, self.name, self.path, self.text, self.attrs, self.uri, self.lang, self.scope, self.start, self.decoded = map(list, zip(*rows))
@@ -169,7 +180,7 @@ class Tree:
                     if not start and _DECLARATION(token):
                         continue
                     kind = PI
-                    name, _, text = _partition(token[2:-2] if len(token) > 3 and token.endswith("?>") else token[2:])
+                    name, _, text = partition(token[2:-2] if len(token) > 3 and token.endswith("?>") else token[2:])
                 else:
                     continue
                 k += 1
@@ -220,7 +231,7 @@ class Tree:
         return [whole[where[k] : where[self.end[k] + 1]] if kind in (ELEMENT, ROOT) else self.decoded[k] for k, kind in enumerate(self.kind)]
 
 
-def _partition(text: str) -> tuple[str, str, str]:
+def partition(text: str) -> tuple[str, str, str]:
     m = re.match(r"(\S*)(\s*)([\s\S]*)", text)
     return m[1], m[2], m[3]
 
@@ -346,7 +357,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], columns: list[str], names: frozens
 _GROUP_NODES, _GROUP_BYTES = 250_000, 32_000_000
 
 
-def parse_into(docs: DataFrame, folder: str) -> DataFrame:
+def parse_into(docs: DataFrame, folder: str, columns: list[str] = COLUMNS, names: frozenset[str] | None = None) -> DataFrame:
     """(file) of the documents' node table, written by the tasks themselves as Parquet into a folder that all of them share: one file, with a name of its own, for each task that has nodes.
 
     Nodes go straight from the parser's arrays into the file. Handing them to the JVM, row by row, takes several times as long as parsing.
@@ -364,7 +375,7 @@ def parse_into(docs: DataFrame, folder: str) -> DataFrame:
             writer.write_table(table, row_group_size=max(table.num_rows, 1))
             held.clear()
 
-        for made in _nodes(batches, COLUMNS, None):
+        for made in _nodes(batches, columns, names):
             held.append(made)
             if sum(x.num_rows for x in held) >= _GROUP_NODES or sum(x.nbytes for x in held) >= _GROUP_BYTES:
                 put()
@@ -374,10 +385,40 @@ def parse_into(docs: DataFrame, folder: str) -> DataFrame:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["file"])
 
+    workspace.small_batches(docs.sparkSession)
     workspace.small_batches(docs.sparkSession)
     return docs_of(docs).where("doc_id IS NOT NULL").mapInArrow(of, "file string")
 
 
+def write(docs: DataFrame, path: str, mode: str = "errorifexists", columns: list[str] | None = None, names: frozenset[str] | None = None) -> None:
+    """Parse into a folder. A document's nodes come out of the parser together and in order: no sort, no shuffle. Where the folder is a plain one for every task, they write their files themselves."""
+    spark = docs.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        parse(docs, columns, names).write.mode(mode).option("compression", "zstd").parquet(path)
+        return
+    if fs.exists(at(path)):
+        if mode != "overwrite":
+            raise FileExistsError(path)
+        fs.delete(at(path), True)
+    fs.mkdirs(at(path))
+    columns = [c for c in COLUMNS if columns is None or c in columns]
+    # what a task that failed or was repeated has left keeps its hidden name, which no reader looks at, until it goes
+    whole = [r["file"] for r in parse_into(docs, fs.makeQualified(at(path)).toUri().getPath(), columns, names).collect()]
+    for k, file in enumerate(whole):
+        if not fs.rename(at("file", None, file), at(f"{path}/part-{k:05}.parquet")):
+            raise OSError(f"{file} can't be given its name")
+    for left in fs.listStatus(at(path)):
+        if left.getPath().getName().startswith("_"):
+            fs.delete(left.getPath(), False)
+
+
+def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The node table in a folder; columns that it lacks are null."""
+    return spark.read.schema(", ".join(["doc_id long", *[f"{c} {kind}" for c, kind in SCHEMA.items() if columns is None or c in columns]])).parquet(path)
+
+
 def parse(docs: DataFrame, columns: list[str] | None = None, names: frozenset[str] | None = None) -> DataFrame:
     """The node table of (doc_id, xml) documents.
 

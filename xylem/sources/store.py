@@ -42,48 +42,27 @@ def _write_manifest(docs: DataFrame, path: str, mode: str) -> None:
     manifest.write.mode(mode).option("compression", "zstd").parquet(f"{path}/manifest")
 
 
-def _write(docs: DataFrame, path: str, mode: str) -> None:
+def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Store documents and their summaries alone, for ``load_lazy`` and ``summaries``; returns the stored ones."""
     spark = docs.sparkSession
     _write_docs(docs, path, mode)
     stored = _stored_docs(spark, path)
     # the ids alone are looked at, in what is written: documents aren't made twice
     if not stored.groupBy("doc_id").count().where("count > 1").isEmpty():
         _write_docs(distinct_docs(docs), path, "overwrite")
-    _write_nodes(stored, f"{path}/nodes", mode)
-    _write_manifest(stored, path, mode)
+    return stored
 
 
-def _write_nodes(docs: DataFrame, path: str, mode: str) -> None:
-    """A document's nodes come out of the parser together and in order: no sort, no shuffle. In a folder that is a plain one for every task, they write their files themselves."""
-    spark = docs.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getScheme() != "file":
-        markup.parse(docs).write.mode(mode).option("compression", "zstd").parquet(path)
-        return
-    if fs.exists(at(path)):
-        if mode != "overwrite":
-            raise FileExistsError(path)
-        fs.delete(at(path), True)
-    fs.mkdirs(at(path))
-    # what a task that failed or was repeated has left keeps its hidden name, which no reader looks at, until it goes
-    whole = [r["file"] for r in markup.parse_into(docs, fs.makeQualified(at(path)).toUri().getPath()).collect()]
-    for k, file in enumerate(whole):
-        if not fs.rename(at("file", None, file), at(f"{path}/part-{k:05}.parquet")):
-            raise OSError(f"{file} can't be given its name")
-    for left in fs.listStatus(at(path)):
-        if left.getPath().getName().startswith(("_", ".")) and not left.getPath().getName().endswith(".crc"):
-            fs.delete(left.getPath(), False)
-
-
-def _stored_nodes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(", ".join(["doc_id long", *[f"{c} {kind}" for c, kind in markup.SCHEMA.items()]])).parquet(f"{path}/nodes")
+def _write(docs: DataFrame, path: str, mode: str) -> None:
+    stored = write_documents(docs, path, mode)
+    markup.write(stored, f"{path}/nodes", mode)
+    _write_manifest(stored, path, mode)
 
 
 def load(spark: SparkSession, path: str) -> XmlFrame:
     """The stored documents and their nodes, as an XmlFrame."""
     workspace.spread(spark, f"{path}/nodes")
-    return XmlFrame(_stored_docs(spark, path).select("doc_id", "xml"), _stored_nodes(spark, path))
+    return XmlFrame(_stored_docs(spark, path).select("doc_id", "xml"), markup.read(spark, f"{path}/nodes"))
 
 
 def load_lazy(spark: SparkSession, path: str) -> XmlFrame:
@@ -111,7 +90,7 @@ def refresh(docs: DataFrame, path: str, new_path: str) -> XmlFrame:
     changed = stale(docs, path)
     now = distinct_docs(docs)
     kept = now.join(changed.select(F.col("doc_id").alias("c_id")), F.col("doc_id").eqNullSafe(F.col("c_id")), "left_anti")
-    old = _stored_nodes(spark, path)
+    old = markup.read(spark, f"{path}/nodes")
     taken = old.join(kept.select(F.col("doc_id").alias("k_id")), F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
     _write_docs(now, new_path, "errorifexists")
     taken.unionByName(markup.parse(changed)).write.option("compression", "zstd").parquet(f"{new_path}/nodes")
